@@ -16,7 +16,7 @@ MASK = (1 << 64) - 1
 BASE_INV = np.uint64(pow(int(BASE), -1, 1 << 64))
 TOP = np.uint64(MASK)
 #: code points handled at once; one longer text makes one larger chunk
-CHUNK = 1_000_000
+CHUNK = 200_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
