@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import entity_splits, leakage, packing, proportional, repetition
+from siftline.llm import crossover, entity_splits, leakage, neardup, packing, proportional, repetition
 from siftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,30 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return entity_splits.split_report(p3_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.grouped_pairs(p5_groups(spark, d))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "dataset"), "id", ["test_name", "code"])[1]
+
+
+def p5_links(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, d, "dataset"), "id", ["test_name", "code"])[0]
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_overlaps(spark, d).select(F.least("id_h", "id_t").alias("id_a"), F.greatest("id_h", "id_t").alias("id_b")).distinct()
+
+
+def p6_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return crossover.split_overlaps(table(spark, d, "dataset"))
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return crossover.overlap_counts(p6_overlaps(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_documents(table(spark, d, "alpaca_item"), "item_id", "output").filter("bad").select("item_id")
 
