@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import crossover, entity_splits, leakage, neardup, packing, proportional, repetition
+from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, truncation
 from siftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,19 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return proportional.sample_to_targets(table(spark, d, "dataset"), table(spark, d, "label_target"))[1]
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_off(table(spark, d, "alpaca_item"), "item_id", "output", "input").filter("cut").select("item_id")
+
+
+def p2_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_off(table(spark, d, "alpaca_item"), "item_id", "output", "input")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "alpaca_item")
+    return truncation.truncation_rates(items, "item_id", "source", p2_reasons(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return entity_splits.same_entity_spellings(entity_splits.project_components(table(spark, d, "dataset")))
 
@@ -38,6 +51,15 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return entity_splits.split_report(p3_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "alpaca_item"), "item_id", "input", "output").filter("defect is not null")
+
+
+def p4_counts(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "alpaca_item").select("item_id", "source")
+    return p4_found(spark, d).join(items, "item_id").groupBy("source", "defect").agg(F.count("*").alias("n_items"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.grouped_pairs(p5_groups(spark, d))
 
