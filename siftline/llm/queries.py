@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, truncation
+from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, sentences, truncation
 from siftline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,5 +112,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("most_covered"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10_units(spark, d).select("doc_id", "end_pos").distinct()
+
+
+def p10_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}
