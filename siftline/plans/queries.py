@@ -1,7 +1,269 @@
-"""Named queries over the tables of a folder."""
+"""Named queries over the tables of a folder: every operator over its whole tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftline.functions import prompts as P
+from siftline.functions.answers import extract_answer, format_percentage, normalize_category, truth_category, truth_verdict
+from siftline.operators import metrics as M
+from siftline.operators import profile as R
+from siftline.operators import splits as S
+from siftline.operators.sampling import sample_data, shuffle_rows
+from siftline.operators.signatures import signature_statistics, token_counts, top_tokens, with_signature
+from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, similarity
+from siftline.plans import pipelines as L
+from siftline.plans.inference import call_model, call_statistics
+from siftline.session import table
+from siftline.sources.corpus import predictions_from_items, truth_from_labels
+from siftline.sources.sinks import plain_items, project_lists
+
+Query = Callable[[SparkSession, str], DataFrame]
+RARE = 0.02
+TEMPLATE = "{project}/{test_name}\n{full_code}"
+
+
+def _signed(spark: SparkSession, d: str) -> DataFrame:
+    return with_signature(table(spark, d, "dataset"))
+
+
+def _searches(df: DataFrame) -> DataFrame:
+    return df.filter("id % 100 = 0")
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    return truth_from_labels(table(spark, d, "dataset"))
+
+
+def _verdict(c: Column) -> Column:
+    v = F.lower(c)
+    return F.when(v.isin("yes", "是"), "是").when(v.isin("no", "否"), "否")
+
+
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "prediction").withColumn("is_flaky", _verdict(F.col("is_flaky")))
+    return p.filter("is_flaky is not null and category is not null").withColumn("category", normalize_category(F.col("category")))
+
+
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    order = F.struct("predicted_at", "received_at", "config_id", "is_flaky", "category")
+    return M.last_by_id(_parsed(spark, d).select("id", "is_flaky", "category", order.alias("o")), "o")
+
+
+def _aligned(spark: SparkSession, d: str) -> DataFrame:
+    return M.align(_predictions(spark, d), _truth(spark, d))
+
+
+def _folded(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose project is on a test list, with that fold."""
+    folds = table(spark, d, "fold_project").filter("side = 'test'").select("fold", "project")
+    return table(spark, d, "dataset").join(folds, "project")
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "alpaca_item")
+
+
+def _dataset(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, d: f(table(spark, d, "dataset"))
+
+
+def _hits(k: int, least: float) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        df = _signed(spark, d).select("id", "sig")
+        return retrieve_top_k(_searches(df), df, k, least)
+
+    return run
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each search row beside the row of the next id, as two signatures."""
+    df = _signed(spark, d).select("id", "sig")
+    a = _searches(df).select(F.col("id").alias("id_a"), F.col("sig").alias("a"))
+    return a.join(df.select((F.col("id") - 1).alias("id_a"), F.col("sig").alias("b")), "id_a")
+
+
+def _similarity_join(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens the searches share with every row, as counts, by a token equi-join over the rarer
+    half of the matter: rows with equal signatures are one."""
+    t = token_counts(_signed(spark, d).select("id", "sig"))
+    q = _searches(t).select(F.col("id").alias("query_id"), "token", F.col("n").alias("m"))
+    both = q.join(t.withColumnRenamed("id", "cand_id"), "token").filter("query_id <> cand_id")
+    return both.groupBy("query_id", "cand_id").agg(F.count("*").alias("inter"), F.sum(F.least("m", "n")).alias("shared"))
+
+
+def _min_similarity(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _signed(spark, d).select("id", F.size(F.array_distinct("sig")).alias("u"), F.size("sig").alias("t"))
+    j = _similarity_join(spark, d)
+    j = j.join(sizes.select(F.col("id").alias("query_id"), F.col("u").alias("uq"), F.col("t").alias("tq")), "query_id").join(sizes.withColumnRenamed("id", "cand_id"), "cand_id")
+    sim = F.lit(0.6) * (F.col("inter") / (F.col("uq") + F.col("u") - F.col("inter"))) + F.lit(0.4) * (F.col("shared") / (F.col("tq") + F.col("t")))
+    return j.select("query_id", "cand_id", sim.alias("similarity")).filter(F.col("similarity") >= 0.5)
+
+
+def _diverse(spark: SparkSession, d: str) -> DataFrame:
+    df = _signed(spark, d).select("id", "sig")
+    return retrieve_with_diversity(_searches(df), df, 3, 0.3)
+
+
+def _row_fetch(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "dataset").select(F.col("id").alias("cand_id"), "project", "label")
+    return _hits(3, 0.1)(spark, d).join(rows, "cand_id").select("query_id", "rank", "project", "label")
+
+
+def _prompts(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "dataset")
+    return L.build_prompts(_searches(df), df, TEMPLATE).select("id", "prompt")
+
+
+def _shots(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "dataset")
+    one = L.few_shots(_searches(df), df).select("id", F.posexplode("few_shot_examples").alias("rank", "e"))
+    return one.select(F.col("id").alias("query_id"), (F.col("rank") + 1).alias("rank"), "e.similarity", "e.project", "e.test_name", "e.label", "e.code_preview", F.col("e.id").alias("example_id"))
+
+
+def _instruction(spark: SparkSession, d: str) -> DataFrame:
+    text = P.format_prompt(P.DEFAULT_INPUT, project=F.coalesce("project", F.lit("Unknown")), test_name=F.coalesce("test_name", F.lit("Unknown")), full_code=F.col("code"))
+    return table(spark, d, "dataset").select("id", F.lit(P.DEFAULT_INSTRUCTION).alias("instruction"), text.alias("input"))
+
+
+def _distilled(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "dataset")
+    items, _ = L.distill(_searches(df), df, wait=0)
+    return items.select("id", "input", "output")
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    return call_statistics(call_model(_searches(table(spark, d, "dataset")).select("id", F.col("code").alias("prompt")), "prompt", wait=0))
+
+
+def _overlap(spark: SparkSession, d: str) -> DataFrame:
+    return S.fold_overlap(table(spark, d, "fold_project"))
+
+
+def _kfold(spark: SparkSession, d: str) -> DataFrame:
+    return S.project_folds(table(spark, d, "dataset"), rare_share=RARE)
+
+
+def _critical(spark: SparkSession, d: str) -> DataFrame:
+    """Projects with a rare category, by size, dealt to four folds in turn."""
+    df = table(spark, d, "dataset").filter("project is not null")
+    has = df.join(S.rare_categories(df, share=RARE).select("category"), "category", "left_semi").select("project").distinct()
+    size = df.groupBy("project").agg(F.count("*").alias("n_rows")).join(has, "project", "left_semi")
+    turn = F.row_number().over(Window.orderBy(F.desc("n_rows"), "project")) - 1  # one row for each project
+    return size.select("project", "n_rows", (turn % 4 + 1).alias("fold"))
+
+
+def _not_critical(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "dataset").filter("project is not null").select("project").distinct().join(_critical(spark, d), "project", "left_anti")
+
+
+def _compare(spark: SparkSession, d: str) -> DataFrame:
+    order = F.struct("predicted_at", "received_at", "is_flaky", "category")
+    p = _parsed(spark, d).filter("id is not null").groupBy("config_id", "id").agg(F.max_by(F.struct("is_flaky", "category"), order).alias("r"))
+    p = p.select("config_id", "id", F.col("r.is_flaky").alias("pred_flaky"), F.col("r.category").alias("pred_category"))
+    t = _truth(spark, d).select("id", F.col("is_flaky").alias("true_flaky"), F.col("category").alias("true_category"))
+    return M.overall_metrics(p.join(t, "id"), ["config_id"])
+
+
+def _formatted(spark: SparkSession, d: str) -> DataFrame:
+    o = M.overall_metrics(_aligned(spark, d))
+    return o.select(*[format_percentage(F.col(c)).alias(c) for c in ("overall_accuracy", "verdict_accuracy", "category_accuracy", "precision", "recall", "f1")])
+
+
+def _shuffled(df: DataFrame) -> DataFrame:
+    return shuffle_rows(df.select("id", "label"))
+
+
+def queries() -> dict[str, Query]:
+    e = lambda f: lambda spark, d: f(M.error_cases(_aligned(spark, d)))
+    m = lambda f: lambda spark, d: f(_aligned(spark, d))
+    i = lambda f: lambda spark, d: f(_items(spark, d))
+    s = lambda f: lambda spark, d: f(_signed(spark, d))
+    k = lambda f: lambda spark, d: f(_folded(spark, d))
+    split = lambda **kw: _dataset(lambda df: S.split_dataset(df.select("id", "label"), **kw))
+    return {
+        # signatures and retrieval
+        "extract_apis": s(lambda df: df.select("id", F.posexplode("sig").alias("pos", "token"))),
+        "signature_statistics": s(signature_statistics),
+        "top_tokens": s(top_tokens),
+        "jaccard": lambda spark, d: _pairs(spark, d).select("id_a", jaccard(F.col("a"), F.col("b")).alias("jaccard")),
+        "frequency_overlap": lambda spark, d: _pairs(spark, d).select("id_a", frequency_overlap(F.col("a"), F.col("b")).alias("overlap")),
+        "compute_similarity": lambda spark, d: _pairs(spark, d).select("id_a", similarity(F.col("a"), F.col("b")).alias("similarity")),
+        "signature_union_intersection": lambda spark, d: _pairs(spark, d).select("id_a", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_inter")),
+        "similarity_join": _similarity_join,
+        "min_similarity_filter": _min_similarity,
+        "retrieve_top_k": _hits(3, 0.1),
+        "retrieve_top_k_padded": _hits(5, 0.0),
+        "batch_retrieve": _hits(3, 0.0),
+        "retrieve_with_diversity": _diverse,
+        "row_fetch": _row_fetch,
+        # prompts and items
+        "format_prompt": _dataset(lambda df: df.select("id", P.format_prompt(TEMPLATE, project=F.col("project"), test_name=F.col("test_name"), full_code=F.col("code")).alias("prompt"))),
+        "code_preview": _dataset(lambda df: df.select("id", P.code_preview(F.col("code")).alias("preview"))),
+        "to_instruction": _instruction,
+        "strip_metadata": i(lambda df: df.select("item_id", *plain_items(df).columns)),
+        "fewshot_block": _prompts,
+        "fewshot_examples": _shots,
+        "explainer_prompt": lambda spark, d: L.explainer_prompt(table(spark, d, "dataset")),
+        "distill": _distilled,
+        "api_call_stats": _calls,
+        # answers and metrics
+        "extract_answer": i(lambda df: df.select("item_id", extract_answer(F.col("output")).alias("a")).select("item_id", "a.is_flaky", "a.category")),
+        "normalize_category": lambda spark, d: table(spark, d, "prediction").select("category").distinct().select("category", normalize_category(F.col("category")).alias("known")),
+        "truth_verdict": _dataset(lambda df: df.select("id", truth_verdict(F.col("label")).alias("is_flaky"), truth_category(F.col("label")).alias("category"))),
+        "scan_predictions": i(lambda df: predictions_from_items(df, "item_id")),
+        "scan_ground_truth": _truth,
+        "drop_unparsed": lambda spark, d: _parsed(spark, d).select("id", "is_flaky", "category", "config_id"),
+        "align_inner_join": _aligned,
+        "unmatched_predictions": lambda spark, d: M.unmatched(_predictions(spark, d), _truth(spark, d)),
+        "unmatched_labels": lambda spark, d: M.unmatched(_truth(spark, d), _predictions(spark, d)),
+        "id_intersection": lambda spark, d: _predictions(spark, d).select("id").intersect(_truth(spark, d).select("id")),
+        "overall_metrics": m(M.overall_metrics),
+        "flaky_confusion": m(lambda a: M.overall_metrics(a).select("tp", "fp", "tn", "fn")),
+        "flaky_prf": m(lambda a: M.overall_metrics(a).select("precision", "recall", "f1")),
+        "per_category_metrics": m(M.per_category_metrics),
+        "error_cases": m(M.error_cases),
+        "error_transition_counts": e(M.error_transitions),
+        "error_group_counts": e(M.error_group_counts),
+        "top_errors_limit": e(M.top_errors),
+        "category_distribution": lambda spark, d: M.category_distribution(_truth(spark, d)),
+        "performance_bands": m(lambda a: M.performance_bands(M.overall_metrics(a))),
+        "format_percentage": _formatted,
+        "model_comparison": _compare,
+        # samples and splits
+        "sample_all": _dataset(lambda df: sample_data(df.select("id", "label"))),
+        "sample_first": _dataset(lambda df: sample_data(df.select("id", "label"), "first", 100)),
+        "sample_last": _dataset(lambda df: sample_data(df.select("id", "label"), "last", 100)),
+        "sample_random": _dataset(lambda df: sample_data(df.select("id", "label"), "random", 100)),
+        "shuffle_rows": _dataset(_shuffled),
+        "random_split": split(),
+        "ordered_split": split(shuffle=False),
+        "stratified_split": split(stratify="label"),
+        "split_summary": _dataset(lambda df: S.split_summary(S.split_dataset(df.select("id", "label"), stratify="label"), "label")),
+        "concat_splits": _dataset(lambda df: df.filter("split = 'train'").select("id", "label").unionByName(df.filter("split <> 'train'").select("id", "label"))),
+        # folds
+        "category_project_spread": _dataset(S.category_project_spread),
+        "project_category_counts": _dataset(S.project_category_counts),
+        "rare_categories": _dataset(lambda df: S.rare_categories(df, share=RARE)),
+        "fold_feasibility": _dataset(lambda df: S.fold_feasibility(df, 4, 20)),
+        "kfold_round_robin": _critical,
+        "project_difference": _not_critical,
+        "kfold_greedy_assign": _kfold,
+        "kfold_materialise": k(lambda df: df.select("fold", "id", "project")),
+        "fold_summary": k(S.fold_summary),
+        "fold_violations": k(lambda df: S.fold_violations(df, 4, 40)),
+        "overlap_check": _overlap,
+        "save_folds": lambda spark, d: project_lists(table(spark, d, "fold_project")).select("fold", "side", "n_projects", F.array_join("projects", "\n").alias("projects")),
+        "project_membership": lambda spark, d: table(spark, d, "dataset").join(table(spark, d, "fold_project").select("project"), "project", "left_anti").select("id", "project"),
+        # profiles
+        "profile_table": _dataset(R.table_profile),
+        "null_percentages": i(lambda df: R.null_percentages(df)),
+        "label_percentages": _dataset(R.label_percentages),
+        "preview_head": _dataset(lambda df: R.preview_head(df.select("id", "project", "label"))),
+        "fewshot_similarity_stats": i(R.fewshot_similarity_stats),
+        "fewshot_distribution": i(lambda df: R.fewshot_distribution(df, "label")),
+        "fewshot_low_quality": i(R.fewshot_low_quality),
+    }
