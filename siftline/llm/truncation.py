@@ -26,11 +26,14 @@ VERDICT_KINDS = ["Async", "Conc", "Time", "UC", "OD", "Non-Flaky"]
 VERDICT = r"(?i)^(答案|answer)\s*[：:]\s*(是|否|yes|no)\s*[-–—]\s*(async|conc|time|uc|od|non-flaky)\b"
 
 TAG = r"</?[A-Za-z]+>"
-CLOSERS = r"(\s|\*|" + TAG + r"|\x{200b}|\x{feff})+$"
+CLOSERS = r"(?:[\s*\x{200b}\x{feff}]|" + TAG + r")++$"
 MARKS = r".!?。！？…"
 #: an identifier has an inner capital, a digit or an underscore
-IDENTIFIER = r"[A-Za-z0-9_$]*(?:[a-z][A-Z]|[0-9_])[A-Za-z0-9_$]*(?:\.[A-Za-z0-9_$]+)*(?:\(\))?"
-TOKEN = r"<|\n|[" + MARKS + r"]+|\p{IsHan}|[\p{L}\p{M}\p{N}]+"
+IDENTIFIER = r"(?<![A-Za-z0-9_$])(?=[A-Za-z$]*?[a-z][A-Z]|[A-Za-z$]*?[0-9_])[A-Za-z0-9_$]+(?:\.[A-Za-z0-9_$]+)*(?:\(\))?"
+HAN = r"\u3400-\u9fff\uf900-\ufaff"
+TOKEN = r"<|\n\s*|[" + MARKS + r"]+|[" + HAN + r"]|[\p{L}\p{M}\p{N}&&[^" + HAN + r"]]+"
+#: tokens at the end of a text among which its last words are looked for
+LAST_TOKENS = 64
 
 
 def _plain(text: Column) -> Column:
@@ -42,15 +45,19 @@ def _plain(text: Column) -> Column:
 
 
 def _last_line(body: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_extract(body, r"([^\n]*)$", 1), r"^[\s*#\-•>]+|^\d+[.)]\s+", ""))
+    return F.trim(F.regexp_replace(F.substring_index(body, "\n", -1), r"^[\s*#\-•>]+|^\d+[.)]\s+", ""))
 
 
 def _is_mark(t: Column) -> Column:
-    return t.rlike(r"^[" + MARKS + r"]")
+    return F.substring(t, 1, 1).isin(*MARKS)
+
+
+def _is_end(t: Column) -> Column:
+    return F.substring(t, 1, 1).isin("<", "\n")
 
 
 def _is_word(t: Column) -> Column:
-    return ~t.isin("<", "\n") & ~_is_mark(t)
+    return ~F.substring(t, 1, 1).isin("<", "\n", *MARKS)
 
 
 def ending_counts(tokens: DataFrame) -> DataFrame:
@@ -70,7 +77,7 @@ def ending_counts(tokens: DataFrame) -> DataFrame:
         ),
     )
     rows = tokens.select(F.explode(tri).alias("t")).select("t.*").filter(_is_word(F.col("w1")) & _is_word(F.col("w2")) & _is_word(F.col("w3")))
-    kind = F.when(_is_mark(F.col("nxt")), "marked").when(F.col("nxt").isin("<", "\n"), "bare").otherwise("inner")
+    kind = F.when(_is_mark(F.col("nxt")), "marked").when(_is_end(F.col("nxt")), "bare").otherwise("inner")
     return rows.groupBy("v1", "v2", "w1", "w2", "w3").agg(*[F.sum(F.when(kind == k, 1).otherwise(0)).alias(k) for k in ("inner", "marked", "bare")])
 
 
@@ -85,49 +92,51 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     and quotes only. Repeated rows are judged alike. ``prompt`` (null: none) is only searched for
     the identifier that the text's last word may be the beginning of."""
     base = df.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(prompt, F.lit("")).alias("_prompt"))
-    closed = F.regexp_replace("_text", CLOSERS, "")
-    t = base.select("_key", "_text", "_prompt", closed.alias("body")).withColumn("line", _last_line(F.col("body")))
-    t = cut(t.withColumn("tokens", F.regexp_extract_all(_plain(F.col("body")), F.lit(TOKEN), F.lit(0))), "tokens")
-    counts5 = cut(ending_counts(t), "endings")
-    counts = counts5.groupBy("w1", "w2", "w3").agg(*[F.sum(k).alias(k) for k in ("inner", "marked", "bare")])
-
-    words = F.filter("tokens", _is_word)
-    n = F.size(words)
-    # the last word's place among all tokens: behind it stand marks only
-    place = F.size("tokens") - 1 - F.when(_is_mark(F.get(F.col("tokens"), F.size("tokens") - 1)), 1).otherwise(0)
-    last = F.regexp_extract("body", r"([A-Za-z0-9_$]+)[" + MARKS + r"]*$", 1)
+    t = base.withColumn("body", F.regexp_replace("_text", CLOSERS, "")).withColumn("line", _last_line(F.col("body")))
+    last = F.regexp_extract(F.right("line", F.lit(200)), r"([A-Za-z0-9_$]+)[" + MARKS + r"]*$", 1)
+    # only an identifier can be the beginning of another one, so few prompts are searched
     names = F.regexp_extract_all("_prompt", F.lit(r"[A-Za-z0-9_$]{4,}"), F.lit(0))
-    has_mark = F.col("body").rlike("[" + MARKS + r"][\"”’»」)）]*$")
+    begun_name = F.when((F.length(last) > 3) & last.rlike("[a-z][A-Z]|[0-9]"), F.exists(names, lambda x: x.startswith(last) & (x != last)) & ~F.array_contains(names, last)).otherwise(False)
     verdicts = F.array(*[F.lit(f"{h}{c}{w} - {k}") for h in VERDICT_HEADS for c in ("：", ": ") for w in VERDICT_WORDS for k in VERDICT_KINDS])
     bare_line = F.regexp_replace("line", r"[\s*" + MARKS + r"]+$", "")
     whole_verdict = F.col("line").rlike(VERDICT)
-    code_end = F.col("body").rlike(r"(```|[;{}])$")
-    lines_quotes = F.regexp_replace("line", r"[^\"]", "")
-    lines_ticks = F.regexp_replace("line", r"[^`]", "")
-    facts = t.select(
+    begun_verdict = F.when(bare_line.rlike("^[" + "".join(h[0] for h in VERDICT_HEADS) + "]") & ~whole_verdict, F.exists(verdicts, lambda v: v.startswith(bare_line) & (v != bare_line))).otherwise(False)
+    code_end = F.col("body").rlike(r"(```|[;{}])\z")
+    odd = lambda ch: (F.length("line") - F.length(F.replace("line", F.lit(ch), F.lit("")))) % 2 == 1
+    t = t.select(
         "_key",
-        n.alias("n"),
-        F.get(words, n - 3).alias("w1"),
-        F.get(words, n - 2).alias("w2"),
-        F.get(words, n - 1).alias("w3"),
-        F.coalesce(F.get("tokens", place - 4), F.lit("\n")).alias("v1"),
-        F.coalesce(F.get("tokens", place - 3), F.lit("\n")).alias("v2"),
-        has_mark.alias("has_mark"),
+        F.regexp_extract_all(_plain(F.col("body")), F.lit(TOKEN), F.lit(0)).alias("tokens"),
+        F.col("line").rlike("[" + MARKS + r"][\"”’»」)）]*\z").alias("has_mark"),
         whole_verdict.alias("whole_verdict"),
         code_end.alias("code_end"),
-        F.col("body").rlike(r"(…|\.\.\.)$").alias("dots"),
-        F.col("_text").rlike(r"\x{FFFD}[\s" + MARKS + r"]*$").alias("bytes"),
+        F.col("line").rlike(r"(…|\.\.\.)\z").alias("dots"),
+        F.col("_text").rlike(r"\x{FFFD}[\s" + MARKS + r"]*\z").alias("bytes"),
         (
             (F.col("_text").contains("<think>") & ~F.col("_text").contains("</think>"))
             | (F.col("_text").contains("<answer>") & ~F.col("_text").contains("</answer>"))
-            | F.col("body").rlike(r"</?[A-Za-z]*$")
+            | F.col("line").rlike(r"</?[A-Za-z]*\z")
         ).alias("tag"),
-        (~whole_verdict & (F.length(bare_line) > 0) & F.exists(verdicts, lambda v: v.startswith(bare_line) & (v != bare_line))).alias("verdict"),
-        (((F.length(lines_quotes) % 2 == 1) | (F.length(lines_ticks) % 2 == 1)) & ~code_end).alias("quote"),
-        # the last word begins a longer identifier of the prompt and is none itself
-        ((F.length(last) > 3) & last.rlike("[a-z][A-Z]|[0-9]") & F.exists(names, lambda x: x.startswith(last) & (x != last)) & ~F.array_contains(names, last)).alias("word"),
-        (F.length(F.trim("body")) == 0).alias("blank"),
+        begun_verdict.alias("verdict"),
+        ((odd('"') | odd("`")) & ~code_end).alias("quote"),
+        begun_name.alias("word"),
+        (F.col("body") == "").alias("blank"),
     )
+    t = cut(t, "tokens")
+    counts5 = cut(ending_counts(t), "endings")
+    counts = counts5.groupBy("w1", "w2", "w3").agg(*[F.sum(k).alias(k) for k in ("inner", "marked", "bare")])
+
+    end = F.slice("tokens", F.greatest(F.size("tokens") - LAST_TOKENS + 1, F.lit(1)), LAST_TOKENS)
+    last_words = t.withColumn("tail", end)
+    at = F.size("tail")
+    # the last word's place among all tokens: behind it stand marks only
+    place = at - 1 - F.when(_is_mark(F.get(F.col("tail"), at - 1)), 1).otherwise(0)
+    facts = last_words.withColumn("words", F.filter("tail", _is_word)).select(
+        "_key", "has_mark", "whole_verdict", "code_end", "dots", "bytes", "tag", "verdict", "quote", "word", "blank",
+        F.size("words").alias("n"),
+        *[F.get(F.col("words"), F.size("words") - i).alias(f"w{4 - i}") for i in (3, 2, 1)],
+        F.coalesce(F.get("tail", place - 4), F.lit("\n")).alias("v1"),
+        F.coalesce(F.get("tail", place - 3), F.lit("\n")).alias("v2"),
+    )
     facts = cut(facts, "ends")
     seen = counts.select("w1", "w2", "w3", "inner", "marked", "bare")
     # a last word that never stands here, as the beginning of one that often does
@@ -140,7 +149,7 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     total = F.coalesce(F.col("inner") + F.col("marked") + F.col("bare"), F.lit(0))
     ends = F.coalesce(F.col("marked") + F.col("bare"), F.lit(0))
     # one letter before a mark is rather a unit or an initial than the beginning of a word
-    part = F.col("often").isNotNull() & (total <= 0.05 * F.col("often")) & (~F.col("has_mark") | (F.length("w3") > 1) | F.col("w3").rlike(r"\p{IsHan}"))
+    part = F.col("often").isNotNull() & (total <= 0.05 * F.col("often")) & (~F.col("has_mark") | (F.length("w3") > 1) | F.col("w3").rlike("[" + HAN + "]"))
     inner = (F.coalesce("inner", F.lit(0)) >= INNER_LEAST) & (ends <= TERMINAL_SHARE * total) & (~F.col("has_mark") | F.col("goes_on").isNotNull())
     # a rare trigram is the text's own, so its bare ends prove nothing
     unmarked = ~F.col("has_mark") & ((total < INNER_LEAST) | (F.coalesce("bare", F.lit(0)) <= (1 - MARKED_SHARE) * ends))
