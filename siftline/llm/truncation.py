@@ -174,5 +174,5 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
 def truncation_rates(df: DataFrame, key: str, source: str, found: DataFrame) -> DataFrame:
     """(source, n_items, n_cut, rate) of every source; a null source is one too. ``found`` has one
     row for each row of ``df``, repeated keys being judged alike."""
-    per = df.groupBy(key, source).agg(F.count("*").alias("m")).join(found.groupBy(key).agg(F.max("cut").alias("cut")), key)
-    return per.groupBy(source).agg(F.sum("m").alias("n_items"), F.sum(F.when(F.col("cut"), F.col("m")).otherwise(0)).alias("n_cut")).withColumn("rate", F.col("n_cut") / F.col("n_items"))
+    per = df.groupBy(key, source).agg(F.count("*").alias("_m")).join(found.groupBy(key).agg(F.max("cut").alias("_cut")), key)
+    return per.groupBy(source).agg(F.sum("_m").alias("n_items"), F.sum(F.when(F.col("_cut"), F.col("_m")).otherwise(0)).alias("n_cut")).withColumn("rate", F.col("n_cut") / F.col("n_items"))

@@ -62,9 +62,14 @@ def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return first, h
 
 
+#: a gram in fewer rows than this is never frequent: a bucket of that size is small
+FREQUENT_LEAST = 64
+
+
 def frequent_grams(arrays: DataFrame, k: int, share: float) -> np.ndarray:
     """Sorted hashes of the k-word grams that stand in at least ``share`` of the rows, and perhaps
-    some of those in at least half that share. Every row counts.
+    some of those in at least half that share, but in ``FREQUENT_LEAST`` rows at least. Every row
+    counts.
 
     A task keeps only grams in at least share / 2 of its own rows; what the tasks leave out adds
     up to less than share / 2 of all rows, so no frequent gram is missed. The result has at most
@@ -89,7 +94,7 @@ def frequent_grams(arrays: DataFrame, k: int, share: float) -> np.ndarray:
     # the rows of all tasks are counted under gram 0, in the same pass
     held = Cut(part, "grams")
     rows = held.df.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().rows
-    found = held.df.filter(F.col("n") >= max(2.0, share / 2 * rows)).select("gram").toPandas()["gram"].to_numpy(np.int64)
+    found = held.df.filter(F.col("n") >= max(FREQUENT_LEAST, share / 2 * rows)).select("gram").toPandas()["gram"].to_numpy(np.int64)
     held.drop()
     return np.sort(found.view(np.uint64))
 
