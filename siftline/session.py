@@ -23,20 +23,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _home(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/siftline/{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes every cut of this application; results that were not read yet are lost."""
+    _delete(spark, _home(spark))
+
+
 class Cut:
     """A DataFrame written once to the shared folder, so that a lost executor never
     forces the work before it to run again. ``drop`` removes the files."""
 
     def __init__(self, df: DataFrame, name: str = "cut"):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/siftline/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_home(self.spark)}/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(self.spark, self.path)
 
 
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
