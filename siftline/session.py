@@ -5,11 +5,29 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application, so that Python workers can
+    import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_siftline_shipped", None):
+        return
+    package = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline_package.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(package.rglob("*.py")):
+            z.write(p, p.relative_to(package.parent))
+    sc.addPyFile(str(at))
+    sc._siftline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

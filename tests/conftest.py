@@ -1,11 +1,9 @@
-import sys
-sys.path.insert(0, __import__("os").path.dirname(__file__))
 import os
 import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
 
 @pytest.fixture(scope="session")
@@ -21,6 +19,9 @@ def spark():
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
+    from siftline.session import ship
+
+    ship(s)
     yield s
     s.stop()
 
