@@ -140,7 +140,8 @@ def pack(docs: DataFrame, specs: DataFrame, ranks_path: str = DEFAULT_RANKS) ->
     # patterns are as many as the histogram's lengths in order; one array for each length
     table = spark.createDataFrame(pa.table([pa.array(x, t) for x, t in zip(list(zip(*runs)) or [()] * 6, [pa.int32(), *[pa.int64()] * 5])], names=[f.split()[0] for f in kind.split(", ")]))
     rank = F.row_number().over(_by("spec_id", "tokens", "grp").orderBy("doc_id", "part")) - 1
-    ranked = grouped.join(offsets, ["spec_id", "tokens", "grp"]).withColumn("rank", rank + F.col("offset"))
+    # capacity x groups rows may be too many to broadcast, so this join is told to shuffle
+    ranked = grouped.join(offsets.hint("merge"), ["spec_id", "tokens", "grp"]).withColumn("rank", rank + F.col("offset"))
     runs_by = table.groupBy("spec_id", "tokens").agg(F.sort_array(F.collect_list(F.struct("low", "high", "first", "per"))).alias("runs"))
     placed = ranked.join(runs_by, ["spec_id", "tokens"]).select(
         "spec_id",
