@@ -27,5 +27,46 @@ FROM names a JOIN names b ON a.key = b.key AND a.key <> '' AND a.project < b.pro
 """
 
 
+
+def _words(text: str) -> str:
+    return f"""words AS (SELECT id, split, w, count(*) AS n FROM (SELECT id, split, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM dataset) GROUP BY ALL),
+size AS (SELECT id, sum(n) AS n FROM words GROUP BY id)"""
+
+
+P5_FOUND = f"""
+WITH RECURSIVE {_words("coalesce(test_name, '') || chr(10) || coalesce(code, '')")},
+pairs AS (SELECT a.id AS a, b.id AS b, sum(least(a.n, b.n)) AS shared FROM words a JOIN words b ON a.w = b.w AND a.id < b.id GROUP BY ALL),
+alike AS (SELECT a, b FROM pairs JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE shared >= 0.75 * greatest(x.n, y.n)),
+edges AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike),
+reach AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b)
+SELECT a AS id_a, b AS id_b FROM reach WHERE a < b
+"""
+
+P6_FOUND = f"""
+WITH {_words("coalesce(code, '')")},
+pairs AS (SELECT a.id AS h, b.id AS t, sum(least(a.n, b.n)) AS shared FROM words a JOIN words b ON a.w = b.w AND a.split IN ('valid', 'test') AND b.split = 'train' GROUP BY ALL)
+SELECT DISTINCT least(h, t) AS id_a, greatest(h, t) AS id_b FROM pairs JOIN size x ON x.id = h WHERE shared >= 0.8 * x.n
+"""
+
+P7_FOUND = r"""
+WITH plain AS (SELECT item_id, regexp_replace(lower(regexp_replace(output, '(?m)^[ \t]*[(（]?\d+[.)）、．:：][ \t]*', '', 'g')), '[^\p{L}\p{N}]', '', 'g') AS s FROM alpaca_item),
+grams AS (SELECT item_id, i, substr(s, i, 30) AS g FROM (SELECT item_id, s, unnest(range(1, length(s) - 28)) AS i FROM plain)),
+again AS (SELECT item_id, i FROM grams QUALIFY row_number() OVER (PARTITION BY item_id, g ORDER BY i) > 1),
+covered AS (SELECT item_id, sum(least(30, coalesce(later - i, 30))) AS n FROM (SELECT item_id, i, lead(i) OVER (PARTITION BY item_id ORDER BY i) AS later FROM again) GROUP BY item_id)
+SELECT item_id FROM covered JOIN plain USING (item_id) WHERE n >= 0.4 * length(s)
+"""
+
+P9_FOUND = r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS u FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') FROM eval_item WHERE lang NOT IN ('zh', 'ja')),
+wg AS (SELECT kind, id, array_to_string(u[i : i + 11], ' ') AS g FROM (SELECT kind, id, u, unnest(range(1, len(u) - 10)) AS i FROM words)),
+chars AS (SELECT 'd' AS kind, doc_id AS id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS s FROM documents
+  UNION ALL SELECT 'i', item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') FROM eval_item WHERE lang IN ('zh', 'ja')),
+cg AS (SELECT kind, id, substr(s, i, 30) AS g FROM (SELECT kind, id, s, unnest(range(1, length(s) - 28)) AS i FROM chars))
+SELECT DISTINCT d.id AS doc_id, i.id AS item_id FROM wg d JOIN wg i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i'
+UNION SELECT DISTINCT d.id, i.id FROM cg d JOIN cg i ON d.g = i.g AND d.kind = 'd' AND i.kind = 'i'
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND}
+    return {"p1_found": P1_FOUND, "p3_found": P3_FOUND, "p5_found": P5_FOUND, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p9_found": P9_FOUND}
