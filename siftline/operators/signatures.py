@@ -8,8 +8,10 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftline.session import spread
+
 # What the rules look for, in the order in which tokens are emitted.
-RECEIVER = r"\b(\w+)\.\w+\s*\("
+RECEIVER = r"\b(\w++)\.\w++\s*+\("
 ANNOTATIONS = ["@Test", "@Before", "@After", "@BeforeClass", "@AfterClass", "@RunWith", "@Mock", "@InjectMocks", "@Spy"]
 ASSERTS = r"\bassert(True|False|Equals|NotEquals|Null|NotNull|Same|NotSame|ArrayEquals|Throws)"
 CALLS = ["fail", "verify", "when", "thenReturn", "mock"]
@@ -24,9 +26,14 @@ MOCKS = [(["Mockito", "mock(", "@Mock"], "mock_framework"), (["PowerMock"], "pow
 DATABASE = ["Connection", "Statement", "PreparedStatement", "ResultSet", "Transaction", "EntityManager", "Session"]
 
 
-def _all(code: Column, pattern: str, group: int, prefix: str = "") -> Column:
-    found = F.regexp_extract_all(code, F.lit(f"(?U){pattern}"), F.lit(group))
-    return F.transform(found, lambda x: F.concat(F.lit(prefix), x)) if prefix else found
+def _all(code: Column, pattern: str, group: int, prefix: str = "", has: str = "") -> Column:
+    """All matches, words being Unicode words; plain ASCII texts take the faster classes, and texts
+    without the literal ``has`` are not searched."""
+    found = lambda flags: F.regexp_extract_all(code, F.lit(flags + pattern), F.lit(group))
+    every = F.when(code.rlike(r"[^\x00-\x7F]"), found("(?U)")).otherwise(found(""))
+    if has:
+        every = F.when(code.contains(has), every).otherwise(F.array().cast("array<string>"))
+    return F.transform(every, lambda x: F.concat(F.lit(prefix), x)) if prefix else every
 
 
 def _present(code: Column, words: list[str], prefix: str = "") -> Column:
@@ -40,11 +47,11 @@ def signature(code: Column) -> Column:
         F.array(
             _all(c, RECEIVER, 1),
             _present(c, ANNOTATIONS),
-            _all(c, ASSERTS, 1, "assert_"),
-            *[_all(c, rf"\b{x}\s*\(", 0, "assert_") for x in CALLS],
+            _all(c, ASSERTS, 1, "assert_", "assert"),
+            *[_all(c, rf"\b{x}\s*\(", 0, "assert_", x) for x in CALLS],
             _present(c, CONCURRENCY, "async_"),
             _present(c, TIME, "time_"),
-            F.array_compact(F.array(*[F.when(c.rlike(rf"(?U)\b{x}\b"), x) for x in COLLECTIONS])),
+            F.array_compact(F.array(*[F.when(c.contains(x) & c.rlike(rf"(?U)\b{x}\b"), x) for x in COLLECTIONS])),
             _present(c, IO, "io_"),
             F.array_compact(F.array(*[F.when(reduce(or_, [c.contains(w) for w in words]), token) for words, token in MOCKS])),
             _present(c, DATABASE, "db_"),
@@ -53,7 +60,7 @@ def signature(code: Column) -> Column:
 
 
 def with_signature(df: DataFrame, code: str = "code", to: str = "sig") -> DataFrame:
-    return df.withColumn(to, signature(F.col(code)))
+    return spread(df).withColumn(to, signature(F.col(code)))
 
 
 def token_counts(df: DataFrame, key: str = "id", sig: str = "sig") -> DataFrame:
@@ -63,10 +70,11 @@ def token_counts(df: DataFrame, key: str = "id", sig: str = "sig") -> DataFrame:
 
 def signature_statistics(df: DataFrame, sig: str = "sig") -> DataFrame:
     """One row: rows, distinct tokens, all tokens, mean tokens a row (empty signatures count)."""
-    size = df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(F.size(sig)), F.lit(0)).alias("n_tokens"))
-    distinct = df.select(F.explode(sig).alias("t")).agg(F.countDistinct("t").alias("n_distinct"))
+    rows = df.agg(F.count("*").alias("n_rows"))
+    per = df.select(F.explode(sig).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    tokens = per.agg(F.count("*").alias("n_distinct"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
     # two aggregates of one row each
-    return size.join(F.broadcast(distinct)).select("n_rows", "n_distinct", "n_tokens", F.coalesce(F.try_divide("n_tokens", "n_rows"), F.lit(0.0)).alias("mean_tokens"))
+    return rows.join(F.broadcast(tokens)).select("n_rows", "n_distinct", "n_tokens", F.coalesce(F.try_divide("n_tokens", "n_rows"), F.lit(0.0)).alias("mean_tokens"))
 
 
 def top_tokens(df: DataFrame, n: int = 10, sig: str = "sig") -> DataFrame:

@@ -166,7 +166,7 @@ def retrieve_with_diversity(queries: DataFrame, rows: DataFrame, k: int = 3, thr
     Taken as k rounds: each finds the best row of every query among those not too similar to the
     rows taken before, so the result is that of the greedy scan, in k passes over the rows plus
     one for the rest. Each pass collects at most one row for each query of the block."""
-    spark = rows.sparkSession
+    spark, rows = rows.sparkSession, cut(rows.select("id", "sig"), "signatures")
     kind = "query_id bigint, rank int, cand_id bigint, similarity double"
     picked = spark.createDataFrame([], kind)
     by_id = rows.select(F.col("id").cast("bigint").alias("cand_id"), "sig")
