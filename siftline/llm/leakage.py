@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.textscan import Words, chunks, codes, kinds, mix, prefix, spans_hash, windows
+from siftline.session import spread
 
 #: least tile in words, and in letters and digits for items of UNSPACED languages
 WORDS = 12
@@ -143,6 +144,6 @@ def leaked_items(docs: DataFrame, items: DataFrame, least_coverage: float = 0.0)
                             names=["doc_id", "item_id", "tiles", "covered", "coverage"],
                         )
 
-        found = docs.select("doc_id", "text").mapInArrow(run, kind)
+        found = spread(docs.select("doc_id", "text")).mapInArrow(run, kind)
         out = found if out is None else out.unionByName(found)
     return out

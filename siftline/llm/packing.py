@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.session import cut
+from siftline.session import cut, spread
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: how a text is cut before byte pairs are merged: the public pattern that belongs to the vocabulary
@@ -49,7 +49,7 @@ def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, kind)
+    return spread(docs.select("doc_id", "text")).mapInArrow(run, kind)
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

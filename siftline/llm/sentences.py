@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from siftline.session import spread
+
 #: a line break is a wrap if the next word had made the line longer than this
 WRAP_WIDTH = 66
 #: a span joins at most so many candidates; a longer run is cut at the best place within
@@ -324,4 +326,4 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
                 ends += found
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), *[pa.array(np.array(x, np.int32)) for x in (unit, starts, ends)]], names=[key, "unit", "start_pos", "end_pos"])
 
-    return df.select(key, text).mapInArrow(run, kind)
+    return spread(df.select(key, text)).mapInArrow(run, kind)

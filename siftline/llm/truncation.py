@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.session import cut
+from siftline.session import cut, spread
 
 #: a trigram counts as inner from so many occurrences, at most TERMINAL_SHARE of them at an end
 INNER_LEAST = 8
@@ -91,7 +91,7 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     Null and blank texts are not cut. Texts of fewer than three words are judged by tags, verdict
     and quotes only. Repeated rows are judged alike. ``prompt`` (null: none) is only searched for
     the identifier that the text's last word may be the beginning of."""
-    base = df.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(prompt, F.lit("")).alias("_prompt"))
+    base = spread(df.select(key, *{text, prompt})).select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(prompt, F.lit("")).alias("_prompt"))
     t = base.withColumn("body", F.regexp_replace("_text", CLOSERS, "")).withColumn("line", _last_line(F.col("body")))
     last = F.regexp_extract(F.right("line", F.lit(200)), r"([A-Za-z0-9_$]+)[" + MARKS + r"]*$", 1)
     # only an identifier can be the beginning of another one, so few prompts are searched

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.textscan import BASE, Words, chunks, mix
-from siftline.session import Cut
+from siftline.session import Cut, spread
 
 
 def word_arrays(df: DataFrame, key: str, texts: list[str], extra: list[str] = []) -> DataFrame:
@@ -39,7 +39,7 @@ def word_arrays(df: DataFrame, key: str, texts: list[str], extra: list[str] = []
                 cols = [b.column(i).slice(at, len(part)) for i in range(1 + len(extra))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(w.at).astype(np.int32)), pa.array(sig[0]), pa.array(sig[1]), binary], names=names)
 
-    return df.select(key, *extra, *texts).mapInArrow(run, kind)
+    return spread(df.select(key, *extra, *texts)).mapInArrow(run, kind)
 
 
 def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
