@@ -201,6 +201,11 @@ def sentence_ends(s: str) -> list[int]:
                 break
             quoted |= stack[-1] not in ")）"
             stack.pop()
+        stars = pos  # emphasis marks close with the sentence
+        while stars < n and s[stars] == "*":
+            stars += 1
+        if stars > pos and (stars >= n or s[stars] in _BLANK):
+            pos = stars
         skip = pos
         if pos >= n:
             break
