@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import LABEL_NAMES
+from siftline.functions.numbers import fixed
 
 YES, NO = "是", "否"
 # The two answer patterns; the first one wins wherever it stands.
@@ -44,4 +45,4 @@ def truth_category(label: Column) -> Column:
 
 
 def format_percentage(value: Column, decimals: int = 2) -> Column:
-    return F.format_string(f"%.{decimals}f%%", value * 100)
+    return F.concat(fixed(value * 100, decimals), F.lit("%"))

@@ -7,6 +7,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftline.functions.numbers import fixed
+
 # Texts of the instruction format.
 DEFAULT_INSTRUCTION = "请分析以下测试用例，判断它是否是一个Flaky Test（不稳定测试），并说明你的推理过程。"
 DEFAULT_INPUT = "该测试代码所属project的名称为{project}，它的测试名称为{test_name}，完整代码为{full_code}。"
@@ -36,7 +38,7 @@ def fewshot_block(cases: Column) -> Column:
     case = F.transform(
         cases,
         lambda c, i: F.concat(
-            F.format_string("\n【案例 %d】(相似度: %.2f)\n", i + 1, c["similarity"]),
+            F.format_string("\n【案例 %d】(相似度: %s)\n", i + 1, fixed(c["similarity"])),
             F.lit("项目: "), F.coalesce(c["project"], F.lit("Unknown")),
             F.lit("\n标签: "), F.coalesce(c["label"], F.lit("Unknown")),
             F.lit("\n代码:\n"), c["code"], F.lit("\n" + "-" * 60 + "\n"),

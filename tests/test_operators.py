@@ -131,6 +131,15 @@ def test_prompts(spark):
     assert got.x.count("B\n待分析的测试代码:\ncode") == 2 and got.f == "12.35%"
 
 
+def test_fixed_decimals(spark):
+    from siftline.functions.numbers import fixed
+
+    rnd = random.Random(2)
+    xs = [0.0, 0.365, 0.355, 0.375, 0.125, 0.005, 0.015, 0.8, 99.995, 84.0] + [rnd.randint(0, 20000) / 2000 for _ in range(500)] + [rnd.random() * 100 for _ in range(500)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fixed(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{r.x:.2f}" for r in got]
+
+
 def published(spark):
     rows = [("否", "Non-Flaky", "否", "Non-Flaky")] * 84
     rows += [("是", c, "否", "Non-Flaky") for c, n in (("Async", 8), ("Conc", 3), ("Time", 3), ("OD", 1)) for _ in range(n)]
