@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.textscan import BASE, TOP, mix, occurrence
-from siftline.llm.wordsets import frequent_grams, grams, is_in, overlaps, unpack, word_arrays
+from siftline.llm.wordsets import block_pairs, frequent_grams, grams, is_in, overlaps, unpack, word_arrays
 from siftline.operators.graph import connected_components
 from siftline.session import Cut, cut
 
@@ -35,8 +35,8 @@ HOT_SHARE = 0.001
 DENSE_ELL = 4
 DENSE_TABLES = 24
 DENSE_COLD = 0.25
-#: members of a bucket up to which all pairs are candidates; larger buckets go by leaders
-BUCKET = 32
+#: members of a bucket that are joined at once; larger buckets go block by block, all pairs
+BUCKET = 1024
 BAND = 16
 
 
@@ -159,34 +159,12 @@ def alike_links(classes: DataFrame) -> DataFrame:
     hot = frequent_grams(classes, K, HOT_SHARE)
     held = Cut(_sketch_rows(classes, hot), "sketches")
     rows = held.df.select("id", "n", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).filter("m > 1")
-    full = Cut(rows.join(sizes, "key"), "buckets")
     # lengths alone rule out most chance partners: the shorter has at least LIKE of the longer's words
-    fits = lambda x, y: F.least(x, y) >= F.lit(LIKE) * F.greatest(x, y)
-    small = full.df.filter(F.col("m") <= BUCKET).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("g"))
-    pairs = small.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    links = [Cut(_verified(pairs.distinct(), classes), "links").df]
-    # large buckets: each member against the bucket's first; who is not alike stays for the next
-    # first, until the rest is small enough for all pairs
-    rest = full.df.filter(F.col("m") > BUCKET)
-    while not rest.isEmpty():
-        star = rest.filter(F.col("id") != F.col("leader")).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-        found = cut(_verified(star, classes), "links")
-        links.append(found)
-        left = rest.filter(F.col("id") != F.col("leader")).join(found.select(F.col("a").alias("leader"), F.col("b").alias("id")), ["leader", "id"], "left_anti").select("key", "id", "n")
-        left = cut(left, "buckets")
-        sizes = left.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("leader")).filter("m > 1")
-        left = cut(left.join(sizes, "key"), "buckets")
-        tail = left.filter(F.col("m") <= BUCKET).groupBy("key").agg(F.collect_list(F.struct("id", "n")).alias("g"))
-        tail = tail.select(F.explode("g").alias("x"), "g").select("x", F.explode("g").alias("y")).filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x.n"), F.col("y.n")))
-        links.append(cut(_verified(tail.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), classes), "links"))
-        rest = left.filter(F.col("m") > BUCKET)
+    pairs, buckets = block_pairs(rows, BUCKET, lambda x, y: F.least(x["n"], y["n"]) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
+    links = cut(_verified(pairs, classes), "links")
     held.drop()
-    full.drop()
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out.dropDuplicates(["a", "b"])
+    buckets.drop()
+    return links
 
 
 def near_duplicates(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,11 @@ of each word's hash in text order, 4 bytes a word; two texts are compared throug
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.textscan import BASE, Words, chunks, mix
@@ -127,3 +127,21 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
         keys.append((mix(key + np.uint64(0x632BE59BD9B4E019) * occ.astype(np.uint64)), (key >> np.uint64(40)).astype(np.int64)))
     (ka, da), (kb, _) = keys
     return np.bincount(da[is_in(ka, np.sort(kb))], minlength=n)
+
+
+def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Column]) -> tuple[DataFrame, Cut]:
+    """(a, b), a < b, each pair once: every two ids of ``rows`` (key, id, ...) with a key in common
+    whose rows pass ``fits``; and the table to drop once the pairs are read.
+
+    Nothing is left out of a large bucket: its members are dealt to blocks of about ``block``, and
+    each two blocks are joined on their own, so no task has a whole hot bucket."""
+    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    held = Cut(rows.join(sizes, "key"), "buckets")
+    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    row = F.struct(*[c for c in rows.columns if c != "key"])
+    x = held.df.select("key", own.alias("i"), each.alias("j"), row.alias("x"))
+    y = held.df.select("key", each.alias("i"), own.alias("j"), row.alias("y"))
+    both = x.join(y, ["key", "i", "j"]).filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x"), F.col("y")))
+    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), held

@@ -1,5 +1,8 @@
 """Nulls, empty tables, repeated rows, clashing columns and odd texts, for every operator."""
 
+import collections
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -97,6 +100,27 @@ def test_near_duplicates_in_one_large_bucket(spark, monkeypatch):
     assert {r.group_id for r in members.collect()} == {0}
 
 
+def brute_links(texts):
+    b = [collections.Counter(t.split()) for t in texts]
+    return {(i, j) for i, j in itertools.combinations(range(len(b)), 2) if sum((b[i] & b[j]).values()) >= 0.75 * max(b[i].total(), b[j].total())}
+
+
+def found_links(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, code string")
+    return {(r.a, r.b) for r in neardup.near_duplicates(df, "id", ["code"])[0].collect()}
+
+
+def test_all_links_of_large_buckets(spark, monkeypatch):
+    """Links between members that are both alike to a bucket's first, and a chain whose ends are not."""
+    monkeypatch.setattr(neardup, "BUCKET", 4)
+    base = [f"tok{i}" for i in range(40)]
+    texts = [" ".join(base[:37] + [f"a{i}", f"b{i}", f"c{i}"]) for i in range(30)]
+    texts += [" ".join(base[s:] + [f"z{k}" for k in range(s)]) for s in (6, 14)]
+    want = brute_links(texts)
+    assert (30, 31) in want and (0, 30) in want and (0, 31) not in want
+    assert found_links(spark, texts) == want
+
+
 def binary(rows):
     return pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
 
