@@ -1,14 +1,14 @@
-"""Problem 5: near-duplicate records with small edits, by order MinHash.
+"""Problem 5: near-duplicate records with small edits.
 
 Every record is an array of word hashes. Records with the same multiset of words are one class
-(exact copies cost one row each). A class has ``TABLES`` order-MinHash sketches: of its
-occurrence-labelled k-mers, the ``ELL`` of the smallest hash for that table, in text order.
-Classes that share a sketch are candidates; a candidate pair is verified on the whole texts.
-Groups are the connected components of verified links.
-
-k-mers that stand in at least ``HOT_SHARE`` of the classes (key words, boiler plate) are passed
-over while sketching, as they say little; a class of which they make up most is sketched over
-all its k-mers too, with longer sketches.
+(exact copies cost one row each). The words of a class, with their occurrence, are put in one
+order, rare ones first; two classes that share ``LIKE`` of the longer one's words have one of
+their first words in common, where ``first`` is about a quarter (prefix filter). So classes that share
+one of these are all candidates there are, whichever words are frequent; a candidate pair is
+verified on the whole texts and its order by a banded alignment. Groups are the connected
+components of verified links.
+
+Order MinHash, which this replaces, finds a link only with some probability.
 """
 
 from __future__ import annotations
@@ -20,83 +20,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import BASE, TOP, mix, occurrence
-from siftline.llm.wordsets import block_pairs, frequent_grams, grams, is_in, overlaps, unpack, word_arrays
+from siftline.llm.wordsets import block_pairs, overlaps, ranked, reach, unpack, word_arrays, word_ranks
 from siftline.operators.graph import connected_components
 from siftline.session import Cut, cut
 
 #: records are alike from this share of the longer one's words
 LIKE = 0.75
-K = 1
-ELL = 2
-TABLES = 16
-HOT_SHARE = 0.001
-#: sketches over all k-mers, for classes with few others
-DENSE_ELL = 4
-DENSE_TABLES = 24
-DENSE_COLD = 0.25
 #: members of a bucket that are joined at once; larger buckets go block by block, all pairs
 BUCKET = 1024
 BAND = 16
 
 
-def sketches(words: np.ndarray, at: np.ndarray, k: int, ell: int, tables: int, skip: np.ndarray | None) -> np.ndarray:
-    """Order-MinHash sketches (rows x tables). A row without k-mers has zeros only; one with fewer
-    than ``ell`` repeats its last."""
-    n = len(at) - 1
-    out = np.zeros((n, tables), np.uint64)
-    doc = np.repeat(np.arange(n), np.diff(at))
-    first, h = grams(words, doc, k)
-    doc = doc[first]
-    g = mix(h + np.uint64(0x5851F42D4C957F2D) * (occurrence(h, doc) + 1).astype(np.uint64))
-    if skip is not None:
-        cold = ~is_in(h, skip)
-        g, doc = g[cold], doc[cold]
-    if not len(g):
-        return out
-    start = np.flatnonzero(np.diff(doc, prepend=-1))
-    size = np.diff(np.append(start, len(doc)))
-    seg = np.repeat(np.arange(len(start)), size)
-    seeds = mix(np.arange(1, tables + 1, dtype=np.uint64) * BASE)
-    for t in range(tables):
-        rank = mix(g ^ seeds[t])
-        place = []
-        for e in range(ell):
-            low = np.minimum.reduceat(rank, start)
-            hit = np.flatnonzero(rank == low[seg])
-            hit = hit[np.diff(seg[hit], prepend=-1) > 0]
-            if place:
-                hit = np.where(size > e, hit, place[-1])
-            place.append(hit)
-            rank[hit] = TOP
-        key = np.full(len(start), t + 1 + 1000 * ell, np.uint64)
-        for p in np.sort(np.stack(place), axis=0):
-            key = mix(key * BASE + g[p])
-        out[doc[start], t] = key
-    return out
-
-
-def _sketch_rows(classes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(id, n, keys): the bucket keys of each class."""
-    sent = classes.sparkSession.sparkContext.broadcast(hot)
+def _first_words(classes: DataFrame) -> DataFrame:
+    """(id, n, key, at): the first words of each class and their places in its order."""
+    sent = classes.sparkSession.sparkContext.broadcast(word_ranks(classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = unpack(b.column(2))
-            keys = sketches(words, at, K, ELL, TABLES, sent.value)
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            first, h = grams(words, doc, K)
-            cold = np.bincount(doc[first][~is_in(h, sent.value)], minlength=len(at) - 1)
-            dense = np.flatnonzero((cold < DENSE_COLD * np.bincount(doc[first], minlength=len(at) - 1)) | (cold < 2 * ELL))
-            rows = [list(filter(None, r)) for r in keys.view(np.int64).tolist()]
-            if len(dense):
-                pick = b.column(2).take(pa.array(dense))
-                more = sketches(*unpack(pick), K, DENSE_ELL, DENSE_TABLES, None).view(np.int64).tolist()
-                for i, r in zip(dense.tolist(), more):
-                    rows[i] = rows[i] + list(filter(None, r))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.list_(pa.int64()))], names=["id", "n", "keys"])
-
-    kind = f"id {classes.schema['id'].dataType.simpleString()}, n int, keys array<bigint>"
+            doc, place, key = ranked(words, at, sent.value)
+            keep = place < reach(np.diff(at), LIKE)[doc]
+            row = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(key[keep].view(np.int64)), pa.array(place[keep].astype(np.int32))], names=["id", "n", "key", "at"])
+
+    kind = f"id {classes.schema['id'].dataType.simpleString()}, n int, key bigint, at int"
     return classes.select("id", "n", "words").mapInArrow(run, kind)
 
 
@@ -156,13 +103,12 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def alike_links(classes: DataFrame) -> DataFrame:
     """(a, b, overlap, aligned) between classes (id, n, words) of different texts."""
-    hot = frequent_grams(classes, K, HOT_SHARE)
-    held = Cut(_sketch_rows(classes, hot), "sketches")
-    rows = held.df.select("id", "n", F.explode("keys").alias("key"))
-    # lengths alone rule out most chance partners: the shorter has at least LIKE of the longer's words
-    pairs, buckets = block_pairs(rows, BUCKET, lambda x, y: F.least(x["n"], y["n"]) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
+    rows = Cut(_first_words(classes), "first")
+    # what is left of both behind their first common word must reach LIKE of the longer
+    left = lambda x: x["n"] - x["at"]
+    pairs, buckets = block_pairs(rows.df, BUCKET, lambda x, y: F.least(left(x), left(y)) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
     links = cut(_verified(pairs, classes), "links")
-    held.drop()
+    rows.drop()
     buckets.drop()
     return links
 

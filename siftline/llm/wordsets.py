@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import BASE, Words, chunks, mix
+from siftline.functions.textscan import BASE, Words, chunks, mix, occurrence
 from siftline.session import Cut, spread
 
 
@@ -145,3 +145,49 @@ def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Co
     y = held.df.select("key", each.alias("i"), own.alias("j"), row.alias("y"))
     both = x.join(y, ["key", "i", "j"]).filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x"), F.col("y")))
     return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), held
+
+
+#: rows by which the rarity of words is told; it orders them and leaves none out
+RANK_ROWS = 30_000
+
+
+def labelled(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Words with their occurrence in the row, so that a multiset of words is a set of these."""
+    return mix(words + np.uint64(0x5851F42D4C957F2D) * (occurrence(words, doc) + 1).astype(np.uint64))
+
+
+def word_ranks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted labelled words that stand in two rows or more of about ``RANK_ROWS`` rows drawn by
+    hash, and in how many. Together with the word itself this is one order of all words, the rare
+    ones first; any order is right, a good one only makes fewer candidates."""
+    share = min(1.0, RANK_ROWS / max(classes.count(), 1))
+    drawn = classes.filter(F.pmod(F.xxhash64(F.col("id"), F.lit(13)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = unpack(b.column(0))
+            u, c = np.unique(labelled(words, np.repeat(np.arange(len(at) - 1), np.diff(at))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "n"])
+
+    found = drawn.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    word = found["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(word)
+    return word[order], found["n"].to_numpy(np.int64)[order]
+
+
+def ranked(words: np.ndarray, at: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place, labelled word) of all words, each row's in the order of ``ranks``."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    g = labelled(words, doc)
+    n = np.zeros(len(g), np.int64)
+    if len(ranks[0]):
+        known = is_in(g, ranks[0])
+        n[known] = ranks[1][np.searchsorted(ranks[0], g[known])]
+    g = g[np.lexsort((g, n, doc))]
+    return doc, np.arange(len(g)) - at[doc], g
+
+
+def reach(n: np.ndarray, share: float) -> np.ndarray:
+    """How many of its first words a row of ``n`` must show so that a row with which it shares at
+    least ``share`` of ``n`` words has one of these among its own first ones."""
+    return n - np.ceil(share * n - 1e-9).astype(np.int64) + 1

@@ -121,6 +121,16 @@ def test_all_links_of_large_buckets(spark, monkeypatch):
     assert found_links(spark, texts) == want
 
 
+@pytest.mark.parametrize("common", [28, 30])
+def test_links_in_a_family_of_frequent_words(spark, common):
+    """70 to 75 % of the words are the family's; pairs share two of their own words."""
+    base = [f"tok{i}" for i in range(common)]
+    texts = [" ".join(base + [f"p{i // 2}", f"q{i // 2}"] + [f"o{i}x{k}" for k in range(38 - common)]) for i in range(150)]
+    want = brute_links(texts)
+    assert len(want) == (75 if common == 28 else 150 * 149 // 2)
+    assert found_links(spark, texts) == want
+
+
 def binary(rows):
     return pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
 
