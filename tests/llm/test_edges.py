@@ -165,6 +165,22 @@ def test_repetition(spark):
     assert repetition.repeated_documents(items(spark, []), "item_id", "output").count() == 0
 
 
+def test_repetition_beyond_the_sample(spark, monkeypatch):
+    """The sample has one bad row, far off; the others are plainer than that and still bad."""
+    monkeypatch.setattr(repetition, "SAMPLE_ROWS", 60)
+    drawn = {r.id for r in spark.range(200).filter(f"pmod(xxhash64(id, 11), {1 << 30}) < {int(60 / 200 * (1 << 30))}").collect()}
+
+    def text(i, again):
+        w = [f"w{i:03}x{k:02}" for k in range(50 - again)]
+        return " ".join(w + w[:again])
+
+    outs = [text(i, i % 19 if i in drawn else 22) for i in range(200)]
+    outs[min(drawn)] = "The same words stand here once more and again. " * 20
+    got = {r.item_id: r for r in repetition.repeated_documents(items(spark, outs), "item_id", "output").collect()}
+    want = {i for i, r in got.items() if r.repeated_share >= 0.4}
+    assert want == set(range(200)) - drawn | {min(drawn)} and {i for i, r in got.items() if r.bad} == want
+
+
 def test_packing(spark):
     docs = spark.createDataFrame([(i, "word " * n, 3) for i, n in enumerate([1, 5, 5, 5, 30, 0, 100])] + [(50, None, 3), (1, "word " * 5, 3)], "doc_id bigint, text string, rank int")
     spec = spark.createDataFrame([(1, 12, 2), (2, 1000, 0)], "spec_id int, capacity_tokens int, reserved_tokens int")
