@@ -1,10 +1,11 @@
 """Problem 6: records of held-out splits that stand in the training split too.
 
 Held-out and training records are arrays of word hashes; records with the same words are one
-class. The 2-word grams of both sides (half of them, by hash) are partitioned by gram and joined:
-a training record that shares a gram is a hit, and the containment of the held-out record is
-computed on the whole texts. A gram in at least ``HOT_SHARE`` of the classes says little; in its
-place stands the 8-word gram that begins there, so no place is left out.
+class. The words of a held-out record, with their occurrence, are put in one order, rare ones
+first; a training record with ``CONTAINED`` of them has ``SHARED`` of the first fifth or so
+(prefix filter). These words are joined with the words of the training records, so that
+every overlap is a candidate whichever words are frequent, and the containment of the held-out
+record is computed on the whole texts.
 """
 
 from __future__ import annotations
@@ -16,45 +17,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import mix
-from siftline.llm.wordsets import frequent_grams, grams, is_in, occurrence_first, overlaps, unpack, word_arrays
+from siftline.llm.wordsets import is_in, labelled, overlaps, ranked, reach, unpack, word_arrays, word_ranks
 from siftline.session import Cut, cut
 
 #: a held-out record stands in a training record from this share of its words
 CONTAINED = 0.8
-GRAM = 2
-LONG_GRAM = 8
-HOT_SHARE = 0.001
-#: one in so many grams is kept, by hash, the same ones on both sides
-SAMPLED = 2
-#: records of fewer words than this keep all grams
-SHORT = 12
+#: words that an overlap must show among the first ones, which are as many more; fewer only if it has fewer
+SHARED = 2
 TRAIN, HELD_OUT = "train", ["valid", "test"]
 
 
-def _gram_rows(classes: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(id, gram): the kept grams of each class, each once."""
-    sent = classes.sparkSession.sparkContext.broadcast(hot)
+def _first_words(held: DataFrame, ranks: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h, need, word, known): the first words of each held-out class, how many of them an overlap
+    has at least, and whether ``ranks`` has them."""
+    sent = held.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, at = unpack(b.column(1))
+            doc, place, key = ranked(words, at, sent.value)
+            n = np.diff(at)
+            first = reach(n, CONTAINED)
+            need = np.minimum(SHARED, n - first + 1).astype(np.int8)
+            keep = place < (first + need - 1)[doc]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[keep])), pa.array(need[doc[keep]]), pa.array(key[keep].view(np.int64)), pa.array(is_in(key[keep], sent.value[0]))], names=["h", "need", "word", "known"])
+
+    return held.select("id", "words").mapInArrow(run, f"h {held.schema['id'].dataType.simpleString()}, need tinyint, word bigint, known boolean")
+
+
+def _all_words(train: DataFrame, unused: np.ndarray) -> DataFrame:
+    """(t, word): the words of each training class but those that no held-out class begins with."""
+    sent = train.sparkSession.sparkContext.broadcast(unused)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words, at = unpack(b.column(1))
             doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            first, h = grams(words, doc, GRAM)
-            cold = ~is_in(h, sent.value)
-            long_first, long_h = grams(words, doc, LONG_GRAM)
-            far = np.isin(long_first, first[~cold], assume_unique=True)
-            # a text of one word is a gram of its own
-            one = np.flatnonzero(np.diff(at) == 1)
-            keys = np.concatenate([h[cold], mix(long_h[far]), mix(~words[at[one]])])
-            owner = np.concatenate([doc[first[cold]], doc[long_first[far]], one])
-            keep = keys % np.uint64(SAMPLED) == 0
-            keep |= np.diff(at)[owner] < SHORT
-            keys, owner = keys[keep], owner[keep]
-            once = occurrence_first(keys, owner)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[once])), pa.array(keys[once].view(np.int64))], names=["id", "gram"])
-
-    return classes.select("id", "words").mapInArrow(run, f"id {classes.schema['id'].dataType.simpleString()}, gram bigint")
+            key = labelled(words, doc)
+            keep = ~is_in(key, sent.value)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[keep])), pa.array(key[keep].view(np.int64))], names=["t", "word"])
+
+    return train.select("id", "words").mapInArrow(run, f"t {train.schema['id'].dataType.simpleString()}, word bigint")
 
 
 def _contained(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
@@ -85,10 +88,14 @@ def split_overlaps(df: DataFrame, key: str = "id", text: str = "code", split: st
     member = cut(arrays.select("id", split, *also, "sig_a", "sig_b", side.alias("train")).join(lowest, ["sig_a", "sig_b", "train"]).drop("sig_a", "sig_b"), "members")
     reps = member.filter("id = class_id").select("id", "train").distinct()
     classes = arrays.select("id", side.alias("train"), "n", "words").join(reps, ["id", "train"], "left_semi").dropDuplicates(["id", "train"])
-    hot = frequent_grams(classes, GRAM, HOT_SHARE)
     held, train = classes.filter("not train"), classes.filter("train")
-    pairs = _gram_rows(held, hot).withColumnRenamed("id", "h").join(_gram_rows(train, hot).withColumnRenamed("id", "t"), "gram").select("h", "t").distinct()
+    ranks = word_ranks(classes)
+    first = Cut(_first_words(held, ranks), "first")
+    used = first.df.filter("known").select("word").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    met = first.df.select("h", "need", "word").join(_all_words(train, ranks[0][~is_in(ranks[0], np.sort(used))]), "word")
+    pairs = met.groupBy("h", "t").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("h", "t")
     found = Cut(_contained(pairs, held, train), "contained").df
+    first.drop()
     h = member.filter("not train").withColumnRenamed("id", "id_h").withColumnRenamed("class_id", "h").drop("train")
     t = member.filter("train").select(F.col("id").alias("id_t"), F.col("class_id").alias("t"))
     return found.join(h, "h").join(t, "t").select("id_h", "id_t", split, "containment", *also)

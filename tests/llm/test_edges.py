@@ -156,6 +156,19 @@ def test_crossover(spark):
     assert crossover.overlap_counts(crossover.split_overlaps(df)).filter("split = 'test'").first().n_records == 2
 
 
+def test_crossover_of_frequent_words(spark):
+    """Short copies of frequent words, scattered words, and a third of the rows as variants of one text."""
+    base = [f"tok{i}" for i in range(42)]
+    rows = [" ".join(f"v{i}x{k // 7}" if k % 7 == 3 else w for k, w in enumerate(base)) for i in range(150)]
+    rows += [f"tok0 tok1 own{i} tok2 tok3 rare{i}" for i in range(300)] + ["tok0 tok1", "tok0 tok1 tok2", "tok2 tok1 tok0"]
+    rows += [" ".join(f"s{k}" for k in range(20)), " ".join(f"s{19 - k}" for k in range(20))]
+    split = ["test" if i % 3 == 0 or i == len(rows) - 1 else "train" for i in range(len(rows))]
+    bags = [collections.Counter(t.split()) for t in rows]
+    want = {(h, t) for h, t in itertools.product(range(len(rows)), repeat=2) if (split[h], split[t]) == ("test", "train") and sum((bags[h] & bags[t]).values()) >= 0.8 * bags[h].total()}
+    df = spark.createDataFrame([(i, c, s, "p") for i, (c, s) in enumerate(zip(rows, split))], "id bigint, code string, split string, project string")
+    assert {(r.id_h, r.id_t) for r in crossover.split_overlaps(df).collect()} == want and (0, 1) in want and (450, 451) in want
+
+
 def test_repetition(spark):
     unit = "The same words stand here once more and again. "
     outs = [unit * 20, "short", None, "", "1. x\n2. x\n", LONG, "\n".join(f"{i}. {unit}" for i in range(9))]
