@@ -2,8 +2,8 @@
 
 Every response gets its facts in one scan: what is visible of it, how much of it stands in its
 prompt, the languages of both, whether it reaches a verdict, and its opening (the first sentence's
-last clause, with names, identifiers and numbers as ``X``). Openings are clustered by MinHash, candidates verified
-by Jaccard similarity. A cluster whose openings recur over unrelated prompts and hardly ever lead
+last clause, with names, identifiers and numbers as ``X``). Openings are clustered by
+Jaccard similarity, all pairs that can be alike being compared. A cluster whose openings recur over unrelated prompts and hardly ever lead
 to a verdict, in the prompts' own language, is a template of refusal. Copy, language and
 termination checks label the other defects.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.textscan import Words, chunks, mix
 from siftline.llm.truncation import IDENTIFIER, cut_off
-from siftline.llm.wordsets import is_in
+from siftline.llm.wordsets import block_pairs, is_in
 from siftline.operators.graph import connected_components
 from siftline.session import cut, spread
 
@@ -29,7 +29,8 @@ from siftline.session import cut, spread
 COPIED = 0.85
 #: openings of one cluster share this much of their word pairs
 OPENING_LIKE = 0.5
-BANDS, ROWS = 12, 2
+#: openings with a word pair in common that are joined at once; more go block by block, all pairs
+BLOCK = 1024
 #: a template recurs over at least so many prompts, and at most this share of its responses has a verdict
 PROMPTS = 2
 VERDICT_SHARE = 0.2
@@ -44,7 +45,7 @@ _VERDICT = re.compile(r"(?i)(?:答案|answer)\s*[：:]\s*(?:是|否|yes|no)\s*[-
 _INVISIBLE = re.compile(r"[\s​-‏⁠﻿­]+")
 _SENTENCE = re.compile(r".+?(?:[。！？!?…]+|\.(?=\s|$)|\n|$)")
 _HEADING = re.compile(r"^\s*(?:#+\s*\S.{0,30}\n|[-*•]\s+)+")
-_NAME = re.compile(r"[^\W_]+(?:[-_/.＿][^\W_]+)+")
+_NAME = re.compile(r"(?<![^\W_])[^\W_]+(?:[-_/.＿][^\W_]+)+")
 _LATIN = re.compile(r"[a-zà-öø-ÿœ']+")
 _ASCII = re.compile(r"[\x00-\x7f]+")
 _SCRIPTS = {
@@ -104,6 +105,14 @@ def prompt_language(prompt: str) -> str:
     return prose_language(around) or "en"
 
 
+def prompt_names(prompt: str) -> set[str]:
+    """Words of the compound names before the code of a prompt (its first 400 characters at least,
+    up to an annotation)."""
+    m = _CODE_START.search(prompt)
+    head = prompt[: max(400, m.start() if m else len(prompt))].split("@")[0]
+    return {w for name in _NAME.findall(head) for w in re.findall(r"[^\W_]+", name)}
+
+
 def opening(text: str, names: set[str]) -> str:
     """The last clause of the first sentence of what is visible, in lower case, with identifiers,
     numbers and the prompt's names as X. Courtesies stand in the clauses before it."""
@@ -134,8 +143,7 @@ def response_facts(df: DataFrame, key: str, prompt: str, response: str) -> DataF
                 prompt_key = (pre[both[0].at[1:]] - pre[both[0].at[:-1]]).view(np.int64)
                 rows = []
                 for p, t, s in zip(prompts, texts, plain):
-                    names = {w for name in _NAME.findall(p[:400].split("@")[0]) for w in re.findall(r"[^\W_]+", name)}
-                    rows.append((not _INVISIBLE.sub("", s), prompt_language(p), prose_language(_prose(t)), bool(_VERDICT.search(t)), opening(t, names)))
+                    rows.append((not _INVISIBLE.sub("", s), prompt_language(p), prose_language(_prose(t)), bool(_VERDICT.search(t)), opening(t, prompt_names(p))))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(prompts)), pa.array(prompt_key), pa.array(cols[0], pa.bool_()), pa.array(copied), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.string(), pa.bool_(), pa.string()))]],
@@ -156,29 +164,30 @@ def _hash(x: str) -> int:
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """(opening, cluster) of distinct openings: MinHash bands give candidates, Jaccard similarity of
-    word pairs of at least ``OPENING_LIKE`` verifies them, connected components are clusters. A
-    bucket's members are compared with its smallest opening, so a hot bucket stays linear."""
+    """(opening, cluster) of distinct openings: two with Jaccard similarity of word pairs of at
+    least ``OPENING_LIKE`` share one of their first word pairs, rare ones first (prefix filter), so
+    these are the candidates, large buckets block by block; connected components are clusters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
         for b in batches:
-            keys, sets = [], []
-            for t in b.column(0).to_pylist():
-                s = np.array(_shingles(t), np.uint64)
-                low = mix(s[:, None] ^ seeds[None, :]).min(0).reshape(BANDS, ROWS)
-                keys.append(mix(mix(low[:, 0] + np.arange(BANDS, dtype=np.uint64)) ^ low[:, 1]).view(np.int64).tolist())
-                sets.append(s.view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["opening", "shingles", "keys"])
-
-    signed = cut(openings.select("opening").mapInArrow(run, "opening string, shingles array<bigint>, keys array<bigint>").withColumn("node", F.xxhash64("opening")), "openings")
-    rows = signed.select("node", F.explode("keys").alias("key"))
-    first = rows.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z")
-    star = rows.join(first, "key").select("node", F.explode(F.array("a", "z")).alias("other")).filter("node <> other")
-    pairs = star.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+            sets = [np.array(_shingles(t), np.uint64).view(np.int64).tolist() for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["opening", "shingles"])
+
+    signed = cut(openings.select("opening").mapInArrow(run, "opening string, shingles array<bigint>").withColumn("node", F.xxhash64("opening")), "openings")
     sets = signed.select("node", "shingles")
+    rows = sets.select("node", F.explode("shingles").alias("key"))
+    ranked = rows.join(rows.groupBy("key").agg(F.count("*").alias("m")), "key")
+    order = F.array_sort(F.collect_list(F.struct("m", "key")))
+    # alike sets share OPENING_LIKE of the larger one at least
+    size = F.size("order")
+    first = F.slice("order", 1, size - F.ceil(F.lit(OPENING_LIKE) * size).cast("int") + 1)
+    first = ranked.groupBy("node").agg(order.alias("order")).select(F.col("node").alias("id"), size.alias("n"), F.posexplode(first).alias("at", "e"))
+    left = lambda x: x["n"] - x["at"]
+    rows = first.filter("e.m > 1").select("id", "n", "at", F.col("e.key").alias("key"))
+    pairs, buckets = block_pairs(rows, BLOCK, lambda x, y: F.least(left(x), left(y)) >= F.lit(OPENING_LIKE) * F.greatest(x["n"], y["n"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = both.filter(F.size(F.array_intersect("sa", "sb")) >= OPENING_LIKE * F.size(F.array_union("sa", "sb"))).select("a", "b")
+    links = cut(both.filter(F.size(F.array_intersect("sa", "sb")) >= OPENING_LIKE * F.size(F.array_union("sa", "sb"))).select("a", "b"), "links")
+    buckets.drop()
     comp = connected_components(links)
     return signed.select("opening", "node").join(comp, "node", "left").select("opening", F.coalesce("comp", "node").alias("cluster"))
 

@@ -77,6 +77,28 @@ def test_pairs(spark):
     assert pairs.defective_pairs(items(spark, [None, "", LONG], prompt=None), "item_id", "input", "output").count() == 3
 
 
+def test_opening_clusters(spark, monkeypatch):
+    """Pairs and chains of openings that all have frequent word pairs in common, against brute force."""
+    monkeypatch.setattr(pairs, "BLOCK", 4, raising=False)
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    texts = [f"sorry but {own(i // 2, 5)} {own(1000 + i, 1)}" for i in range(80)] + [f"sorry but {own(2000 + i, 6)}" for i in range(40)]
+    texts += [" ".join(f"c{k}" for k in range(s, s + 8)) for s in range(0, 12, 2)]
+    texts += [f"i am sorry but for this test {own(3000 + i, 13)}" for i in range(600)] + [f"i am sorry but for this test {own(4000 + i, 2)}" for i in range(5)]
+    sets = [set(pairs._shingles(t)) for t in texts]
+    root = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j]):
+            root = [root[i] if r == root[j] else r for r in root]
+    got = {r.opening: r.cluster for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect()}
+    parts = lambda label: {frozenset(t for t, x in zip(texts, label) if x == v) for v in set(label)}
+    assert len(parts(root)) > 60 and parts([got[t] for t in texts]) == parts(root)
+
+
+def test_names_of_long_prompts():
+    prompt = "[a_b] " + "filler words " * 60 + "my_module.py\n@Test\npublic void f() { }"
+    assert {"my", "module"} <= pairs.prompt_names(prompt)
+
+
 def test_near_duplicates(spark):
     words = [f"tok{i}" for i in range(40)]
     texts = [" ".join(words), " ".join(words[:36] + ["x1", "x2", "x3", "x4"]), " ".join(reversed(words)), None, "", " ".join(f"other{i}" for i in range(40)), "one", LONG, LONG + " more"]
