@@ -136,7 +136,7 @@ def _distilled(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
-    return call_statistics(call_model(_searches(table(spark, d, "dataset")).select("id", F.col("code").alias("prompt")), "prompt", wait=0))
+    return call_statistics(call_model(table(spark, d, "dataset").select("id", F.col("code").alias("prompt")), "prompt", wait=0))
 
 
 def _overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -18,3 +18,7 @@ def test_matches_sql(spark, small, name):
 def test_runs(spark, small, name):
     df = queries()[name](spark, small)
     assert df.columns and df.count() > 0
+
+
+def test_call_statistics_cover_all_rows(spark, small):
+    assert queries()["api_call_stats"](spark, small).first().n_rows == spark.read.parquet(f"{small}/dataset.parquet").count()
