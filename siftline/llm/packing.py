@@ -1,4 +1,4 @@
-"""Problem 8: filling containers of fixed capacity, by shortest-pack-first histogram packing.
+"""Problem 8: filling containers of fixed capacity, by best-fit histogram packing.
 
 Token counts are taken once. The driver sees only the histogram of lengths, which the capacity
 bounds: lengths are placed longest first, each into the open pattern with the least room left
