@@ -38,13 +38,13 @@ VERDICT_SHARE = 0.2
 _TAG = re.compile(r"</?[A-Za-z]+>")
 _FENCE = re.compile(r"(?s)```.*?(?:```|$)")
 _SPAN = re.compile(r"`[^`\n]*`")
-_QUOTED = re.compile(r"[\"“„«「][^\"”“»」\n]{0,80}[\"”“»」]")
+_QUOTED = re.compile(r"[\"“„«「][^\"”“»」\n]*[\"”“»」]")
 _IDENT = re.compile(IDENTIFIER)
 _VERDICT_LINE = re.compile(r"(?im)^[\s*#]*(?:答案|answer)\s*[：:].*$")
 _VERDICT = re.compile(r"(?i)(?:答案|answer)\s*[：:]\s*(?:是|否|yes|no)\s*[-–—]\s*\w+")
-_INVISIBLE = re.compile(r"[\s​-‏⁠﻿­]+")
+_VISIBLE = re.compile(r"[^\s​-‏⁠﻿­]")
 _SENTENCE = re.compile(r".+?(?:[。！？!?…]+|\.(?=\s|$)|\n|$)")
-_HEADING = re.compile(r"^\s*(?:#+\s*\S.{0,30}\n|[-*•]\s+)+")
+_HEADING = re.compile(r"^\s*(?:#+\s*\S.*\n|[-*•]\s+)+")
 _NAME = re.compile(r"(?<![^\W_])[^\W_]+(?:[-_/.＿][^\W_]+)+")
 _LATIN = re.compile(r"[a-zà-öø-ÿœ']+")
 _ASCII = re.compile(r"[\x00-\x7f]+")
@@ -52,6 +52,7 @@ _SCRIPTS = {
     "kana": re.compile(r"[ぁ-ヿ]"), "han": re.compile(r"[㐀-鿿]"), "ko": re.compile(r"[가-힣]"),
     "ru": re.compile(r"[Ѐ-ԯ]"), "th": re.compile(r"[฀-๿]"), "hi": re.compile(r"[ऀ-ॿ]"),
 }
+_BRACKETED = re.compile(r"【[^】\n]*】|\[[^\]\n]*\]")
 _CODE_START = re.compile(r"(?m)^\s*(?:@\w+|public |private |protected )")
 # Common words by which the Latin languages are told apart.
 STOP_WORDS = {
@@ -99,17 +100,16 @@ def prompt_language(prompt: str) -> str:
     m = _CODE_START.search(prompt)
     head = prompt[: m.start()] if m else prompt
     tail = prompt[prompt.rfind("}") + 1 :] if m else ""
-    around = _IDENT.sub(" ", head + " " + tail)
+    around = _IDENT.sub(" ", _BRACKETED.sub(lambda b: b.group()[0], head) + " " + tail)
     if any(0x3000 <= ord(c) < 0xA000 or 0xFF00 <= ord(c) < 0xFFF0 for c in around):
         return prose_language(around) or "zh"
     return prose_language(around) or "en"
 
 
 def prompt_names(prompt: str) -> set[str]:
-    """Words of the compound names before the code of a prompt (its first 400 characters at least,
-    up to an annotation)."""
+    """Words of the compound names before the code of a prompt."""
     m = _CODE_START.search(prompt)
-    head = prompt[: max(400, m.start() if m else len(prompt))].split("@")[0]
+    head = prompt[: m.start()] if m else prompt
     return {w for name in _NAME.findall(head) for w in re.findall(r"[^\W_]+", name)}
 
 
@@ -138,12 +138,11 @@ def response_facts(df: DataFrame, key: str, prompt: str, response: str) -> DataF
                 keys = [w.hash ^ mix(w.doc.astype(np.uint64)) for w in both]
                 own = np.bincount(both[1].doc, minlength=len(texts))
                 copied = np.bincount(both[1].doc, is_in(keys[1], np.sort(keys[0])), len(texts)) / np.maximum(own, 1)
-                copied[own < 8] = 0
                 pre = np.concatenate([[np.uint64(0)], np.cumsum(both[0].hash)])
                 prompt_key = (pre[both[0].at[1:]] - pre[both[0].at[:-1]]).view(np.int64)
                 rows = []
                 for p, t, s in zip(prompts, texts, plain):
-                    rows.append((not _INVISIBLE.sub("", s), prompt_language(p), prose_language(_prose(t)), bool(_VERDICT.search(t)), opening(t, prompt_names(p))))
+                    rows.append((not _VISIBLE.search(s), prompt_language(p), prose_language(_prose(t)), bool(_VERDICT.search(t)), opening(t, prompt_names(p))))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, len(prompts)), pa.array(prompt_key), pa.array(cols[0], pa.bool_()), pa.array(copied), *[pa.array(c, t) for c, t in zip(cols[1:], (pa.string(), pa.string(), pa.bool_(), pa.string()))]],
