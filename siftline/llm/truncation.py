@@ -27,20 +27,25 @@ VERDICT = r"(?i)^(答案|answer)\s*[：:]\s*(是|否|yes|no)\s*[-–—]\s*(asyn
 
 TAG = r"</?[A-Za-z]+>"
 CLOSERS = r"(?:[\s*\x{200b}\x{feff}]|" + TAG + r")++$"
+CLOSING = [" ", "\t", "\n", "\x0b", "\f", "\r", "*", "\u200b", "\ufeff", ">"]
 MARKS = r".!?。！？…"
 #: an identifier has an inner capital, a digit or an underscore
-IDENTIFIER = r"(?<![A-Za-z0-9_$])(?=[A-Za-z$]*?[a-z][A-Z]|[A-Za-z$]*?[0-9_])[A-Za-z0-9_$]+(?:\.[A-Za-z0-9_$]+)*(?:\(\))?"
+IDENTIFIER = r"(?<![A-Za-z0-9_$])[A-Z$]*+[a-z$]*+[A-Z0-9_][A-Za-z0-9_$]*+(?:\.[A-Za-z0-9_$]++)*+(?:\(\))?"
 HAN = r"\u3400-\u9fff\uf900-\ufaff"
-TOKEN = r"<|\n\s*|[" + MARKS + r"]+|[" + HAN + r"]|[\p{L}\p{M}\p{N}&&[^" + HAN + r"]]+"
-#: tokens at the end of a text among which its last words are looked for
-LAST_TOKENS = 64
+# frequent kinds first: a Han character, a word (ASCII runs of it at once), a mark, a line end, a tag
+TOKEN = "[" + HAN + r"]|(?:[A-Za-z0-9]++|[\p{L}\p{M}\p{N}&&[^" + HAN + "]])++|[" + MARKS + r"]++|\n\s*+|<"
+#: tokens at the end of a text among which its last words are looked for first, then among all
+LAST_TOKENS = 16
+#: places of the table that tells which word pairs end a text; it is broadcast, so it never grows
+PAIR_PLACES = 1 << 20
 
 
 def _plain(text: Column) -> Column:
     """Text without fenced code, with spans of code and identifiers as the word X."""
-    t = F.regexp_replace(text, r"(?s)```.*?(```|$)", "\n")
-    t = F.regexp_replace(t, r"`[^`\n]*`", " X ")
-    t = F.regexp_replace(t, TAG, "\n<")
+    # a text without the first sign of a pattern is not searched for it
+    t = F.when(text.contains("```"), F.regexp_replace(text, r"(?s)```.*?(```|$)", "\n")).otherwise(text)
+    t = F.when(t.contains("`"), F.regexp_replace(t, r"`[^`\n]*`", " X ")).otherwise(t)
+    t = F.when(t.contains("<"), F.regexp_replace(t, TAG, "\n<")).otherwise(t)
     return F.regexp_replace(t, IDENTIFIER, " X ")
 
 
@@ -60,23 +65,26 @@ def _is_word(t: Column) -> Column:
     return ~F.substring(t, 1, 1).isin("<", "\n", *MARKS)
 
 
-def ending_counts(tokens: DataFrame) -> DataFrame:
+def _pair_place(a: Column, b: Column) -> Column:
+    return F.pmod(F.xxhash64(a, b), F.lit(PAIR_PLACES))
+
+
+def ending_counts(tokens: DataFrame, tails: DataFrame) -> DataFrame:
     """(v1, v2, w1, w2, w3, inner, marked, bare) over all texts: how often each trigram of words
     w1 w2 w3, after the two tokens v1 v2, goes on with a word, is followed by a mark, or ends its
-    line or text without one."""
-    at = F.sequence(F.lit(0), F.greatest(F.size("tokens") - 3, F.lit(0)))
-    tri = F.transform(
-        at,
-        lambda i: F.struct(
-            F.coalesce(F.get("tokens", i - 2), F.lit("\n")).alias("v1"),
-            F.coalesce(F.get("tokens", i - 1), F.lit("\n")).alias("v2"),
-            F.get("tokens", i).alias("w1"),
-            F.get("tokens", i + 1).alias("w2"),
-            F.get("tokens", i + 2).alias("w3"),
-            F.coalesce(F.get("tokens", i + 3), F.lit("\n")).alias("nxt"),
-        ),
-    )
-    rows = tokens.select(F.explode(tri).alias("t")).select("t.*").filter(_is_word(F.col("w1")) & _is_word(F.col("w2")) & _is_word(F.col("w3")))
+    line or text without one. Counted are all trigrams whose first two words are those of one of
+    the last trigrams ``tails``, as no other count is looked up (and some more, where two word pairs share a
+    place)."""
+    edge = F.array(F.lit("\n"))
+    padded = F.concat(edge, edge, F.col("tokens"), edge)
+    n = F.greatest(F.size("tokens") - 2, F.lit(0))
+    names = ("v1", "v2", "w1", "w2", "w3", "nxt")
+    # slices side by side stay in generated code, unlike a function for each place
+    rows = tokens.select(F.inline(F.arrays_zip(*[F.slice(padded, k + 1, n).alias(c) for k, c in enumerate(names)])).alias(*names))
+    rows = rows.filter(_is_word(F.col("w1")) & _is_word(F.col("w2")) & _is_word(F.col("w3")))
+    ends = tails.select(_pair_place(F.col("w1"), F.col("w2")).alias("place")).distinct()
+    # at most PAIR_PLACES rows
+    rows = rows.withColumn("place", _pair_place(F.col("w1"), F.col("w2"))).join(F.broadcast(ends), "place", "left_semi")
     kind = F.when(_is_mark(F.col("nxt")), "marked").when(_is_end(F.col("nxt")), "bare").otherwise("inner")
     return rows.groupBy("v1", "v2", "w1", "w2", "w3").agg(*[F.sum(F.when(kind == k, 1).otherwise(0)).alias(k) for k in ("inner", "marked", "bare")])
 
@@ -92,16 +100,17 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     and quotes only. Repeated rows are judged alike. ``prompt`` (null: none) is only searched for
     the identifier that the text's last word may be the beginning of."""
     base = spread(df.select(key, *{text, prompt})).select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(prompt, F.lit("")).alias("_prompt"))
-    t = base.withColumn("body", F.regexp_replace("_text", CLOSERS, "")).withColumn("line", _last_line(F.col("body")))
-    last = F.regexp_extract(F.right("line", F.lit(200)), r"([A-Za-z0-9_$]+)[" + MARKS + r"]*$", 1)
+    t = base.withColumn("body", F.when(F.right("_text", F.lit(1)).isin(CLOSING), F.regexp_replace("_text", CLOSERS, "")).otherwise(F.col("_text"))).withColumn("line", _last_line(F.col("body")))
+    t = t.withColumn("last", F.regexp_extract("line", r"(?<![A-Za-z0-9_$])([A-Za-z0-9_$]++)[" + MARKS + r"]*+$", 1))
+    last = F.col("last")
     # only an identifier can be the beginning of another one, so few prompts are searched
-    names = F.regexp_extract_all("_prompt", F.lit(r"[A-Za-z0-9_$]{4,}"), F.lit(0))
-    begun_name = F.when((F.length(last) > 3) & last.rlike("[a-z][A-Z]|[0-9]"), F.exists(names, lambda x: x.startswith(last) & (x != last)) & ~F.array_contains(names, last)).otherwise(False)
+    at = lambda rest: F.concat(F.lit(r"(?<![A-Za-z0-9_$])\Q"), last, F.lit(r"\E" + rest))
+    begun_name = F.when((F.length(last) > 3) & last.rlike("[a-z][A-Z]|[0-9]"), F.regexp("_prompt", at("[A-Za-z0-9_$]")) & ~F.regexp("_prompt", at("(?![A-Za-z0-9_$])"))).otherwise(False)
     verdicts = F.array(*[F.lit(f"{h}{c}{w} - {k}") for h in VERDICT_HEADS for c in ("：", ": ") for w in VERDICT_WORDS for k in VERDICT_KINDS])
     bare_line = F.regexp_replace("line", r"[\s*" + MARKS + r"]+$", "")
     whole_verdict = F.col("line").rlike(VERDICT)
     begun_verdict = F.when(bare_line.rlike("^[" + "".join(h[0] for h in VERDICT_HEADS) + "]") & ~whole_verdict, F.exists(verdicts, lambda v: v.startswith(bare_line) & (v != bare_line))).otherwise(False)
-    code_end = F.col("body").rlike(r"(```|[;{}])\z")
+    code_end = F.col("body").endswith("```") | F.right("body", F.lit(1)).isin(";", "{", "}")
     odd = lambda ch: (F.length("line") - F.length(F.replace("line", F.lit(ch), F.lit("")))) % 2 == 1
     t = t.select(
         "_key",
@@ -110,7 +119,7 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
         whole_verdict.alias("whole_verdict"),
         code_end.alias("code_end"),
         F.col("line").rlike(r"(…|\.\.\.)\z").alias("dots"),
-        F.col("_text").rlike(r"\x{FFFD}[\s" + MARKS + r"]*\z").alias("bytes"),
+        (F.col("_text").contains("\ufffd") & F.col("_text").rlike(r"\x{FFFD}[\s" + MARKS + r"]*\z")).alias("bytes"),
         (
             (F.col("_text").contains("<think>") & ~F.col("_text").contains("</think>"))
             | (F.col("_text").contains("<answer>") & ~F.col("_text").contains("</answer>"))
@@ -122,27 +131,28 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
         (F.col("body") == "").alias("blank"),
     )
     t = cut(t, "tokens")
-    counts5 = cut(ending_counts(t), "endings")
-    counts = counts5.groupBy("w1", "w2", "w3").agg(*[F.sum(k).alias(k) for k in ("inner", "marked", "bare")])
-
     end = F.slice("tokens", F.greatest(F.size("tokens") - LAST_TOKENS + 1, F.lit(1)), LAST_TOKENS)
-    last_words = t.withColumn("tail", end)
-    at = F.size("tail")
+    at = F.size("tokens")
     # the last word's place among all tokens: behind it stand marks only
-    place = at - 1 - F.when(_is_mark(F.get(F.col("tail"), at - 1)), 1).otherwise(0)
-    facts = last_words.withColumn("words", F.filter("tail", _is_word)).select(
+    place = at - 1 - F.when(_is_mark(F.get(F.col("tokens"), at - 1)), 1).otherwise(0)
+    near = F.filter(end, _is_word)
+    words = F.when(F.size(near) >= 3, near).otherwise(F.filter("tokens", _is_word))
+    facts = t.withColumn("words", words).select(
         "_key", "has_mark", "whole_verdict", "code_end", "dots", "bytes", "tag", "verdict", "quote", "word", "blank",
         F.size("words").alias("n"),
         *[F.get(F.col("words"), F.size("words") - i).alias(f"w{4 - i}") for i in (3, 2, 1)],
-        F.coalesce(F.get("tail", place - 4), F.lit("\n")).alias("v1"),
-        F.coalesce(F.get("tail", place - 3), F.lit("\n")).alias("v2"),
+        F.coalesce(F.get("tokens", place - 4), F.lit("\n")).alias("v1"),
+        F.coalesce(F.get("tokens", place - 3), F.lit("\n")).alias("v2"),
     )
     facts = cut(facts, "ends")
-    seen = counts.select("w1", "w2", "w3", "inner", "marked", "bare")
     # a last word that never stands here, as the beginning of one that often does
     tails = facts.filter("n >= 3").select("w1", "w2", "w3").distinct()
-    longer = counts.filter(F.col("inner") + F.col("marked") + F.col("bare") >= INNER_LEAST).select("w1", "w2", F.col("w3").alias("full"), (F.col("inner") + F.col("marked") + F.col("bare")).alias("often"))
-    begun = tails.join(longer, ["w1", "w2"]).filter(F.col("full").startswith(F.col("w3")) & (F.col("full") != F.col("w3"))).groupBy("w1", "w2", "w3").agg(F.max("often").alias("often"))
+    counts5 = cut(ending_counts(t, tails), "endings")
+    counts = counts5.groupBy("w1", "w2", "w3").agg(*[F.sum(k).alias(k) for k in ("inner", "marked", "bare")])
+    seen = counts.select("w1", "w2", "w3", "inner", "marked", "bare")
+    first = F.substring("w3", 1, 1).alias("first")
+    longer = counts.filter(F.col("inner") + F.col("marked") + F.col("bare") >= INNER_LEAST).select("w1", "w2", first, F.col("w3").alias("full"), (F.col("inner") + F.col("marked") + F.col("bare")).alias("often"))
+    begun = tails.select("*", first).join(longer, ["w1", "w2", "first"]).filter(F.col("full").startswith(F.col("w3")) & (F.col("full") != F.col("w3"))).groupBy("w1", "w2", "w3").agg(F.max("often").alias("often"))
     # a mark may be the text's own: then the longer ending must be one that goes on, too
     wide = counts5.filter((F.col("inner") >= INNER_LEAST / 2) & (F.col("marked") + F.col("bare") <= 2 * TERMINAL_SHARE * F.col("inner"))).select("v1", "v2", "w1", "w2", "w3", F.lit(True).alias("goes_on"))
     known = facts.join(seen, ["w1", "w2", "w3"], "left").join(begun, ["w1", "w2", "w3"], "left").join(wide, ["v1", "v2", "w1", "w2", "w3"], "left")
