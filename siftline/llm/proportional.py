@@ -2,22 +2,26 @@
 
 The balancing variables are the category indicators. Units of one category then lie in one
 line of the kernel of the balancing matrix, so a flight step moves two undecided units of a
-category against each other until one of them is decided. The flight runs in every partition
-and leaves at most one undecided unit for each plan and category; these merge upward through
-a tree of groups of ``FAN_IN`` partitions, each running the same flight, until one group is
-left, and the landing decides the rest. The sample's category totals differ from the wanted
-ones by less than one unit.
+category against each other until one of them is decided; a flight pairs all undecided units
+and does so round by round. The flight runs in every partition and leaves at most one undecided
+unit for each plan and category; these merge upward through a tree of groups of ``FAN_IN``
+partitions, each running the same flight, until one group is left. The landing gives up the
+category constraints last: the units that are left of one plan, at most one for each category,
+move against each other, so that the plan's total is kept, and the last of them is drawn. The sample's
+category totals and its size differ from the wanted ones by less than one unit.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import label_category
-from siftline.functions.textscan import mix
+from siftline.functions.textscan import BASE, MASK, mix
 from siftline.session import cut
 
 #: undecided units of so many partitions (or groups) meet in one task of the next level
@@ -25,55 +29,50 @@ FAN_IN = 64
 UNITS = "plan string, category string, id bigint, prob double, state int, part bigint"
 
 
-def _flight(ids: np.ndarray, prob: np.ndarray, seed: int) -> np.ndarray:
-    """One category's flight: probabilities after it are 0 or 1 but for at most one.
-
-    Units come in a random order that depends on seed and ids only. Two neighbours duel; the
-    running sum of probabilities decides where whole units are reached, and inside each unit
-    interval one unit is drawn with chances in proportion to its part of the interval."""
-    out = np.zeros(len(ids))
-    key = mix(ids.astype(np.uint64) + np.uint64(seed))
-    order = np.argsort(key, kind="stable")
-    chance = (mix(key + np.uint64(1)) >> np.uint64(11)).astype(float) / 2**53
-    held, held_p = -1, 0.0
-    for k, p, r in zip(order.tolist(), prob[order].tolist(), chance[order].tolist()):
-        if p >= 1 - 1e-12 or p <= 1e-12:
-            out[k] = round(p)
-            continue
-        if held < 0:
-            held, held_p = k, p
-            continue
-        total = held_p + p
-        if total < 1 - 1e-12:  # one of the two gets all, the other is decided: not drawn
-            if r < p / total:
-                held = k
-            held_p = total
-        else:  # one of the two is decided: drawn; the other keeps the rest
-            rest = total - 1
-            if r < (1 - held_p) / (2 - total):
-                out[k] = 1
-            else:
-                out[held] = 1
-                held = k
-            held_p = rest
-            if rest <= 1e-9:
-                held = -1
-    if held >= 0:
-        out[held] = held_p
-    return out
-
-
-def _settle(plan: str, category: str, ids: np.ndarray, prob: np.ndarray, part: int, land: bool) -> pd.DataFrame | None:
-    seed = int.from_bytes(f"{plan}|{category}".encode()[-6:], "little")
-    p = _flight(ids, prob, seed)
-    if land:  # the one unit that is left is drawn with its probability
-        rng = np.random.default_rng(seed)
-        p = np.where((p > 0) & (p < 1), (rng.random() < p).astype(float), p)
+def _seed(*names: str) -> np.uint64:
+    """A seed of all that is in the names, so that samples of different plans are independent."""
+    return np.uint64(int.from_bytes(hashlib.blake2b("\0".join(names).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little"))
+
+
+def _flight(ids: np.ndarray, prob: np.ndarray, seed: np.uint64) -> np.ndarray:
+    """One flight: probabilities after it are 0 or 1 but for at most one, and their sum is kept.
+
+    Units come in a random order that depends on seed and ids only. Neighbours duel, all pairs at
+    once: of two with a sum below 1 one gets all, else one is drawn and the other keeps the rest, with
+    chances that keep every unit's probability. The undecided ones meet in the next round."""
+    p = np.where(prob >= 1 - 1e-9, 1.0, np.where(prob <= 1e-9, 0.0, prob))
+    key = mix(ids.astype(np.int64).view(np.uint64) + seed)
+    left = np.argsort(key, kind="stable")
+    left = left[(p[left] > 0) & (p[left] < 1)]
+    turn = 0
+    while len(left) > 1:
+        turn += 1
+        a, b = left[: len(left) - 1 : 2], left[1::2]
+        chance = (mix(key[a] + np.uint64(turn * int(BASE) & MASK)) >> np.uint64(11)).astype(float) / 2**53
+        pa, pb = p[a], p[b]
+        total = pa + pb
+        low = total < 1
+        first = chance < np.where(low, pa / total, (1 - pb) / np.maximum(2 - total, 1e-300))
+        best, rest = np.where(low, total, 1.0), np.where(low, 0.0, total - 1)
+        p[a], p[b] = np.where(first, best, rest), np.where(first, rest, best)
+        p[p >= 1 - 1e-9], p[p <= 1e-9] = 1.0, 0.0
+        left = left[(p[left] > 0) & (p[left] < 1)]
+    return p
+
+
+def _settle(plan: str, category: str, ids: np.ndarray, prob: np.ndarray, part: int) -> pd.DataFrame:
+    p = _flight(ids, prob, _seed(plan, category))
     keep = p > 0
-    if not keep.any():
-        return None
-    whole = p[keep] >= 1
-    return pd.DataFrame({"plan": plan, "category": category, "id": ids[keep], "prob": p[keep], "state": np.where(whole, 1, 0), "part": part})
+    return pd.DataFrame({"plan": plan, "category": category, "id": ids[keep], "prob": p[keep], "state": np.where(p[keep] >= 1, 1, 0), "part": part})
+
+
+def _land(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """The drawn ones of a plan's last undecided units, one for each category at most."""
+    pdf = pdf.sort_values(["category", "id"])
+    seed = _seed(key[0])
+    p = _flight(np.arange(len(pdf)), pdf.prob.to_numpy(), seed)
+    chance = float(mix(np.array([seed]))[0] >> np.uint64(11)) / 2**53  # for the last one
+    return pdf.assign(state=1)[p > np.where(p < 1, chance, 0)]
 
 
 def cube_sample(df: DataFrame, quotas: DataFrame) -> DataFrame:
@@ -102,39 +101,29 @@ def cube_sample(df: DataFrame, quotas: DataFrame) -> DataFrame:
                 ids = ids.to_numpy(np.int64)
                 for plan, p in prob.get(category, []):
                     old = held.pop((plan, category), none)
-                    out = _settle(plan, category, np.concatenate([old[0], ids]), np.concatenate([old[1], np.full(len(ids), p)]), part, False)
-                    if out is not None:
-                        open_ = out[out.state == 0]
-                        if len(open_):
-                            held[plan, category] = (open_.id.to_numpy(np.int64), open_.prob.to_numpy())
-                        yield out[out.state == 1]
+                    out = _settle(plan, category, np.concatenate([old[0], ids]), np.concatenate([old[1], np.full(len(ids), p)]), part)
+                    open_ = out[out.state == 0]
+                    if len(open_):
+                        held[plan, category] = (open_.id.to_numpy(np.int64), open_.prob.to_numpy())
+                    yield out[out.state == 1]
         for (plan, category), (ids, p) in held.items():
             yield pd.DataFrame({"plan": plan, "category": category, "id": ids, "prob": p, "state": 0, "part": part})
 
-    def merge(land: bool):
-        def run(key, pdf):
-            # probabilities and ids are put in one order, so that a repeated task decides alike
-            pdf = pdf.sort_values(["id", "prob"])
-            out = _settle(key[0], key[1], pdf.id.to_numpy(np.int64), pdf.prob.to_numpy(), int(key[2]), land)
-            return pdf.iloc[:0] if out is None else out
-
-        return run
+    def merge(key, pdf):
+        # probabilities and ids are put in one order, so that a repeated task decides alike
+        pdf = pdf.sort_values(["id", "prob"])
+        return _settle(key[0], key[1], pdf.id.to_numpy(np.int64), pdf.prob.to_numpy(), int(key[2]))
 
     units = df.filter(F.col("category").isNotNull()).select("id", "category")
-    width = max(1, units.rdd.getNumPartitions())
-    level = units.mapInPandas(first, UNITS)
-    drawn = None
-    level = cut(level, "cube")
-    drawn = level.filter("state = 1")
-    open_ = level.filter("state = 0")
-    while True:
+    level = cut(units.mapInPandas(first, UNITS), "cube")
+    drawn, open_ = level.filter("state = 1"), level.filter("state = 0")
+    width = (open_.agg(F.max("part").alias("last")).first().last or 0) + 1
+    while width > 1:
         width = -(-width // FAN_IN)
-        open_ = open_.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint"))
-        open_ = open_.groupBy("plan", "category", "part").applyInPandas(merge(width == 1), UNITS)
-        if width == 1:
-            return drawn.unionByName(open_.filter("state = 1")).select("plan", "category", "id")
-        open_ = cut(open_, "cube")
-        drawn, open_ = drawn.unionByName(open_.filter("state = 1")), open_.filter("state = 0")
+        level = cut(open_.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("bigint")).groupBy("plan", "category", "part").applyInPandas(merge, UNITS), "cube")
+        drawn, open_ = drawn.unionByName(level.filter("state = 1")), level.filter("state = 0")
+    landed = open_.groupBy("plan").applyInPandas(_land, UNITS)
+    return drawn.unionByName(landed).select("plan", "category", "id")
 
 
 def quotas(dataset: DataFrame, targets: DataFrame) -> DataFrame:
