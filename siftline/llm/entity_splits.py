@@ -22,23 +22,24 @@ HEAVY_SHARE = 0.002
 BLOCK = 4000
 
 
-def entity_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def entity_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, comp) by min-label propagation over ``edges`` (node, entity): each entity takes the
-    smallest label of its nodes, each node the smallest of its entities. A hot entity costs one
-    row for each node in two map-side combined aggregations, never pairs. Nodes without an edge
-    keep their own label."""
+    smallest label of its nodes, each node the smallest of its entities and then the label of that
+    label, so that long chains shrink fast. A hot entity costs one row for each node in two map-side combined aggregations, never pairs. Nodes without an edge
+    keep their own label. Labels only fall, so the rounds end."""
     held = Cut(nodes.select("node", F.col("node").alias("comp"), F.lit(True).alias("moved")), "minlabel")
-    for _ in range(max_rounds):
+    while True:
         state = held.df.select("node", "comp")
         low = edges.join(state, "node").groupBy("entity").agg(F.min("comp").alias("low"))
         seen = edges.join(low, "entity").groupBy("node").agg(F.min("low").alias("low"))
-        low = F.coalesce("low", "comp")
-        new = Cut(state.join(seen, "node", "left").select("node", F.least("comp", low).alias("comp"), (low < F.col("comp")).alias("moved")), "minlabel")
+        step = state.join(seen, "node", "left").select("node", "comp", F.least("comp", F.coalesce("low", "comp")).alias("low"))
+        jump = step.join(state.select(F.col("node").alias("low"), F.col("comp").alias("jump")), "low", "left")
+        low = F.least("low", F.coalesce("jump", "low"))
+        new = Cut(jump.select("node", low.alias("comp"), (low < F.col("comp")).alias("moved")), "minlabel")
         held.drop()
         held = new
         if held.df.filter("moved").isEmpty():
             return held.df.select("node", "comp")
-    raise RuntimeError(f"labels still move after {max_rounds} rounds")
 
 
 def project_components(dataset: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def assign_splits(dataset: DataFrame, targets: DataFrame) -> DataFrame:
 
     Components of at least ``HEAVY_SHARE`` of the rows (so at most its inverse) are assigned on
     the driver; the others in blocks of about ``BLOCK`` components by hash, each aiming at what
-    the heavy ones left to fill, in proportion to its labels. Repeated ids follow their rows."""
+    the heavy ones left to fill of each label. Repeated ids follow their rows."""
     comps = cut(project_components(dataset), "comps")
     cat = F.coalesce(label_category("label"), F.lit("none"))
     labels = ["Async", "Conc", "Time", "UC", "OD", "Non-Flaky", "none"]
@@ -107,16 +108,18 @@ def assign_splits(dataset: DataFrame, targets: DataFrame) -> DataFrame:
         out = _greedy(heavy_hist, want, heavy["comp"].to_numpy())
         fixed += [(plan, int(c), splits[k][0]) for c, k in zip(heavy["comp"], out)]
         rest = want - np.array([heavy_hist[out == k].sum(0) for k in range(len(splits))])
-        # what is still to fill, as shares of what the light groups hold
-        rest = np.maximum(rest.sum(1), 0)
-        left[plan] = (splits, rest / max(rest.sum(), 1e-9))
+        # what is still to fill of each label, as shares of what the light groups hold of it; a split
+        # that is over full asks for nothing, a label without light rows is shared as wanted
+        rest = np.maximum(rest, 0)
+        full = rest.sum(0)
+        left[plan] = (splits, np.where(full > 0, rest / np.maximum(full, 1e-9), share[:, None] / share.sum()))
     blocks = max(1, round(all_.groups / BLOCK))
 
     def light(key, pdf):
         pdf = pdf.sort_values("comp")
         h, ids, parts = pdf[cols].to_numpy(float), pdf["comp"].to_numpy(), []
         for plan, (splits, share) in left.items():
-            k = _greedy(h, share[:, None] * h.sum(0)[None, :], ids)
+            k = _greedy(h, share * h.sum(0)[None, :], ids)
             parts.append(pd.DataFrame({"plan": plan, "comp": ids, "split": [splits[i][0] for i in k]}))
         return pd.concat(parts) if parts else pd.DataFrame({"plan": [], "comp": [], "split": []})
 
