@@ -1,19 +1,21 @@
-"""Problem 8: filling containers of fixed capacity, by best-fit histogram packing.
+"""Problem 8: filling containers of fixed capacity, by shortest-pack-first histogram packing.
 
 Token counts are taken once. The driver sees only the histogram of lengths, which the capacity
-bounds: lengths are placed longest first, each into the open pattern with the least room left
-that still takes it, and patterns are counted, not containers. A pattern is split when only
-part of its containers get the next length. Documents then find their container by their rank
-among the pieces of the same length.
+bounds: lengths are placed longest first, each into the shortest open pattern, which is the one
+with the most room, or into a new container if it does not fit there; patterns are counted, not
+containers. A pattern is split when only part of its containers get the next length. Documents
+then find their container by their rank among the pieces of the same length.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+import os
+from bisect import insort
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,10 @@ from siftline.session import cut, spread
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: how a text is cut before byte pairs are merged: the public pattern that belongs to the vocabulary
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: pieces of one length are ranked in so many groups, so that a hot length is no hot task
+#: pieces of one length are ranked in groups, so that a hot length is no hot task: so many at least,
 RANK_GROUPS = 64
+#: and more where one group would hold more pieces than this
+GROUP_ROWS = 1_000_000
 
 _encoders: dict[str, object] = {}
 
@@ -40,11 +44,14 @@ def encoder(ranks_path: str):
 
 
 def token_counts(docs: DataFrame, ranks_path: str = DEFAULT_RANKS) -> DataFrame:
-    """(doc_id, tokens) of every row; null and empty texts have 0 tokens."""
+    """(doc_id, tokens) of every row; null and empty texts have 0 tokens. The rank file is read where
+    the driver finds it and sent to the executors."""
+    docs.sparkSession.sparkContext.addFile(ranks_path)
+    name = os.path.basename(ranks_path)
     kind = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tokens bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(ranks_path)
+        enc = encoder(SparkFiles.get(name))
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
@@ -66,8 +73,8 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
         while left:
-            k = bisect_left(spaces, length)
-            if k == len(spaces):  # none has room: new containers, each with as many as fit
+            if not spaces or spaces[-1] < length:
+                # not even the shortest has room: new containers, each the shortest until it is full
                 per = capacity // length
                 if left >= per:
                     put(capacity - per * length, left // per, (length,) * per)
@@ -75,23 +82,16 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
                 if left:
                     put(capacity - left * length, 1, (length,) * left)
                 break
-            free = spaces[k]
+            free = spaces[-1]
             count, lengths = room[free].pop()
             if not room[free]:
                 del room[free]
-                spaces.pop(k)
-            per = free // length  # pieces of this length that one such container takes
-            full = min(count, left // per)
-            if full:
-                put(free - per * length, full, lengths + (length,) * per)
-            left -= full * per
-            count -= full
-            if count and left:  # fewer than per pieces are left: they share one container
-                put(free - left * length, 1, lengths + (length,) * left)
-                count -= 1
-                left = 0
-            if count:
-                put(free, count, lengths)
+                spaces.pop()
+            took = min(count, left)  # one piece makes a container longer than the others like it
+            put(free - length, took, (*lengths, length))
+            left -= took
+            if count > took:
+                put(free, count - took, lengths)
     return [(n, lengths) for free in sorted(room) for n, lengths in room[free]]
 
 
@@ -115,7 +115,8 @@ def pack(docs: DataFrame, specs: DataFrame, ranks_path: str = DEFAULT_RANKS) ->
         .select("doc_id", "spec_id", "cap", "whole", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(whole - 1) div cap"))).alias("part"))
         .select("doc_id", "spec_id", F.col("part").cast("int").alias("part"), F.least("cap", F.col("whole") - F.col("part") * F.col("cap")).alias("tokens"))
     )
-    grouped = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part"), F.lit(RANK_GROUPS)))
+    groups = max(RANK_GROUPS, -(-sizes.count() // GROUP_ROWS))
+    grouped = cut_up.withColumn("grp", F.pmod(F.xxhash64("doc_id", "part"), F.lit(groups)))
     # at most capacity x groups rows for each spec
     counts = cut(grouped.groupBy("spec_id", "tokens", "grp").agg(F.count("*").alias("n")), "histogram")
     before = F.sum("n").over(_by("spec_id", "tokens").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1))
@@ -157,8 +158,6 @@ def pack(docs: DataFrame, specs: DataFrame, ranks_path: str = DEFAULT_RANKS) ->
 
 
 def _by(*cols: str):
-
-
     return Window.partitionBy(*cols)
 
 
@@ -168,5 +167,3 @@ def packing_report(packed: DataFrame, specs: DataFrame) -> DataFrame:
     use = packed.filter("container_id is not null").groupBy("spec_id").agg((F.max("container_id") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
     cap = F.col("capacity_tokens") - F.col("reserved_tokens")
     return specs.join(use, "spec_id").select("spec_id", "containers", "tokens", F.try_divide(F.col("tokens"), F.col("containers") * cap).alias("fill"), F.ceil(F.col("tokens") / cap).alias("least_containers"))
-
-
