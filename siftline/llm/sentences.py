@@ -3,12 +3,14 @@
 A document is divided into blocks by its layout: fenced code, headings, list entries, quoted
 lines, paragraphs; lines that were merely wrapped stay together. In each block every place where
 a sentence might end is a candidate. A span between two candidates is scored as a whole: by its
-length, the words that close it, the word that opens what follows, and whether quotation marks
-and brackets are balanced in it. The best sequence of spans is the block's sentences.
+length, the word that opens it, the words and marks that close it, and the quotations and brackets
+that it does not hold whole. One that is never closed in the block binds nothing. The best
+sequence of spans is the block's sentences; any span may be one, however long.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -20,8 +22,11 @@ from siftline.session import spread
 
 #: a line break is a wrap if the next word had made the line longer than this
 WRAP_WIDTH = 66
-#: a span joins at most so many candidates; a longer run is cut at the best place within
-WINDOW = 12
+#: what a span loses for each quotation or bracket that is cut at one of its ends
+UNBALANCED = 2.0
+#: the usual length of a sentence; what a span loses grows with the square of the logarithm of its
+#: share of it, and beyond LONG code points in proportion to what is over
+USUAL, LENGTH_WEIGHT, LONG, LONG_STEP = 60, 0.05, 400, 300.0
 
 # Abbreviations that do not end a sentence, and those that may.
 NEVER_ENDS = [
@@ -54,6 +59,9 @@ _UNSPACED = re.compile(r"[฀-๿ぁ-ヿ㐀-鿿]")
 _GOES_ON = ("之后", "以后", "后", "的", "就", "并", "而", "，", "、", "；", "：", ",")
 
 
+_LENGTH = [0.0] + [-LENGTH_WEIGHT * math.log(n / USUAL) ** 2 - (2.4 if n < 4 else 0.0) for n in range(1, LONG + 1)]
+
+
 def _visible_end(text: str, end: int, start: int) -> int:
     while end > start and text[end - 1] in _BLANK:
         end -= 1
@@ -174,8 +182,11 @@ def sentence_ends(s: str) -> list[int]:
             never.update(i + 1 for i in range(m.start(), m.end()) if s[i] == ".")
     for m in _ORDINAL.finditer(s):
         never.add(m.end())
-    cand: list[tuple[int, float, int]] = []  # place, closing and opening score, open quotations
+    # place, closing score, opening score of what follows, the quotations that are open there
+    cand: list[tuple[int, float, float, tuple[int, ...]]] = []
     stack: list[str] = []
+    begun: list[int] = []  # where those of the stack begin
+    whole: set[int] = set()  # quotations that are closed, too
     skip = -1
     for e in _EVENT.finditer(s):
         if e.start() < skip:
@@ -184,12 +195,14 @@ def sentence_ends(s: str) -> list[int]:
         if len(g) == 1 and g in "„“”«»「」『』（）()\"":
             if stack and g == stack[-1]:
                 stack.pop()
-            elif g == '"':
-                stack.append('"')
-            elif g in _PAIRS:
-                stack.append(_PAIRS[g])
+                whole.add(begun.pop())
+            elif g == '"' or g in _PAIRS:
+                stack.append(_PAIRS.get(g, g))
+                begun.append(e.start())
             elif g in stack:
-                del stack[stack.index(g) :]
+                k = stack.index(g)
+                whole.add(begun[k])
+                del stack[k:], begun[k:]
             continue
         pos, quoted = e.end(), False
         while stack and pos < n:
@@ -201,6 +214,7 @@ def sentence_ends(s: str) -> list[int]:
                 break
             quoted |= stack[-1] not in ")）"
             stack.pop()
+            whole.add(begun.pop())
         stars = pos  # emphasis marks close with the sentence
         while stars < n and s[stars] == "*":
             stars += 1
@@ -216,7 +230,7 @@ def sentence_ends(s: str) -> list[int]:
         nxt = gap.end() if gap else pos
         if nxt >= n:
             break
-        score = _opens(s, nxt, g)
+        score = 0.0
         if g[-1] in "。！？।॥．":
             score += 2.5
             if quoted and not gap:
@@ -231,47 +245,55 @@ def sentence_ends(s: str) -> list[int]:
                 score -= 3.0 if s[nxt].isupper() else 6.0
         else:
             dot = e.end()
-            before = s[max(0, dot - 24) : dot - 1]
+            last = s[dot - 2] if dot > 1 else ""
             if dot in never:
                 score -= 8
             elif dot in may:
                 score -= 0.5 if s[nxt].isupper() else 4.0
-            elif _single(before):
+            elif _single(s, dot - 1):
                 score -= 6
             else:
-                score += 1.6 if len(before) > 1 and not before[-1].isdigit() else 1.2
+                score += 1.6 if dot > 2 and not last.isdigit() else 1.2
                 if quoted and not s[nxt].isupper() and not _named(s, nxt):
                     score -= 4
-                if before[-1:].isdigit() and s[nxt].islower() and not _named(s, nxt):
+                if last.isdigit() and s[nxt].islower() and not _named(s, nxt):
                     score -= 3
-        if stack:
-            score -= 4.0 * len(stack)
-        cand.append((pos, score, len(stack)))
+        cand.append((pos, score, _opens(s, nxt, g), tuple(begun)))
     if thai:
         taken = {c[0] for c in cand}
         for m in _GAP.finditer(s):
             if 0 < m.start() and m.end() < n and m.start() not in taken and s[m.start() - 1] not in "。！？.!?…(（," and s[m.end()] not in ")）":
                 sides = bool(_THAI.match(s[m.start() - 1])) + bool(_THAI.match(s[m.end()])) + (s[m.start() - 1].isdigit())
-                cand.append((m.start(), 1.5 * sides - 1.0 - (4.0 if s[m.end()] in "(（" else 0), 0))
+                cand.append((m.start(), 1.5 * sides - 1.0, -4.0 if s[m.end()] in "(（" else 0.0, ()))
         cand.sort()
+    return best_spans([(p, c, o, sum(q in whole for q in open_)) for p, c, o, open_ in cand], n)
+
+
+def best_spans(cand: list[tuple[int, float, float, int]], n: int) -> list[int]:
+    """Ends of the spans of the best sequence over a block of ``n`` code points. A candidate has
+    its place, closing score, opening score of what follows and the number of quotations it cuts. Spans up to
+    ``LONG`` are tried one by one; of the longer ones, whose loss by length is linear, only the best
+    beginning is kept, so that the time is linear in the block's length."""
     if not cand:
         return [n]
-    # semi-Markov dynamic programming over spans
     place = [0, *[c[0] for c in cand], n]
-    gain = [0.0, *[c[1] for c in cand], 0.0]
+    left = [0.0, *[c[2] - UNBALANCED * c[3] for c in cand], 0.0]  # what a span that begins here has
+    right = [0.0, *[c[1] - UNBALANCED * c[3] for c in cand], 0.0]  # and one that ends here
     best, back = [0.0], [0]
+    near, far, far_at = 0, -1e18, 0  # beginnings before ``near`` are far
     for j in range(1, len(place)):
-        top, arg = -1e18, 0
-        for i in range(max(0, j - WINDOW), j):
-            size = place[j] - place[i]
-            v = best[i] + gain[j]
-            if size < 4:
-                v -= 3.0
-            elif size > 400:
-                v -= (size - 400) / 300
+        end = place[j]
+        while end - place[near] > LONG:
+            v = best[near] + left[near] + place[near] / LONG_STEP
+            if v > far:
+                far, far_at = v, near
+            near += 1
+        top, arg = far + _LENGTH[LONG] + (LONG - end) / LONG_STEP, far_at
+        for i in range(near, j):
+            v = best[i] + left[i] + _LENGTH[end - place[i]]
             if v > top:
                 top, arg = v, i
-        best.append(top)
+        best.append(top + right[j])
         back.append(arg)
     ends, j = [], len(place) - 1
     while j > 0:
@@ -285,13 +307,16 @@ def _named(s: str, at: int) -> bool:
     return bool(m) and (any(c.isupper() or c.isdigit() or c == "_" for c in m.group(0)) or s[m.end() : m.end() + 1] in ("_", "-"))
 
 
-def _single(before: str) -> bool:
-    """Whether one letter stands before a full stop, other than a unit behind a number."""
-    if not before or not before[-1].isalpha():
+def _single(s: str, end: int) -> bool:
+    """Whether one letter stands before the full stop at ``end``, other than a unit behind a number."""
+    if not end or not s[end - 1].isalpha():
         return False
-    if len(before) > 1 and (before[-2].isalnum() or before[-2] in "_.)"):
+    at = end - 2
+    if at >= 0 and (s[at].isalnum() or s[at] in "_.)"):
         return False
-    return not re.search(r"\d" + _SPACES + r"*.$", before)
+    while at >= 0 and s[at] in _BLANK:
+        at -= 1
+    return not (at >= 0 and s[at].isdecimal())
 
 
 def sentence_units(text: str) -> list[int]:
