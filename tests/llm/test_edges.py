@@ -30,10 +30,27 @@ def test_proportional(spark):
 def test_flight_keeps_totals():
     ids = np.arange(1000)
     for p in (0.0, 0.123, 0.5, 0.9, 1.0):
-        out = proportional._flight(ids, np.full(1000, p), 5)
+        out = proportional._flight(ids, np.full(1000, p), np.uint64(5))
         assert abs(out.sum() - 1000 * p) < 1e-6 and ((out > 0) & (out < 1)).sum() <= 1
-    means = np.mean([proportional._flight(ids[:7], np.full(7, 3 / 7), s) for s in range(3000)], axis=0)
-    assert np.abs(means - 3 / 7).max() < 0.05
+    want = np.array([0.1, 0.9, 0.3, 0.45, 0.25])
+    means = np.mean([proportional._flight(ids[:5], want, np.uint64(s * 7919)) for s in range(4000)], axis=0)
+    assert np.abs(means - want).max() < 0.04
+
+
+def test_samples_of_plans_are_independent_and_keep_their_sizes(spark):
+    names = ["Async", "Conc", "UC"]
+    df = spark.createDataFrame([(i, names[i % 3]) for i in range(900)], "id bigint, label string").repartition(70)
+    plans = [f"plan_{i}" for i in range(12)]
+    rows = [(p, c, s, 0, 100.5 / 900) for p in plans for c, s in zip(names, (0.105, 0.345, 0.55))]
+    picked, report = proportional.sample_to_targets(df, spark.createDataFrame(rows, "plan string, category string, target_share double, min_rows int, sample_share double"))
+    got = {}
+    for r in picked.collect():
+        got.setdefault(r.plan, set()).add(r.id)
+    assert {len(got[p]) for p in plans} == {100}
+    assert all(abs(r.imbalance) < 1 for r in report.collect())
+    # two samples of 100 of 900 share about 11 to 15 rows
+    shared = [len(got[a] & got[b]) for a, b in itertools.combinations(plans, 2)]
+    assert max(shared) < 35 and 5 < np.mean(shared) < 25
 
 
 def test_entities(spark):
@@ -48,6 +65,25 @@ def test_entities(spark):
     assert entity_splits.assign_splits(df.limit(0), targets).count() == 0
 
 
+def test_entity_chain(spark):
+    """A chain of nodes and entities far longer than its rounds."""
+    n = 200
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node bigint")
+    edges = spark.createDataFrame([(i, f"e{i + k}") for i in range(n) for k in (0, 1)], "node bigint, entity string")
+    assert {r.comp for r in entity_splits.entity_components(nodes, edges).collect()} == {0}
+
+
+def test_light_entities_mend_what_heavy_ones_left(spark, monkeypatch):
+    """One project holds all of one label, in one split; the light ones bring the others to their labels."""
+    monkeypatch.setattr(entity_splits, "HEAVY_SHARE", 0.2)
+    rows = [(i, "big", "time") for i in range(300)] + [(1000 + i, f"p{i}q", "conc" if i % 4 else "uc") for i in range(800)]
+    df = spark.createDataFrame(rows, "id bigint, project string, label string")
+    targets = spark.createDataFrame([("p", "train", 0.7), ("p", "test", 0.3)], "plan string, split string, target_share double")
+    out = entity_splits.assign_splits(df, targets).join(df, "id").groupBy("label", "split").count().collect()
+    n = {(r.label, r.split): r["count"] for r in out}
+    assert abs(n["conc", "test"] - 180) <= 2 and abs(n["uc", "test"] - 60) <= 2
+
+
 ITEMS = "item_id bigint, input string, output string, cut string, tokens int"
 
 
@@ -94,6 +130,13 @@ def test_opening_clusters(spark, monkeypatch):
     assert len(parts(root)) > 60 and parts([got[t] for t in texts]) == parts(root)
 
 
+def test_short_copies_and_bracketed_names(spark):
+    rows = [(1, "[a_b] it waits for one second only.\n@Test\npublic void f() { }", "it waits for one second only.", None, 1)]
+    rows += [(2, "【Big window/journal】 testX1\n@Test\npublic void f() { }", "这里没有任何等待，顺序由列表决定。\n答案：否 - Non-Flaky", None, 1)]
+    got = {r.item_id: r.defect for r in pairs.defective_pairs(spark.createDataFrame(rows, ITEMS), "item_id", "input", "output").collect()}
+    assert got == {1: "copy", 2: None}
+
+
 def test_names_of_long_prompts():
     prompt = "[a_b] " + "filler words " * 60 + "my_module.py\n@Test\npublic void f() { }"
     assert {"my", "module"} <= pairs.prompt_names(prompt)
@@ -240,6 +283,22 @@ def test_histogram_packing():
         assert back == h
 
 
+def test_shortest_pack_first():
+    assert sorted(packing.pack_histogram({7: 1, 4: 1, 2: 1}, 10)) == [(1, (4, 2)), (1, (7,))]
+    # piece by piece: each goes into the container with the most room, or into a new one
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        h = {int(k): int(rng.integers(1, 9)) for k in rng.integers(1, 41, 9)}
+        room: list[int] = []
+        for x in sorted((k for k, n in h.items() for _ in range(n)), reverse=True):
+            room.sort()
+            if room and room[-1] >= x:
+                room[-1] -= x
+            else:
+                room.append(40 - x)
+        assert sorted(40 - sum(w) for n, w in packing.pack_histogram(h, 40) for _ in range(n)) == sorted(room)
+
+
 def test_leakage(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = [item.upper(), " ".join(item.split()[15:30]) + " and " + " ".join(item.split()[:14]), " ".join(item.split()[:11]), None, "", "x" + LONG, "甲乙丙丁戊己庚辛壬癸" * 4]
@@ -291,6 +350,33 @@ def test_sentences_without_blanks(units):
     assert cut("".join(units)) == units or cut(" ".join(units)) == units
 
 
+def test_spans_hold_quotations_whole():
+    many = " ".join(f"Part {i} is done." for i in range(40))
+    assert cut(f'The log said "{many}" and stopped. Then all was well.') == [f'The log said "{many}" and stopped.', "Then all was well."]
+    # one that is never closed binds nothing
+    assert cut("He wrote (and left. Then the job ran twice. It passed.") == ["He wrote (and left.", "Then the job ran twice.", "It passed."]
+
+
+def test_best_spans_against_all():
+    rnd = np.random.default_rng(3)
+    size = lambda z: sentences._LENGTH[z] if z <= sentences.LONG else sentences._LENGTH[sentences.LONG] + (sentences.LONG - z) / sentences.LONG_STEP
+    for _ in range(300):
+        *place, n = sorted(rnd.choice(np.arange(1, 1800), int(rnd.integers(2, 24)), replace=False).tolist())
+        cand = [(p, rnd.uniform(-6, 3), rnd.uniform(-3, 1), int(rnd.integers(0, 3))) for p in place]
+        at = {c[0]: c for c in cand}
+
+        def score(a, b):
+            begin = at[a][2] - sentences.UNBALANCED * at[a][3] if a in at else 0
+            end = at[b][1] - sentences.UNBALANCED * at[b][3] if b in at else 0
+            return begin + end + size(b - a)
+
+        best = {0: 0.0}
+        for b in [*place, n]:
+            best[b] = max(v + score(a, b) for a, v in best.items())
+        ends = sentences.best_spans(cand, n)
+        assert abs(sum(score(a, b) for a, b in zip([0, *ends], ends)) - best[n]) < 1e-9
+
+
 def test_layout():
     text = "﻿# Head. Two\n\nplain line one that is long enough to have been wrapped by an editor at\nsome width. Next.\r\n- one\n- two. Three\n> q one\n> q two\n```\ncode. Code\n\nx\n```\nlast"
     assert cut(text) == ["# Head. Two", "plain line one that is long enough to have been wrapped by an editor at\nsome width.", "Next.", "- one", "- two.", "Three", "> q one", "> q two", "```\ncode. Code\n\nx\n```", "last"] or cut(text)[0].endswith("# Head. Two")
