@@ -101,7 +101,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return p9_leaks(spark, d).select("doc_id", "item_id")
+    return p9_leaks(spark, d).filter("verbatim").select("doc_id", "item_id")
 
 
 def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +109,7 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    return p9_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("coverage").alias("most_covered"))
+    return p9_leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.count_if("verbatim").alias("n_verbatim"), F.max("coverage").alias("most_covered"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
