@@ -2,9 +2,9 @@
 
 Every record is an array of word hashes. Records with the same multiset of words are one class
 (exact copies cost one row each). The words of a class, with their occurrence, are put in one
-order, rare ones first; two classes that share ``LIKE`` of the longer one's words have one of
+order, rare ones first; two classes that share ``LIKE`` of the longer one's words have ``SHARED`` of
 their first words in common, where ``first`` is about a quarter (prefix filter). So classes that share
-one of these are all candidates there are, whichever words are frequent; a candidate pair is
+these are all candidates there are, whichever words are frequent; a candidate pair is
 verified on the whole texts and its order by a banded alignment. Groups are the connected
 components of verified links.
 
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 
 from siftline.llm.wordsets import block_pairs, overlaps, ranked, reach, unpack, word_arrays, word_ranks
 from siftline.operators.graph import connected_components
-from siftline.session import Cut, cut
+from siftline.session import cut
 
 #: records are alike from this share of the longer one's words
 LIKE = 0.75
 #: members of a bucket that are joined at once; larger buckets go block by block, all pairs
 BUCKET = 1024
 BAND = 16
+#: first words that two alike classes have in common (a class of one word is alike to no other)
+SHARED = 2
 
 
 def _first_words(classes: DataFrame) -> DataFrame:
@@ -39,7 +41,7 @@ def _first_words(classes: DataFrame) -> DataFrame:
         for b in batches:
             words, at = unpack(b.column(2))
             doc, place, key = ranked(words, at, sent.value)
-            keep = place < reach(np.diff(at), LIKE)[doc]
+            keep = place < (reach(np.diff(at), LIKE) + SHARED - 1)[doc]
             row = pa.array(doc[keep])
             yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(key[keep].view(np.int64)), pa.array(place[keep].astype(np.int32))], names=["id", "n", "key", "at"])
 
@@ -103,14 +105,10 @@ def _verified(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def alike_links(classes: DataFrame) -> DataFrame:
     """(a, b, overlap, aligned) between classes (id, n, words) of different texts."""
-    rows = Cut(_first_words(classes), "first")
-    # what is left of both behind their first common word must reach LIKE of the longer
-    left = lambda x: x["n"] - x["at"]
-    pairs, buckets = block_pairs(rows.df, BUCKET, lambda x, y: F.least(left(x), left(y)) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
-    links = cut(_verified(pairs, classes), "links")
-    rows.drop()
-    buckets.drop()
-    return links
+    # what is left of both from their first common words on must reach LIKE of the longer
+    left = lambda x: x["n"] - x["at"] + (SHARED - 1)
+    met = block_pairs(cut(_first_words(classes), "first"), BUCKET, lambda x, y: F.least(left(x), left(y)) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
+    return cut(_verified(met.filter(F.col("n") >= SHARED).select("a", "b"), classes), "links")
 
 
 def near_duplicates(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -182,11 +182,10 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
     first = F.slice("order", 1, size - F.ceil(F.lit(OPENING_LIKE) * size).cast("int") + 1)
     first = ranked.groupBy("node").agg(order.alias("order")).select(F.col("node").alias("id"), size.alias("n"), F.posexplode(first).alias("at", "e"))
     left = lambda x: x["n"] - x["at"]
-    rows = first.filter("e.m > 1").select("id", "n", "at", F.col("e.key").alias("key"))
-    pairs, buckets = block_pairs(rows, BLOCK, lambda x, y: F.least(left(x), left(y)) >= F.lit(OPENING_LIKE) * F.greatest(x["n"], y["n"]))
+    rows = cut(first.filter("e.m > 1").select("id", "n", "at", F.col("e.key").alias("key")), "first")
+    pairs = block_pairs(rows, BLOCK, lambda x, y: F.least(left(x), left(y)) >= F.lit(OPENING_LIKE) * F.greatest(x["n"], y["n"]))
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
     links = cut(both.filter(F.size(F.array_intersect("sa", "sb")) >= OPENING_LIKE * F.size(F.array_union("sa", "sb"))).select("a", "b"), "links")
-    buckets.drop()
     comp = connected_components(links)
     return signed.select("opening", "node").join(comp, "node", "left").select("opening", F.coalesce("comp", "node").alias("cluster"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.textscan import BASE, Words, chunks, mix, occurrence
-from siftline.session import Cut, spread
+from siftline.session import cut, spread
 
 
 def word_arrays(df: DataFrame, key: str, texts: list[str], extra: list[str] = []) -> DataFrame:
@@ -51,62 +51,6 @@ def unpack(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data.astype(np.uint64), (off - off[0]) // 4
 
 
-def grams(words: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first positions, hashes) of each k successive words of one row."""
-    if len(words) < k:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first = np.flatnonzero(doc[: len(doc) - k + 1] == doc[k - 1 :])
-    h = np.zeros(len(first), np.uint64)
-    for i in range(k):
-        h = mix(h * BASE + words[first + i])
-    return first, h
-
-
-#: a gram in fewer rows than this is never frequent: a bucket of that size is small
-FREQUENT_LEAST = 64
-
-
-def frequent_grams(arrays: DataFrame, k: int, share: float) -> np.ndarray:
-    """Sorted hashes of the k-word grams that stand in at least ``share`` of the rows, and perhaps
-    some of those in at least half that share, but in ``FREQUENT_LEAST`` rows at least. Every row
-    counts.
-
-    A task keeps only grams in at least share / 2 of its own rows; what the tasks leave out adds
-    up to less than share / 2 of all rows, so no frequent gram is missed. The result has at most
-    2 / share entries for each word of the mean row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-        for b in batches:
-            words, at = unpack(b.column(0))
-            doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            first, h = grams(words, doc, k)
-            h = h[occurrence_first(h, doc[first])]
-            rows += len(at) - 1
-            u, c = np.unique(h, return_counts=True)
-            both = np.concatenate([keys, u])
-            keys, inv = np.unique(both, return_inverse=True)
-            counts = np.bincount(inv, np.concatenate([counts, c]), len(keys)).astype(np.int64)
-        keep = counts >= share / 2 * rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(keys[keep], np.uint64(0)).view(np.int64)), pa.array(np.append(counts[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), rows))], names=["gram", "n", "rows"])
-
-    part = arrays.select("words").mapInArrow(run, "gram bigint, n bigint, rows bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
-    # the rows of all tasks are counted under gram 0, in the same pass
-    held = Cut(part, "grams")
-    rows = held.df.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first().rows
-    found = held.df.filter(F.col("n") >= max(FREQUENT_LEAST, share / 2 * rows)).select("gram").toPandas()["gram"].to_numpy(np.int64)
-    held.drop()
-    return np.sort(found.view(np.uint64))
-
-
-def occurrence_first(values: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where a value stands for the first time in its row."""
-    key = mix(values ^ mix(doc.astype(np.uint64)))
-    out = np.zeros(len(key), bool)
-    out[np.unique(key, return_index=True)[1]] = True
-    return out
-
-
 def is_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), bool)
@@ -129,22 +73,33 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.bincount(da[is_in(ka, np.sort(kb))], minlength=n)
 
 
-def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Column]) -> tuple[DataFrame, Cut]:
-    """(a, b), a < b, each pair once: every two ids of ``rows`` (key, id, ...) with a key in common
-    whose rows pass ``fits``; and the table to drop once the pairs are read.
+#: one in so many ids tells which keys are hot
+HOT_SAMPLE = 16
+
+
+def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b, n), a < b: every two ids of ``rows`` (key, id, ..., read several times, so a written
+    table) with keys in common, and on how many of these their rows pass ``fits``; pairs without one
+    that passes are left out.
 
-    Nothing is left out of a large bucket: its members are dealt to blocks of about ``block``, and
-    each two blocks are joined on their own, so no task has a whole hot bucket."""
-    sizes = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
-    held = Cut(rows.join(sizes, "key"), "buckets")
-    blocks = F.ceil(F.col("m") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    each = F.explode(F.sequence(F.lit(0), blocks - 1))
+    Rows are shuffled by key once and joined with themselves. Keys that a draw of ids by hash shows
+    to have more than about ``block`` rows are not joined in one task: their rows are dealt
+    to blocks, and each two blocks are joined on their own. The draw decides on the way only; nothing is
+    left out on either."""
+    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(HOT_SAMPLE)) == 0)
+    hot = drawn.groupBy("key").agg(F.ceil(F.count("*") * HOT_SAMPLE / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
+    placed = rows.join(cut(hot, "hot"), "key", "left")
     row = F.struct(*[c for c in rows.columns if c != "key"])
-    x = held.df.select("key", own.alias("i"), each.alias("j"), row.alias("x"))
-    y = held.df.select("key", each.alias("i"), own.alias("j"), row.alias("y"))
-    both = x.join(y, ["key", "i", "j"]).filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x"), F.col("y")))
-    return both.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct(), held
+    few = placed.filter("blocks is null")
+    near = few.select("key", row.alias("x")).join(few.select("key", row.alias("y")), "key")
+    many = placed.filter("blocks is not null")
+    own = F.pmod(F.xxhash64("id"), "blocks").cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x = many.select("key", own.alias("i"), each.alias("j"), row.alias("x"))
+    y = many.select("key", each.alias("i"), own.alias("j"), row.alias("y"))
+    both = near.select("x", "y").unionByName(x.join(y, ["key", "i", "j"]).select("x", "y"))
+    met = both.filter((F.col("x.id") < F.col("y.id")) & fits(F.col("x"), F.col("y")))
+    return met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("n"))
 
 
 #: rows by which the rarity of words is told; it orders them and leaves none out

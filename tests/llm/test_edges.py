@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, sentences, truncation
-from siftline.llm.wordsets import frequent_grams, overlaps, word_arrays
+from siftline.llm.wordsets import overlaps
 
 LONG = " ".join(f"word{i} middle" for i in range(30_000))
 
@@ -206,11 +206,6 @@ def test_alignment():
     assert overlaps(binary(a), binary(b)).tolist() == [4, 2, 0, 18]
 
 
-def test_frequent_grams(spark):
-    df = spark.createDataFrame([(i, f"common w{i} x{i}") for i in range(500)] + [(999, "")], "id bigint, t string").repartition(7)
-    assert len(frequent_grams(word_arrays(df, "id", ["t"]), 1, 0.5)) == 1
-
-
 def test_crossover(spark):
     w = [f"tok{i}" for i in range(30)]
     rows = [(1, " ".join(w), "train"), (2, " ".join(w[:27]) + " z1 z2", "test"), (3, " ".join(w), "valid"), (4, None, "test"), (5, "", "train"), (6, " ".join(w), None), (7, "solo", "train"), (8, "solo", "test"), (9, " ".join(w), "train")]
@@ -299,23 +294,42 @@ def test_shortest_pack_first():
         assert sorted(40 - sum(w) for n, w in packing.pack_histogram(h, 40) for _ in range(n)) == sorted(room)
 
 
-def test_leakage(spark):
+def leak_tables(spark):
     item = " ".join(f"w{i}" for i in range(30))
-    docs = [item.upper(), " ".join(item.split()[15:30]) + " and " + " ".join(item.split()[:14]), " ".join(item.split()[:11]), None, "", "x" + LONG, "甲乙丙丁戊己庚辛壬癸" * 4]
+    w = item.split()
+    mixed = " or ".join(" ".join(w[a : a + 7]) for a in (21, 14, 0, 7))
+    docs = [item.upper(), " ".join(w[15:30]) + " and " + " ".join(w[:14]), " ".join(w[:11]), None, "", "x" + LONG, "甲乙丙丁戊己庚辛壬癸" * 4, mixed, mixed[:60]]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id bigint, text string, item_id int")
     ev = spark.createDataFrame([(1, item, "en"), (2, "甲乙丙丁戊己庚辛壬癸" * 3, "zh"), (3, "short", "en"), (4, None, "en")], "item_id bigint, text string, lang string")
-    got = {(r.doc_id, r.item_id): (r.tiles, r.covered) for r in leakage.leaked_items(df, ev).collect()}
-    assert got == {(0, 1): (1, 30), (1, 1): (2, 29), (6, 2): (1, 30)}
-    assert leakage.leaked_items(df, ev, 0.99).count() == 2
+    return df, ev
+
+
+LEAKS = {(0, 1): (1, 30, 30, True), (1, 1): (2, 29, 15, True), (6, 2): (1, 30, 30, True), (7, 1): (4, 28, 7, False)}
+
+
+@pytest.mark.parametrize("most", [20_000_000, 100])
+def test_leakage(spark, monkeypatch, most):
+    """Whole passages, passages in another order, with the items sent whole and joined by seed."""
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", most)
+    df, ev = leak_tables(spark)
+    assert {(r.doc_id, r.item_id): (r.tiles, r.covered, r.longest, r.verbatim) for r in leakage.leaked_items(df, ev).collect()} == LEAKS
     assert leakage.leaked_items(df.limit(0), ev).count() == 0 and leakage.leaked_items(df, ev.limit(0)).count() == 0
+    twice = leakage.leaked_items(df.filter("doc_id = 0").unionByName(df.filter("doc_id = 0")), ev)
+    assert twice.count() == 2
+
+
+def test_joined_leaks_are_the_same(spark, small, monkeypatch):
+    docs, ev = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "eval_item"))
+    rows = lambda: sorted(tuple(r) for r in leakage.leaked_items(docs, ev).collect())
+    whole = rows()
+    monkeypatch.setattr(leakage, "BLOCK_CHARS", 1)
+    assert rows() == whole and whole
 
 
-def test_leakage_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "BLOCK_CHARS", 100)
-    items_ = [(i, " ".join(f"i{i}w{k}" for k in range(15)), "en") for i in range(12)]
-    ev = spark.createDataFrame(items_, "item_id bigint, text string, lang string")
-    df = spark.createDataFrame([(i, t) for i, t, _ in items_], "doc_id bigint, text string")
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(df, ev).collect()} == {(i, i) for i in range(12)}
+def test_tiles_of_repetitive_texts():
+    text, item = np.tile(np.arange(3, dtype=np.uint64), 400), np.tile(np.arange(3, dtype=np.uint64), 20)
+    hits = [(p, q) for p in range(0, 1100, 7) for q in range(0, 50, 5) if (p - q) % 3 == 0]
+    assert leakage.tile(text, item, hits, 6)[0][2] == 60
 
 
 def cut(text):
