@@ -20,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.wordsets import block_pairs, overlaps, ranked, reach, unpack, word_arrays, word_ranks
+from siftline.llm.wordsets import block_pairs, overlaps, ranked, reach, text_classes, unpack, word_arrays, word_ranks
 from siftline.operators.graph import connected_components
-from siftline.session import cut
+from siftline.session import Cut, cut
 
 #: records are alike from this share of the longer one's words
 LIKE = 0.75
@@ -108,7 +108,7 @@ def alike_links(classes: DataFrame) -> DataFrame:
     # what is left of both from their first common words on must reach LIKE of the longer
     left = lambda x: x["n"] - x["at"] + (SHARED - 1)
     met = block_pairs(cut(_first_words(classes), "first"), BUCKET, lambda x, y: F.least(left(x), left(y)) >= F.lit(LIKE) * F.greatest(x["n"], y["n"]))
-    return cut(_verified(met.filter(F.col("n") >= SHARED).select("a", "b"), classes), "links")
+    return cut(_verified(met.filter(F.col("n") >= SHARED).select("a", "b"), classes).groupBy("a", "b").agg(F.max("overlap").alias("overlap"), F.max("aligned").alias("aligned")), "links")
 
 
 def near_duplicates(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -117,19 +117,16 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFram
 
     Rows without any word (null or blank texts) are alike to nothing: each is its own group.
     Repeated rows are members of one class; other columns are not read."""
-    arrays = cut(word_arrays(df, key, texts), "words")
-    some = arrays.filter("n > 0")
-    lowest = some.groupBy("sig_a", "sig_b").agg(F.min("id").alias("class_id"))
-    member = cut(some.select("id", "sig_a", "sig_b").join(lowest, ["sig_a", "sig_b"]).select("id", "class_id"), "members")
-    reps = member.filter("id = class_id").select("id").distinct()
-    # a repeated id has equal rows in one class or is a row of several; one row of each id is enough
-    classes = some.join(reps, "id", "left_semi").dropDuplicates(["id"])
-    links = cut(alike_links(classes), "links")
+    arrays = Cut(word_arrays(df, key, texts), "words")
+    classes, member = text_classes(arrays.df.filter("n > 0"))
+    blank = cut(arrays.df.filter("n = 0").select("id"), "blank")
+    arrays.drop()
+    links = alike_links(classes)
     comp = connected_components(links.select("a", "b"))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     groups = comp.select(F.col("node").alias("class_id"), F.col("comp").alias("group_id")).join(degree, "class_id")
     out = member.join(groups, "class_id", "left").select("id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    blank = arrays.filter("n = 0").select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"))
+    blank = blank.select("id", F.col("id").alias("class_id"), F.col("id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links"))
     return links, out.unionByName(blank)
 
 

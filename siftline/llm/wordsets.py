@@ -73,8 +73,50 @@ def overlaps(a: pa.Array, b: pa.Array) -> np.ndarray:
     return np.bincount(da[is_in(ka, np.sort(kb))], minlength=n)
 
 
+def text_classes(arrays: DataFrame, by: list[str] = []) -> tuple[DataFrame, DataFrame]:
+    """The classes (by, id, n, words) of rows with the same multiset of words and the same ``by``, ``id`` being
+    the smallest of a class, and the membership (columns of ``arrays`` but n and words, class_id) of every row.
+    Copies are collapsed before the shuffle. A repeated id of different texts may name several
+    classes; it is then alike to what any of them is alike to."""
+    keys = ["sig_a", "sig_b", *by]
+    classes = cut(arrays.groupBy(*keys).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("words").alias("words")), "classes")
+    rows = arrays.drop("n", "words").join(classes.select(*keys, F.col("id").alias("class_id")), keys)
+    return classes.drop("sig_a", "sig_b"), cut(rows.drop("sig_a", "sig_b"), "members")
+
+
 #: one in so many ids tells which keys are hot
 HOT_SAMPLE = 16
+#: places of the tables of hot keys that reach the tasks; they never grow
+HOT_PLACES = 1 << 20
+
+
+def drawn(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of one in ``HOT_SAMPLE`` ids, by hash."""
+    return rows.filter(F.pmod(F.xxhash64(key, F.lit(29)), F.lit(HOT_SAMPLE)) == 0)
+
+
+def hot_blocks(rows: DataFrame, key: str, block: int) -> np.ndarray:
+    """By place (the low bits of a key): in how many blocks of about ``block`` rows the rows of its most
+    frequent key go, as the drawn ``rows`` show. At most HOT_PLACES rows reach the driver."""
+    n = rows.groupBy(key).agg(F.least(F.lit(65535), F.ceil(F.count("*") * HOT_SAMPLE / F.lit(block))).cast("int").alias("blocks")).filter("blocks > 1")
+    found = n.groupBy(F.col(key).bitwiseAND(F.lit(HOT_PLACES - 1)).alias("place")).agg(F.max("blocks").alias("blocks")).toPandas()
+    out = np.ones(HOT_PLACES, np.uint16)
+    out[found["place"].to_numpy(np.int64)] = found["blocks"].to_numpy(np.uint16)
+    return out
+
+
+def dealt(key: np.ndarray, own: np.ndarray, mine: np.ndarray, theirs: np.ndarray, left: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, keys) of the rows of one side of a join, with hot keys made into keys of two blocks: a row
+    is in one block of its own side, by its hash ``own``, and in every block of the other, so that it meets
+    each row of the other side once, in one of many tasks."""
+    place = (key & np.uint64(HOT_PLACES - 1)).astype(np.int64)
+    times = theirs[place].astype(np.int64)
+    at = np.repeat(np.arange(len(key)), times)
+    other = (np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)).astype(np.uint64)
+    block = own[at] % mine[place[at]].astype(np.uint64)
+    i, j = (block, other) if left else (other, block)
+    hot = (mine[place[at]] > 1) | (times[at] > 1)
+    return at, np.where(hot, mix(key[at] ^ mix((i << np.uint64(32)) + j + np.uint64(1))), key[at])
 
 
 def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Column]) -> DataFrame:
@@ -86,8 +128,7 @@ def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Co
     to have more than about ``block`` rows are not joined in one task: their rows are dealt
     to blocks, and each two blocks are joined on their own. The draw decides on the way only; nothing is
     left out on either."""
-    drawn = rows.filter(F.pmod(F.xxhash64("id", F.lit(29)), F.lit(HOT_SAMPLE)) == 0)
-    hot = drawn.groupBy("key").agg(F.ceil(F.count("*") * HOT_SAMPLE / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
+    hot = drawn(rows).groupBy("key").agg(F.ceil(F.count("*") * HOT_SAMPLE / F.lit(block)).cast("int").alias("blocks")).filter("blocks > 1")
     placed = rows.join(cut(hot, "hot"), "key", "left")
     row = F.struct(*[c for c in rows.columns if c != "key"])
     few = placed.filter("blocks is null")
