@@ -5,7 +5,8 @@ class. The words of a held-out record, with their occurrence, are put in one ord
 first; a training record with ``CONTAINED`` of them has ``SHARED`` of the first fifth or so
 (prefix filter). These words are joined with the words of the training records, so that
 every overlap is a candidate whichever words are frequent, and the containment of the held-out
-record is computed on the whole texts.
+record is computed on the whole texts. Words that many records of either side have are dealt to blocks, so that
+no task holds all of one word.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.wordsets import is_in, labelled, overlaps, ranked, reach, unpack, word_arrays, word_ranks
+from siftline.llm.wordsets import dealt, drawn, hot_blocks, is_in, labelled, overlaps, ranked, reach, text_classes, unpack, word_arrays, word_ranks
 from siftline.session import Cut, cut
 
 #: a held-out record stands in a training record from this share of its words
 CONTAINED = 0.8
 #: words that an overlap must show among the first ones, which are as many more; fewer only if it has fewer
 SHARED = 2
+#: records of one word that are joined at once; more go block by block
+BLOCK = 1024
 TRAIN, HELD_OUT = "train", ["valid", "test"]
 
 
@@ -60,6 +63,24 @@ def _all_words(train: DataFrame, unused: np.ndarray) -> DataFrame:
     return train.select("id", "words").mapInArrow(run, f"t {train.schema['id'].dataType.simpleString()}, word bigint")
 
 
+def _dealt(rows: DataFrame, blocks: tuple[np.ndarray, np.ndarray], left: bool) -> DataFrame:
+    """``rows`` (.., word) with the words of hot places dealt to blocks, for one side of the join."""
+    mine, theirs = blocks if left else blocks[::-1]
+    if mine.max() == 1 and theirs.max() == 1:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast((mine, theirs))
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            word = b.column(b.num_columns - 2).to_numpy().view(np.uint64)
+            own = b.column(b.num_columns - 1).to_numpy().view(np.uint64)
+            at, word = dealt(word, own, *sent.value, left)
+            yield pa.RecordBatch.from_arrays([*[b.column(i).take(pa.array(at)) for i in range(b.num_columns - 2)], pa.array(word.view(np.int64))], names=names)
+
+    return rows.select(*names, F.xxhash64(names[0]).alias("own")).mapInArrow(run, rows.schema)
+
+
 def _contained(pairs: DataFrame, held: DataFrame, train: DataFrame) -> DataFrame:
     """(h, t, containment) of the candidate pairs (h, t) from ``CONTAINED`` on."""
     both = pairs.join(held.select(F.col("id").alias("h"), F.col("words").alias("wh")), "h").join(train.select(F.col("id").alias("t"), F.col("words").alias("wt")), "t")
@@ -82,20 +103,18 @@ def split_overlaps(df: DataFrame, key: str = "id", text: str = "code", split: st
     Rows of other or null splits take no part. Texts without a word overlap with nothing. Repeated
     ids and texts are reported for every id; other columns are not read."""
     rows = df.filter(F.col(split).isin(TRAIN, *HELD_OUT))
-    arrays = cut(word_arrays(rows, key, [text], [split, *also]).filter("n > 0"), "words")
-    side = F.col(split) == TRAIN
-    lowest = arrays.groupBy("sig_a", "sig_b", side.alias("train")).agg(F.min("id").alias("class_id"))
-    member = cut(arrays.select("id", split, *also, "sig_a", "sig_b", side.alias("train")).join(lowest, ["sig_a", "sig_b", "train"]).drop("sig_a", "sig_b"), "members")
-    reps = member.filter("id = class_id").select("id", "train").distinct()
-    classes = arrays.select("id", side.alias("train"), "n", "words").join(reps, ["id", "train"], "left_semi").dropDuplicates(["id", "train"])
+    arrays = Cut(word_arrays(rows, key, [text], [split, *also]).filter("n > 0"), "words")
+    classes, member = text_classes(arrays.df.withColumn("train", F.col(split) == TRAIN), ["train"])
+    arrays.drop()
     held, train = classes.filter("not train"), classes.filter("train")
     ranks = word_ranks(classes)
-    first = Cut(_first_words(held, ranks), "first")
-    used = first.df.filter("known").select("word").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64)
-    met = first.df.select("h", "need", "word").join(_all_words(train, ranks[0][~is_in(ranks[0], np.sort(used))]), "word")
+    first = cut(_first_words(held, ranks), "first")
+    used = first.filter("known").select("word").distinct().toPandas()["word"].to_numpy(np.int64).view(np.uint64)
+    unused = ranks[0][~is_in(ranks[0], np.sort(used))]
+    blocks = hot_blocks(drawn(first, "h"), "word", BLOCK), hot_blocks(_all_words(drawn(train), unused), "word", BLOCK)
+    met = _dealt(first.select("h", "need", "word"), blocks, True).join(_dealt(_all_words(train, unused), blocks, False), "word")
     pairs = met.groupBy("h", "t").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("h", "t")
-    found = Cut(_contained(pairs, held, train), "contained").df
-    first.drop()
+    found = cut(_contained(pairs, held, train).groupBy("h", "t").agg(F.max("containment").alias("containment")), "contained")
     h = member.filter("not train").withColumnRenamed("id", "id_h").withColumnRenamed("class_id", "h").drop("train")
     t = member.filter("train").select(F.col("id").alias("id_t"), F.col("class_id").alias("t"))
     return found.join(h, "h").join(t, "t").select("id_h", "id_t", split, "containment", *also)

@@ -196,6 +196,24 @@ def test_links_in_a_family_of_frequent_words(spark, common):
     assert found_links(spark, texts) == want
 
 
+@pytest.mark.parametrize("share", [0.1, 0.14, 0.2])
+def test_links_of_planted_clusters(spark, share):
+    """A cluster of a few hundred variants of one text of 120 words, words replaced, and some others."""
+    rnd = np.random.default_rng(int(share * 100))
+    base = [f"tok{i}" for i in range(120)]
+    texts = [" ".join(f"n{i}x{k}" if rnd.random() < share else w for k, w in enumerate(base)) for i in range(200)]
+    texts += [" ".join(f"o{i}x{k}" if k % 3 else base[k] for k in range(120)) for i in range(50)]
+    assert found_links(spark, texts) == brute_links(texts)
+
+
+def test_repeated_ids_of_different_texts(spark):
+    one, two = " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(20))
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, one), (4, one)]
+    links, members = neardup.near_duplicates(spark.createDataFrame(rows, "id bigint, code string"), "id", ["code"])
+    assert {(r.a, r.b) for r in links.collect()} == {(1, 2), (1, 3)} and members.count() == 6
+    assert {r.group_id for r in members.collect()} == {1}
+
+
 def binary(rows):
     return pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
 
@@ -216,8 +234,10 @@ def test_crossover(spark):
     assert crossover.overlap_counts(crossover.split_overlaps(df)).filter("split = 'test'").first().n_records == 2
 
 
-def test_crossover_of_frequent_words(spark):
+@pytest.mark.parametrize("block", [1024, 4])
+def test_crossover_of_frequent_words(spark, monkeypatch, block):
     """Short copies of frequent words, scattered words, and a third of the rows as variants of one text."""
+    monkeypatch.setattr(crossover, "BLOCK", block)
     base = [f"tok{i}" for i in range(42)]
     rows = [" ".join(f"v{i}x{k // 7}" if k % 7 == 3 else w for k, w in enumerate(base)) for i in range(150)]
     rows += [f"tok0 tok1 own{i} tok2 tok3 rare{i}" for i in range(300)] + ["tok0 tok1", "tok0 tok1 tok2", "tok2 tok1 tok0"]
