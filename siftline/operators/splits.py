@@ -68,6 +68,11 @@ def category_project_spread(df: DataFrame, project: str = "project", category: s
     return df.filter(F.col(category).isNotNull()).groupBy(category).agg(F.count("*").alias("n_rows"), F.countDistinct(project).alias("n_projects"))
 
 
+def global_counts(df: DataFrame, project: str = "project", category: str = "category") -> DataFrame:
+    """One row: rows, distinct projects and distinct categories, nulls left out of both."""
+    return df.agg(F.count("*").alias("n_rows"), F.countDistinct(project).alias("n_projects"), F.countDistinct(category).alias("n_categories"))
+
+
 def project_category_counts(df: DataFrame, project: str = "project", category: str = "category") -> DataFrame:
     """(project, category, n_rows); a null category counts in the size of its project only."""
     return df.groupBy(project, category).agg(F.count("*").alias("n_rows"))

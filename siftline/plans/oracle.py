@@ -3,26 +3,30 @@
 from __future__ import annotations
 
 
+from siftline.functions.prompts import DEFAULT_INSTRUCTION
+from siftline.operators import signatures as S
+
+
 def _present(words: list[str], prefix: str = "") -> str:
     cells = ", ".join(f"CASE WHEN contains(code, '{w}') THEN '{prefix}{w.replace('.', '_')}' END" for w in words)
     return f"[x FOR x IN [{cells}] IF x IS NOT NULL]"
 
 
 def _signature() -> str:
-    calls = [f"['assert_' || x FOR x IN regexp_extract_all(code, '\\b{c}\\s*\\(')]" for c in ("fail", "verify", "when", "thenReturn", "mock")]
-    bare = "List Set Map Queue ArrayList HashSet HashMap LinkedList TreeSet TreeMap".split()
-    words = ", ".join(f"CASE WHEN regexp_matches(code, '\\b{w}\\b') THEN '{w}' END" for w in bare)
+    calls = [f"['assert_' || x FOR x IN regexp_extract_all(code, '\\b{c}\\s*\\(')]" for c in S.CALLS]
+    words = ", ".join(f"CASE WHEN regexp_matches(code, '\\b{w}\\b') THEN '{w}' END" for w in S.COLLECTIONS)
+    mocks = ", ".join("CASE WHEN " + " OR ".join(f"contains(code, '{w}')" for w in words) + f" THEN '{token}' END" for words, token in S.MOCKS)
     parts = [
         r"regexp_extract_all(code, '\b(\w+)\.\w+\s*\(', 1)",
-        _present("@Test @Before @After @BeforeClass @AfterClass @RunWith @Mock @InjectMocks @Spy".split()),
-        r"['assert_' || x FOR x IN regexp_extract_all(code, '\bassert(True|False|Equals|NotEquals|Null|NotNull|Same|NotSame|ArrayEquals|Throws)', 1)]",
+        _present(S.ANNOTATIONS),
+        rf"['assert_' || x FOR x IN regexp_extract_all(code, '{S.ASSERTS}', 1)]",
         *calls,
-        _present("Thread Runnable ExecutorService Future CompletableFuture synchronized volatile CountDownLatch CyclicBarrier Semaphore Lock ReentrantLock".split(), "async_"),
-        _present("Thread.sleep TimeUnit System.currentTimeMillis System.nanoTime Calendar Date LocalDateTime Instant".split(), "time_"),
+        _present(S.CONCURRENCY, "async_"),
+        _present(S.TIME, "time_"),
         f"[x FOR x IN [{words}] IF x IS NOT NULL]",
-        _present("InputStream OutputStream Reader Writer File FileInputStream FileOutputStream BufferedReader BufferedWriter".split(), "io_"),
-        "[x FOR x IN [CASE WHEN contains(code, 'Mockito') OR contains(code, 'mock(') OR contains(code, '@Mock') THEN 'mock_framework' END, CASE WHEN contains(code, 'PowerMock') THEN 'powermock' END] IF x IS NOT NULL]",
-        _present("Connection Statement PreparedStatement ResultSet Transaction EntityManager Session".split(), "db_"),
+        _present(S.IO, "io_"),
+        f"[x FOR x IN [{mocks}] IF x IS NOT NULL]",
+        _present(S.DATABASE, "db_"),
     ]
     return "flatten([" + ",\n    ".join(parts) + "])"
 
@@ -76,10 +80,11 @@ SELECT query_id, rank, cand_id, sim AS similarity FROM picked UNION ALL SELECT *
 
 
 PAIRS = f"""WITH {SIG},
-pairs AS (SELECT a.id AS id_a, a.sig AS a, b.sig AS b FROM sigs a JOIN sigs b ON b.id = a.id + 1 WHERE a.id % 100 = 0),
-m AS (SELECT id_a, len(list_intersect(a, b)) AS n_inter, len(list_distinct(list_concat(a, b))) AS n_union, len(a) + len(b) AS t,
+named AS (SELECT DISTINCT id AS id_a, e.id AS id_b FROM (SELECT id, unnest(few_shot_examples) AS e FROM alpaca_item)),
+pairs AS (SELECT id_a, id_b, a.sig AS a, b.sig AS b FROM named JOIN sigs a ON a.id = id_a JOIN sigs b ON b.id = id_b),
+m AS (SELECT id_a, id_b, len(list_intersect(a, b)) AS n_inter, len(list_distinct(list_concat(a, b))) AS n_union, len(a) + len(b) AS t,
   list_sum([least(len([y FOR y IN a IF y = x]), len([y FOR y IN b IF y = x])) FOR x IN list_intersect(a, b)]) AS shared FROM pairs),
-r AS (SELECT id_a, n_inter, n_union, CASE WHEN n_union = 0 THEN 0.0::DOUBLE ELSE n_inter / n_union::DOUBLE END AS jaccard,
+r AS (SELECT id_a, id_b, n_inter, n_union, CASE WHEN n_union = 0 THEN 0.0::DOUBLE ELSE n_inter / n_union::DOUBLE END AS jaccard,
   CASE WHEN t = 0 THEN 0.0::DOUBLE ELSE coalesce(shared, 0) / t::DOUBLE END AS overlap FROM m)"""
 
 NORMAL = """CASE WHEN {0} IS NULL OR {0} = '' THEN 'Unknown' ELSE coalesce(CASE upper({0})
@@ -138,6 +143,31 @@ BLOCK = r"""(E'\n\n参考案例（根据API签名相似度检索）：\n' || rep
   || E'\n标签: ' || coalesce(c.label, 'Unknown') || E'\n代码:\n' || c.code || E'\n' || repeat('-', 60) || E'\n', '' ORDER BY rank))"""
 
 
+# the greedy assignment of projects to folds, one project a step
+KFOLD = """WITH RECURSIVE cats AS (SELECT category, count(*) AS total FROM dataset WHERE project IS NOT NULL AND category IS NOT NULL GROUP BY category),
+sums AS (SELECT (SELECT count(*) FROM dataset WHERE project IS NOT NULL) AS n_all),
+goals AS (SELECT list(total / 4::DOUBLE ORDER BY category) AS want, list(total < 0.02::DOUBLE * n_all ORDER BY category) AS rare, any_value(n_all) / 4::DOUBLE AS goal, range(1, count(*) + 1) AS places FROM cats, sums),
+sizes AS (SELECT project, count(*) AS n FROM dataset WHERE project IS NOT NULL GROUP BY project),
+cells AS (SELECT s.project, s.n, c.category, (SELECT count(*) FROM dataset d WHERE d.project = s.project AND d.category = c.category) AS own, c.total < 0.02::DOUBLE * n_all AS rare FROM sizes s, cats c, sums),
+owns AS (SELECT project, any_value(n) AS n, list(own ORDER BY category) AS own, bool_or(rare AND own > 0) AS critical FROM cells GROUP BY project),
+seq AS (SELECT *, row_number() OVER (ORDER BY critical DESC, n DESC, project) AS i FROM owns),
+run AS (
+  SELECT 0::BIGINT AS i, NULL::VARCHAR AS project, NULL::BIGINT AS fold, [0, 0, 0, 0]::BIGINT[] AS size, [[0 FOR c IN places] FOR x IN [1, 2, 3, 4]]::BIGINT[][] AS have FROM goals
+  UNION ALL
+  SELECT i, project, fold, [size[x] + CASE WHEN x = fold THEN n ELSE 0 END FOR x IN [1, 2, 3, 4]], [[have[x][c] + CASE WHEN x = fold THEN own[c] ELSE 0 END FOR c IN places] FOR x IN [1, 2, 3, 4]]
+  FROM (SELECT * EXCLUDE (scores), CASE WHEN critical THEN (i - 1) % 4 + 1 ELSE list_position(scores, list_min(scores)) END AS fold
+    FROM (SELECT s.i, s.project, s.n, s.own, s.critical, r.size, r.have, g.places,
+        [0.1::DOUBLE * abs(r.size[x] + s.n - g.goal) + list_sum([CASE WHEN g.rare[c] AND r.have[x][c] < 4 AND s.own[c] > 0 THEN -100::DOUBLE ELSE abs(r.have[x][c] + s.own[c] - g.want[c]) END FOR c IN g.places]) FOR x IN [1, 2, 3, 4]] AS scores
+      FROM run r JOIN seq s ON s.i = r.i + 1, goals g))),
+folds AS (SELECT project, fold::INT AS fold FROM run WHERE project IS NOT NULL),
+sides AS (SELECT k.fold::INT AS fold, CASE WHEN k.fold = f.fold THEN 'test' ELSE 'train' END AS side, d.id, d.project FROM dataset d JOIN folds f ON f.project = d.project, range(1, 5) k(fold))"""
+DISTILLED = f""", shots AS (SELECT query_id, {BLOCK} AS block, count(*) AS n FROM top JOIN dataset c ON c.id = cand_id GROUP BY query_id),
+asked AS (SELECT id, {INPUT} AS input, block, n, code FROM dataset LEFT JOIN shots ON query_id = id WHERE id % 100 = 0),
+prompts AS (SELECT *, CASE WHEN block IS NULL OR code = '' THEN input ELSE replace(input, code, block || E'\\n待分析的测试代码:\\n' || code) END AS prompt FROM asked),
+kinds AS (SELECT *, CASE WHEN contains(prompt, 'currentTimeMillis') THEN 'Time' WHEN contains(prompt, 'Thread.sleep') THEN 'Async' WHEN contains(prompt, 'synchronized') THEN 'Conc' ELSE 'Non-Flaky' END AS kind FROM prompts)
+SELECT row_number() OVER (ORDER BY id) - 1 AS row_index, id, '{DEFAULT_INSTRUCTION}' AS instruction, input, E'<think>rule</think>\\n<answer>答案：' || CASE WHEN kind = 'Non-Flaky' THEN '否' ELSE '是' END || ' - ' || kind || '</answer>' AS output, n::INT AS n_examples FROM kinds"""
+
+
 def _profile(table: str, columns: list[tuple[str, str]]) -> str:
     return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS dtype, count(*) AS n_rows, count(*) - count({c}) AS n_null, (count(*) - count({c})) * 100.0::DOUBLE / count(*) AS percent_null FROM {table}" for c, t in columns)
 
@@ -152,10 +182,10 @@ def oracle_sql() -> dict[str, str]:
         "extract_apis": f"WITH {SIG} SELECT id, (i - 1)::INT AS pos, sig[i] AS token FROM (SELECT id, sig, unnest(range(1, len(sig) + 1)) AS i FROM sigs)",
         "signature_statistics": f"WITH {SIG}, t AS (SELECT unnest(sig) AS token FROM sigs) SELECT (SELECT count(*) FROM sigs) AS n_rows, count(DISTINCT token) AS n_distinct, count(*) AS n_tokens, count(*) / (SELECT count(*) FROM sigs)::DOUBLE AS mean_tokens FROM t",
         "top_tokens": f"WITH {SIG} SELECT token, count(*) AS n FROM (SELECT unnest(sig) AS token FROM sigs) GROUP BY token ORDER BY n DESC, token LIMIT 10",
-        "jaccard": PAIRS + " SELECT id_a, jaccard FROM r",
-        "frequency_overlap": PAIRS + " SELECT id_a, overlap FROM r",
-        "compute_similarity": PAIRS + " SELECT id_a, 0.6::DOUBLE * jaccard + 0.4::DOUBLE * overlap AS similarity FROM r",
-        "signature_union_intersection": PAIRS + " SELECT id_a, n_union::INT AS n_union, n_inter::INT AS n_inter FROM r",
+        "jaccard": PAIRS + " SELECT id_a, id_b, jaccard FROM r",
+        "frequency_overlap": PAIRS + " SELECT id_a, id_b, overlap FROM r",
+        "compute_similarity": PAIRS + " SELECT id_a, id_b, 0.6::DOUBLE * jaccard + 0.4::DOUBLE * overlap AS similarity FROM r",
+        "signature_union_intersection": PAIRS + " SELECT id_a, id_b, n_union::INT AS n_union, n_inter::INT AS n_inter FROM r",
         "similarity_join": f"WITH {TF}, {QUERIES}, {_sims('qs', 's')} SELECT query_id, cand_id, inter, shared::BIGINT AS shared FROM s_hit WHERE query_id <> cand_id",
         "min_similarity_filter": f"WITH {TF}, {QUERIES}, {_sims('qs', 's')} SELECT query_id, cand_id, sim AS similarity FROM s WHERE cand_id <> query_id AND sim >= 0.5",
         "retrieve_top_k": _top(3, 0.1) + " SELECT query_id, rank::INT AS rank, cand_id, similarity FROM top",
@@ -165,7 +195,10 @@ def oracle_sql() -> dict[str, str]:
         "row_fetch": _top(3, 0.1) + " SELECT query_id, rank::INT AS rank, c.project, c.label FROM top JOIN dataset c ON c.id = cand_id",
         "format_prompt": d.format(r"id, coalesce(project, '') || '/' || coalesce(test_name, '') || E'\n' || coalesce(code, '') AS prompt"),
         "code_preview": d.format("id, code[1:200] AS preview"),
-        "to_instruction": d.format(f"id, '请分析以下测试用例，判断它是否是一个Flaky Test（不稳定测试），并说明你的推理过程。' AS instruction, {INPUT} AS input"),
+        "to_instruction": f"""WITH {TRUTH}, last AS (SELECT id, few_shot_examples FROM alpaca_item WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY item_id DESC) = 1)
+SELECT '{DEFAULT_INSTRUCTION}' AS instruction, {INPUT} AS input, '答案：' || is_flaky || ' - ' || truth.category AS output, id, '[' || array_to_string([x.id FOR x IN few_shot_examples], ',') || ']' AS examples FROM dataset JOIN truth USING (id) LEFT JOIN last USING (id)""",
+        "distill": _top(3, 0.1) + DISTILLED,
+        "api_call_stats": "SELECT count(*) AS n_rows, count(code) AS calls, 0::BIGINT AS failures, count(code) AS n_output, 0::BIGINT AS tokens, CASE WHEN count(code) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS success_rate FROM dataset",
         "strip_metadata": "SELECT item_id, instruction, input, output FROM alpaca_item",
         "fewshot_block": _top(3, 0.1)
         + f""", blocks AS (SELECT query_id, {BLOCK} AS block FROM top JOIN dataset c ON c.id = cand_id GROUP BY query_id),
@@ -222,10 +255,22 @@ both_ AS (SELECT config_id, p.is_flaky AS pred_flaky, p.category AS pred_categor
         "fold_feasibility": "SELECT category, count(*) AS n_rows, count(*) / 4.0::DOUBLE AS per_fold FROM dataset WHERE category IS NOT NULL GROUP BY category HAVING count(*) / 4.0 < 20",
         "kfold_round_robin": CRITICAL + " SELECT project, n_rows, fold::INT AS fold FROM crit",
         "project_difference": CRITICAL + " SELECT DISTINCT project FROM dataset WHERE project IS NOT NULL AND project NOT IN (SELECT project FROM crit)",
-        "kfold_materialise": f"WITH {FOLDED} SELECT fold, id, project FROM folded",
+        "kfold_greedy_assign": KFOLD + " SELECT project, fold FROM folds",
+        "kfold_materialise": KFOLD + " SELECT fold, side, id, project FROM sides",
+        "save_fold_sides": KFOLD + " SELECT fold, side, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM sides GROUP BY ALL",
+        "categories_in_order": "SELECT category, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM dataset WHERE category IS NOT NULL GROUP BY category ORDER BY category",
+        "global_counts": "SELECT count(*) AS n_rows, count(DISTINCT project) AS n_projects, count(DISTINCT category) AS n_categories FROM dataset",
+        "scan_csv": d.format("id, project, test_name, code AS full_code, label, category"),
+        "scan_json": "SELECT instruction, input, output, id, coalesce(len(few_shot_examples), 0)::INT AS n_examples FROM alpaca_item",
+        "save_splits": f"WITH {STRATIFIED} SELECT * FROM strat",
+        "save_items": "SELECT 'run' AS name, count(*) AS n_rows, count(output) AS n_output, 0::BIGINT AS n_id FROM alpaca_item UNION ALL SELECT 'run_external', count(*), count(output), count(id) FROM alpaca_item",
+        "resume": f"WITH {TRUTH} SELECT id, is_flaky FROM truth",
+        "evaluation_report": f"""{ERRORS}, {_metrics("aligned")}, kinds AS (SELECT id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank FROM (SELECT id, 'flaky' AS kind FROM errors WHERE error_type <> 'category' UNION ALL SELECT id, 'category' FROM errors WHERE error_type <> 'flaky'))
+SELECT total AS total_samples, overall_accuracy, precision, recall, f1, tp, fp, tn, fn, category_accuracy, (SELECT count(DISTINCT id) FROM kinds WHERE rank <= 20)::INT AS n_errors,
+  (SELECT count(*) FROM pred WHERE id NOT IN (SELECT id FROM truth)) AS unmatched_predictions, (SELECT count(*) FROM truth WHERE id NOT IN (SELECT id FROM pred)) AS unmatched_labels FROM metrics""",
         "fold_summary": f"WITH {FOLDED} SELECT fold, category, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM folded GROUP BY ALL",
         "fold_violations": f"WITH {FOLDED} SELECT f.fold::INT AS fold, c.category, count(d.id) AS n_rows FROM range(1, 5) f(fold) CROSS JOIN (SELECT DISTINCT category FROM folded WHERE category IS NOT NULL) c LEFT JOIN folded d ON d.fold = f.fold AND d.category = c.category GROUP BY ALL HAVING count(d.id) < 40",
-        "overlap_check": "SELECT DISTINCT fold, project FROM fold_project WHERE side = 'train' INTERSECT SELECT fold, project FROM fold_project WHERE side = 'test'",
+        "overlap_check": "SELECT 1::INT AS fold, project FROM (SELECT project FROM dataset WHERE project IS NOT NULL AND split = 'train' INTERSECT SELECT project FROM dataset WHERE project IS NOT NULL AND split IS DISTINCT FROM 'train')",
         "save_folds": r"SELECT fold, side, count(DISTINCT project)::INT AS n_projects, string_agg(DISTINCT project, E'\n' ORDER BY project) AS projects FROM fold_project GROUP BY fold, side",
         "project_membership": d.format("id, project") + " WHERE project IS NOT NULL AND project NOT IN (SELECT project FROM fold_project) UNION ALL SELECT id, project FROM dataset WHERE project IS NULL",
         "profile_table": _profile("dataset", DATASET),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import prompts as P
@@ -12,14 +12,15 @@ from siftline.functions.answers import extract_answer, format_percentage, normal
 from siftline.operators import metrics as M
 from siftline.operators import profile as R
 from siftline.operators import splits as S
+from siftline.operators.ordering import with_position
 from siftline.operators.sampling import sample_data, shuffle_rows
 from siftline.operators.signatures import signature_statistics, token_counts, top_tokens, with_signature
 from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, similarity
 from siftline.plans import pipelines as L
 from siftline.plans.inference import call_model, call_statistics
-from siftline.session import table
-from siftline.sources.corpus import predictions_from_items, truth_from_labels
-from siftline.sources.sinks import plain_items, project_lists
+from siftline.session import scratch, table
+from siftline.sources.corpus import predictions_from_items, read_corpus, read_items, truth_from_labels
+from siftline.sources.sinks import plain_items, project_lists, resume, save_folds, save_items, save_json, save_splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 RARE = 0.02
@@ -80,15 +81,16 @@ def _hits(k: int, least: float) -> Query:
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Each search row beside the row of the next id, as two signatures."""
+    """Each record that an item is about beside each record it has as an example, as two signatures."""
     df = _signed(spark, d).select("id", "sig")
-    a = _searches(df).select(F.col("id").alias("id_a"), F.col("sig").alias("a"))
-    return a.join(df.select((F.col("id") - 1).alias("id_a"), F.col("sig").alias("b")), "id_a")
+    both = table(spark, d, "alpaca_item").select(F.col("id").alias("id_a"), F.explode("few_shot_examples.id").alias("id_b")).distinct()
+    named = both.join(df.select(F.col("id").alias("id_a"), F.col("sig").alias("a")), "id_a")
+    return named.join(df.select(F.col("id").alias("id_b"), F.col("sig").alias("b")), "id_b")
 
 
 def _similarity_join(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens the searches share with every row, as counts, by a token equi-join over the rarer
-    half of the matter: rows with equal signatures are one."""
+    """How many tokens, distinct and with repeats, the searches share with every row that has one of
+    theirs, by an equi-join of tokens."""
     t = token_counts(_signed(spark, d).select("id", "sig"))
     q = _searches(t).select(F.col("id").alias("query_id"), "token", F.col("n").alias("m"))
     both = q.join(t.withColumnRenamed("id", "cand_id"), "token").filter("query_id <> cand_id")
@@ -115,24 +117,29 @@ def _row_fetch(spark: SparkSession, d: str) -> DataFrame:
 
 def _prompts(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "dataset")
-    return L.build_prompts(_searches(df), df, TEMPLATE).select("id", "prompt")
+    return L.build_prompts(_searches(df), df, TEMPLATE, skip_self=True).select("id", "prompt")
 
 
 def _shots(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "dataset")
-    one = L.few_shots(_searches(df), df).select("id", F.posexplode("few_shot_examples").alias("rank", "e"))
+    one = L.few_shots(_searches(df), df, skip_self=True).select("id", F.posexplode("few_shot_examples").alias("rank", "e"))
     return one.select(F.col("id").alias("query_id"), (F.col("rank") + 1).alias("rank"), "e.similarity", "e.project", "e.test_name", "e.label", "e.code_preview", F.col("e.id").alias("example_id"))
 
 
 def _instruction(spark: SparkSession, d: str) -> DataFrame:
+    """Every record as an instruction item: its labelled verdict as output, with id and examples, which
+    are those of the last item about the record."""
     text = P.format_prompt(P.DEFAULT_INPUT, project=F.coalesce("project", F.lit("Unknown")), test_name=F.coalesce("test_name", F.lit("Unknown")), full_code=F.col("code"))
-    return table(spark, d, "dataset").select("id", F.lit(P.DEFAULT_INSTRUCTION).alias("instruction"), text.alias("input"))
+    out = F.concat(F.lit("答案："), truth_verdict(F.col("label")), F.lit(" - "), truth_category(F.col("label")))
+    item = table(spark, d, "alpaca_item").filter("id is not null").groupBy("id").agg(F.max_by("few_shot_examples", "item_id").alias("few_shot_examples"))
+    rows = table(spark, d, "dataset").select("id", F.lit(P.DEFAULT_INSTRUCTION).alias("instruction"), text.alias("input"), out.alias("output"))
+    return rows.join(item, "id", "left").select("instruction", "input", "output", "id", F.to_json(F.transform("few_shot_examples", lambda e: e["id"])).alias("examples"))
 
 
 def _distilled(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "dataset")
-    items, _ = L.distill(_searches(df), df, wait=0)
-    return items.select("id", "input", "output")
+    items, _ = L.distill(_searches(df), df, wait=0, skip_self=True)
+    return items.select("row_index", "id", "instruction", "input", "output", F.size("few_shot_examples").alias("n_examples"))
 
 
 def _calls(spark: SparkSession, d: str) -> DataFrame:
@@ -140,20 +147,80 @@ def _calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _overlap(spark: SparkSession, d: str) -> DataFrame:
-    return S.fold_overlap(table(spark, d, "fold_project"))
+    """Projects on both sides of the table's own split, which is no split by projects."""
+    sides = table(spark, d, "dataset").filter("project is not null").select(F.lit(1).alias("fold"), "project", F.when(F.col("split") == "train", "train").otherwise("test").alias("side"))
+    return S.fold_overlap(sides)
 
 
 def _kfold(spark: SparkSession, d: str) -> DataFrame:
     return S.project_folds(table(spark, d, "dataset"), rare_share=RARE)
 
 
+def _sides(spark: SparkSession, d: str) -> DataFrame:
+    """Both sides of the folds that ``project_folds`` assigns, over all rows with a project."""
+    df = table(spark, d, "dataset").select("id", "project", "category")
+    return S.fold_sides(df, _kfold(spark, d))
+
+
+def _scan_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The records, written as a CSV corpus with multi-line code and read again."""
+    at = scratch(spark, "corpus")
+    rows = table(spark, d, "dataset").select("id", "project", "test_name", F.col("code").alias("full_code"), "label", "category", F.lit("all").alias("split"))
+    save_splits(rows, at)
+    return read_corpus(spark, f"{at}/split=all", line_end="\n")
+
+
+def _scan_json(spark: SparkSession, d: str) -> DataFrame:
+    """The items, written as one JSON line each and read again."""
+    at = scratch(spark, "items")
+    save_json(table(spark, d, "alpaca_item").select("instruction", "input", "output", "id", "few_shot_examples"), at)
+    return read_items(spark, at, lines=True).select("instruction", "input", "output", "id", F.size(F.coalesce("few_shot_examples", F.array())).alias("n_examples"))
+
+
+def _splits_written(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "splits")
+    save_splits(S.split_dataset(table(spark, d, "dataset").select("id", "label"), stratify="label"), at, "json")
+    return spark.read.schema("id bigint, label string, split string").json(at)
+
+
+def _folds_written(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "folds")
+    save_folds(_sides(spark, d), at, "parquet")
+    return spark.read.parquet(at).groupBy("fold", "side").agg(F.count("*").alias("n_rows"), F.countDistinct("project").alias("n_projects")).withColumn("fold", F.col("fold").cast("int"))
+
+
+def _items_written(spark: SparkSession, d: str) -> DataFrame:
+    at = scratch(spark, "dual")
+    save_items(table(spark, d, "alpaca_item").select("instruction", "input", "output", "id", "few_shot_examples"), at, "run", True)
+    n = lambda name, cols: spark.read.schema("id bigint, output string").json(f"{at}/{name}").agg(F.count("*").alias("n_rows"), F.count("output").alias("n_output"), F.count("id").alias("n_id")).select(F.lit(name).alias("name"), "*")
+    return n("run", 3).unionByName(n("run_external", 5))
+
+
+def _resumed(spark: SparkSession, d: str) -> DataFrame:
+    """Verdicts of all records in batches of a run that was broken after the odd ids."""
+    at = scratch(spark, "resume")
+    df = table(spark, d, "dataset").select("id", "label")
+    step = lambda x: x.select("id", truth_verdict(F.col("label")).alias("is_flaky"))
+    resume(df.filter("id % 2 = 1"), at, step, batches=2)
+    return resume(df, at, step, batches=4)
+
+
+def _evaluation_report(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of the predictions, written as nested JSON and read again."""
+    at = scratch(spark, "report")
+    L.Evaluator(_predictions(spark, d), _truth(spark, d)).save_report(at)
+    r = spark.read.json(f"{at}/metrics")
+    m = F.col("flaky_detection.confusion_matrix")
+    return r.select("total_samples", "overall_accuracy", "flaky_detection.precision", "flaky_detection.recall", "flaky_detection.f1", m["tp"].alias("tp"), m["fp"].alias("fp"), m["tn"].alias("tn"), m["fn"].alias("fn"), F.col("category_classification.accuracy").alias("category_accuracy"), F.size("error_cases").alias("n_errors"), "unmatched_predictions", "unmatched_labels")
+
+
 def _critical(spark: SparkSession, d: str) -> DataFrame:
     """Projects with a rare category, by size, dealt to four folds in turn."""
     df = table(spark, d, "dataset").filter("project is not null")
     has = df.join(S.rare_categories(df, share=RARE).select("category"), "category", "left_semi").select("project").distinct()
     size = df.groupBy("project").agg(F.count("*").alias("n_rows")).join(has, "project", "left_semi")
-    turn = F.row_number().over(Window.orderBy(F.desc("n_rows"), "project")) - 1  # one row for each project
-    return size.select("project", "n_rows", (turn % 4 + 1).alias("fold"))
+    placed = with_position(size.withColumn("_rank", -F.col("n_rows")), ["_rank", "project"], "turn")
+    return placed.select("project", "n_rows", (F.col("turn") % 4 + 1).cast("int").alias("fold"))
 
 
 def _not_critical(spark: SparkSession, d: str) -> DataFrame:
@@ -189,10 +256,10 @@ def queries() -> dict[str, Query]:
         "extract_apis": s(lambda df: df.select("id", F.posexplode("sig").alias("pos", "token"))),
         "signature_statistics": s(signature_statistics),
         "top_tokens": s(top_tokens),
-        "jaccard": lambda spark, d: _pairs(spark, d).select("id_a", jaccard(F.col("a"), F.col("b")).alias("jaccard")),
-        "frequency_overlap": lambda spark, d: _pairs(spark, d).select("id_a", frequency_overlap(F.col("a"), F.col("b")).alias("overlap")),
-        "compute_similarity": lambda spark, d: _pairs(spark, d).select("id_a", similarity(F.col("a"), F.col("b")).alias("similarity")),
-        "signature_union_intersection": lambda spark, d: _pairs(spark, d).select("id_a", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_inter")),
+        "jaccard": lambda spark, d: _pairs(spark, d).select("id_a", "id_b", jaccard(F.col("a"), F.col("b")).alias("jaccard")),
+        "frequency_overlap": lambda spark, d: _pairs(spark, d).select("id_a", "id_b", frequency_overlap(F.col("a"), F.col("b")).alias("overlap")),
+        "compute_similarity": lambda spark, d: _pairs(spark, d).select("id_a", "id_b", similarity(F.col("a"), F.col("b")).alias("similarity")),
+        "signature_union_intersection": lambda spark, d: _pairs(spark, d).select("id_a", "id_b", F.size(F.array_union("a", "b")).alias("n_union"), F.size(F.array_intersect("a", "b")).alias("n_inter")),
         "similarity_join": _similarity_join,
         "min_similarity_filter": _min_similarity,
         "retrieve_top_k": _hits(3, 0.1),
@@ -252,12 +319,22 @@ def queries() -> dict[str, Query]:
         "kfold_round_robin": _critical,
         "project_difference": _not_critical,
         "kfold_greedy_assign": _kfold,
-        "kfold_materialise": k(lambda df: df.select("fold", "id", "project")),
+        "kfold_materialise": lambda spark, d: _sides(spark, d).select("fold", "side", "id", "project"),
         "fold_summary": k(S.fold_summary),
         "fold_violations": k(lambda df: S.fold_violations(df, 4, 40)),
         "overlap_check": _overlap,
         "save_folds": lambda spark, d: project_lists(table(spark, d, "fold_project")).select("fold", "side", "n_projects", F.array_join("projects", "\n").alias("projects")),
         "project_membership": lambda spark, d: table(spark, d, "dataset").join(table(spark, d, "fold_project").select("project"), "project", "left_anti").select("id", "project"),
+        "categories_in_order": _dataset(lambda df: S.category_project_spread(df).orderBy("category")),
+        "global_counts": _dataset(S.global_counts),
+        # sources and sinks
+        "scan_csv": _scan_csv,
+        "scan_json": _scan_json,
+        "save_splits": _splits_written,
+        "save_fold_sides": _folds_written,
+        "save_items": _items_written,
+        "resume": _resumed,
+        "evaluation_report": _evaluation_report,
         # profiles
         "profile_table": _dataset(R.table_profile),
         "null_percentages": i(lambda df: R.null_percentages(df)),

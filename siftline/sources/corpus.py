@@ -20,10 +20,11 @@ SHOT = T.StructType([T.StructField(n, t) for n, t in (("similarity", T.DoubleTyp
 ITEM = T.StructType([T.StructField(n, t) for n, t in (("instruction", T.StringType()), ("input", T.StringType()), ("output", T.StringType()), ("id", T.LongType()), ("few_shot_examples", T.ArrayType(SHOT)))])
 
 
-def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS, encoding: str = "UTF-8") -> DataFrame:
+def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS, encoding: str = "UTF-8", line_end: str | None = None) -> DataFrame:
     """A CSV corpus whose texts hold line breaks and doubled quotes; an empty field is null. The
-    header names the columns, so their order in the file is free; one that is missing is an error."""
-    opts = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": False}
+    header names the columns, so their order in the file is free; one that is missing is an error.
+    Where the rows' ``line_end`` is given, line breaks in texts stay as they are; else they become \\n."""
+    opts = ({"lineSep": line_end} if line_end else {}) | {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": encoding, "enforceSchema": False}
     header = spark.read.options(**opts).csv(path).columns
     wanted = {f.name: f for f in schema}
     if missing := [n for n in wanted if n not in header]:
@@ -32,9 +33,9 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType = CORPUS, e
     return spark.read.options(**opts).schema(full).csv(path).select(*wanted)
 
 
-def read_items(spark: SparkSession, path: str) -> DataFrame:
-    """Instruction items of a JSON document (one array or one object)."""
-    return spark.read.option("multiLine", True).schema(ITEM).json(path)
+def read_items(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Instruction items of a JSON document (one array or one object), or of JSON lines, which can be split."""
+    return spark.read.option("multiLine", not lines).schema(ITEM).json(path)
 
 
 def code_column(df: DataFrame, wanted: str = "code") -> str:
@@ -53,21 +54,32 @@ def predictions_from_items(items: DataFrame, order: str, text: str = "output") -
     return last_by_id(kept.select(F.coalesce("id", "pos").alias("id"), "pos", "a.is_flaky", normalize_category(F.col("a.category")).alias("category")), "pos")
 
 
-def truth_from_labels(df: DataFrame, label: str = "label", key: str = "id", order: str = "id") -> DataFrame:
-    """(id, is_flaky, category) of labelled rows; of one id the last by ``order`` counts."""
-    rows = df.select(F.col(key).alias("id"), F.struct(F.col(order)).alias("_order"), truth_verdict(F.col(label)).alias("is_flaky"), truth_category(F.col(label)).alias("category"))
+def truth_from_labels(df: DataFrame, label: str = "label", key: str = "id", order: str | None = None) -> DataFrame:
+    """(id, is_flaky, category) of labelled rows; of one id the last counts: by the column ``order``, or
+    in the order of the scanned files where there is none."""
+    place = F.monotonically_increasing_id() if order is None else F.col(order)
+    rows = df.select(F.col(key).alias("id"), F.struct(place).alias("_order"), truth_verdict(F.col(label)).alias("is_flaky"), truth_category(F.col(label)).alias("category"))
     return last_by_id(rows, "_order")
 
 
-def list_datasets(folder: str, main: str = "dataset.csv") -> list[str]:
+def file_names(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Names of a folder's files with the suffix, sorted, on any file system Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    return sorted(n for s in fs.listStatus(path) if (n := s.getPath().getName()).endswith(suffix))
+
+
+def list_datasets(spark: SparkSession, folder: str, main: str = "dataset.csv") -> list[str]:
     """CSV files of a folder: the main one, then the fold files by name, then the others by name."""
-    names = sorted(p.name for p in Path(folder).glob("*.csv"))
+    names = file_names(spark, folder, ".csv")
     return [n for n in names if n == main] + [n for n in names if n.startswith("fold_")] + [n for n in names if n != main and not n.startswith("fold_")]
 
 
-def list_prediction_files(folder: str) -> list[str]:
+def list_prediction_files(spark: SparkSession, folder: str) -> list[str]:
     """``*_external.json`` files, or all JSON files where there are none."""
-    names = sorted(p.name for p in Path(folder).glob("*.json"))
+    names = file_names(spark, folder, ".json")
     return [n for n in names if n.endswith("_external.json")] or names
 
 
@@ -123,6 +135,11 @@ def load_config(folder: str, name: str) -> RunConfig:
     return RunConfig(**json.loads(Path(folder, f"{name}.json").read_text("utf-8")))
 
 
+def display_config(config: RunConfig) -> str:
+    """One line for each setting."""
+    return "\n".join(f"{k}: {'-' if v is None else v}" for k, v in asdict(config).items())
+
+
 def list_configs(folder: str) -> list[str]:
     return sorted(p.stem for p in Path(folder).glob("*.json"))
 

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.session import cut
 
-CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": False}
+# the writer would trim blanks at both ends of a text
+CSV = {"header": True, "quote": '"', "escape": '"', "quoteAll": False, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def join(folder: str, name: str) -> str:
+    """A path below a folder of any file system."""
+    return f"{folder.rstrip('/')}/{name}"
 
 
 def save_splits(df: DataFrame, folder: str, fmt: str = "csv", column: str = "split", single_file: bool = False) -> None:
@@ -26,9 +30,29 @@ def project_lists(sides: DataFrame, project: str = "project") -> DataFrame:
     return sides.groupBy("fold", "side").agg(F.sort_array(F.collect_set(project)).alias("projects")).select("fold", "side", F.size("projects").alias("n_projects"), "projects")
 
 
-def save_folds(df: DataFrame, folder: str, fmt: str = "csv") -> None:
-    """The rows once, by fold; the training side of fold i is every other folder."""
-    save_splits(df, folder, fmt, "fold")
+def project_list_text(fold: int, train: list[str], test: list[str]) -> str:
+    """The text of a fold's project list."""
+    # The two headings.
+    parts = [("训练集项目", train), ("测试集项目", test)]
+    return "\n\n".join("\n".join([f"{head} ({len(names)}):", *(f"  {n}" for n in names)]) for head, names in parts) + "\n"
+
+
+def save_folds(sides: DataFrame, folder: str, fmt: str = "csv") -> None:
+    """Rows of every fold by ``fold`` and ``side`` (train, test), in folders fold=i/side=s, and a list of
+    each fold's projects in fold_i_projects. Only names of projects reach the driver."""
+    if fmt not in ("csv", "json", "parquet"):
+        raise ValueError(f"unknown format {fmt}")
+    sides.write.mode("overwrite").partitionBy("fold", "side").options(**(CSV if fmt == "csv" else {})).format(fmt).save(folder)
+    names: dict[int, dict[str, list[str]]] = {}
+    for r in project_lists(sides.filter("project is not null")).collect():
+        names.setdefault(r.fold, {})[r.side] = r.projects
+    for fold, by in sorted(names.items()):
+        save_text(sides.sparkSession, join(folder, f"_lists/fold_{fold}_projects"), project_list_text(fold, by.get("train", []), by.get("test", [])))
+
+
+def save_text(spark: SparkSession, path: str, text: str) -> None:
+    """One text file in the folder ``path``."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def json_document(df: DataFrame, order: str) -> DataFrame:
@@ -52,11 +76,14 @@ def plain_items(items: DataFrame) -> DataFrame:
 
 def save_items(items: DataFrame, folder: str, name: str, with_retrieval: bool) -> None:
     """The plain items, and with retrieval also those with id and examples. The items are written
-    once before, so that no model is called twice."""
+    once before, so that no model is called twice. Where there is a ``row_index``, the files are in its
+    order."""
     held = cut(items, "items")
+    if "row_index" in held.columns:
+        held = held.orderBy("row_index").drop("row_index")
     if with_retrieval:
-        save_json(held, str(Path(folder, f"{name}_external")))
-    save_json(plain_items(held), str(Path(folder, name)))
+        save_json(held, join(folder, f"{name}_external"))
+    save_json(plain_items(held), join(folder, name))
 
 
 def resume(df: DataFrame, folder: str, step: Callable[[DataFrame], DataFrame], key: str = "id", batches: int = 10) -> DataFrame:
