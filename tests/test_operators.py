@@ -17,10 +17,10 @@ from siftline.operators.profile import null_percentages, table_profile
 from siftline.operators.sampling import sample_data
 from siftline.operators.signatures import signature
 from siftline.operators.similarity import Signatures, retrieve_top_k, retrieve_with_diversity, similarity
-from siftline.plans.inference import call_model, call_statistics
-from siftline.plans.pipelines import Evaluator, distill, run_steps
-from siftline.sources.corpus import RunConfig, load_config, predictions_from_items, read_corpus, read_items, save_config
-from siftline.sources.sinks import resume, save_items, save_json, save_splits
+from siftline.plans.inference import Reply, call_model, call_statistics
+from siftline.plans.pipelines import Evaluator, distill, explain, run_steps
+from siftline.sources.corpus import RunConfig, display_config, list_datasets, list_prediction_files, load_config, predictions_from_items, read_corpus, read_items, save_config, truth_from_labels
+from siftline.sources.sinks import join, resume, save_folds, save_items, save_json, save_splits
 
 
 def sig_of(spark, code):
@@ -163,7 +163,24 @@ def test_published_confusion(spark):
 def test_evaluator_report(spark):
     a = published(spark)
     ev = Evaluator(a.select("id", F.col("pred_flaky").alias("is_flaky"), F.col("pred_category").alias("category")), a.select("id", F.col("true_flaky").alias("is_flaky"), F.col("true_category").alias("category")))
-    assert "overall 84.00%" in ev.report() and tuple(ev.counts().first()) == (0, 0)
+    text = ev.report()
+    assert "overall 84.00%" in text and "verdict 85.00% (poor)" in text and "Non-Flaky: 99 (99.0%)" in text and tuple(ev.counts().first()) == (0, 0)
+
+
+def test_reports_written(spark, tmp_path):
+    items = spark.createDataFrame([(1, 5, "答案：是 - OD"), (2, 6, "答案：否 - Non-Flaky"), (3, 7, "?")], "item_id bigint, id bigint, output string")
+    labels = spark.createDataFrame([(5, "od"), (6, "time"), (9, "uc")], "id bigint, label string")
+    Evaluator.run(items, labels, str(tmp_path / "e"))
+    got = json.loads("".join(p.read_text() for p in (tmp_path / "e/metrics").glob("*.json")))
+    assert got["total_samples"] == 2 and got["flaky_detection"]["confusion_matrix"] == {"tp": 1, "fp": 0, "tn": 0, "fn": 1} and got["unmatched_labels"] == 1
+    assert got["error_cases"] == [{"id": 6, "predicted": "否 - Non-Flaky", "actual": "是 - Time", "error_type": "both"}]
+    assert got["category_classification"]["per_category"]["OD"]["recall"] == 1.0
+    assert "rows 2" in "".join(p.read_text() for p in (tmp_path / "e/report").glob("*.txt"))
+    df = spark.createDataFrame([(1, "a();", "od"), (2, None, None)], "id bigint, code string, label string")
+    _, text = explain(df, 1, folder=str(tmp_path / "x"))
+    got = json.loads("".join(p.read_text() for p in (tmp_path / "x/explanation").glob("*.json")))
+    assert got["total_records"] == 2 and got["explanation"] == text and got["label_distribution"] == [{"label": "od", "n": 1, "percent": 50.0}]
+    assert "code string: 1 of 2 null" in "".join(p.read_text() for p in (tmp_path / "x/explanation_text").glob("*.txt"))
 
 
 def test_positional_predictions(spark):
@@ -213,6 +230,33 @@ def test_positions(spark):
     assert [r.pos for r in with_position(df, ["k"]).orderBy("k").collect()] == list(range(100))
 
 
+def test_paths_of_other_file_systems():
+    assert join("hdfs://nn:8020/out/", "run") == "hdfs://nn:8020/out/run"
+
+
+def test_folds_written(spark, tmp_path):
+    rows = [(1, "train", "b", 7), (1, "train", "a", 8), (1, "test", "c", 9), (2, "test", "a", 8), (2, "train", None, 5)]
+    save_folds(spark.createDataFrame(rows, "fold int, side string, project string, id bigint"), str(tmp_path / "f"), "json")
+    assert spark.read.json(str(tmp_path / "f")).count() == 5
+    text = "".join(p.read_text() for p in (tmp_path / "f/_lists/fold_1_projects").glob("*.txt"))
+    assert text.split() == ["训练集项目", "(2):", "a", "b", "测试集项目", "(1):", "c"]
+    with pytest.raises(ValueError):
+        save_folds(spark.range(1), str(tmp_path / "x"), "xml")
+
+
+def test_source_listings(spark, tmp_path):
+    for n in ("z.csv", "fold_2.csv", "dataset.csv", "fold_1.csv", "a.json", "b_external.json"):
+        (tmp_path / n).write_text("x")
+    assert list_datasets(spark, str(tmp_path)) == ["dataset.csv", "fold_1.csv", "fold_2.csv", "z.csv"]
+    assert list_prediction_files(spark, f"file://{tmp_path}") == ["b_external.json"] and list_datasets(spark, str(tmp_path / "none")) == []
+
+
+def test_last_label_of_an_id_counts(spark):
+    df = spark.createDataFrame([(1, "time", 2), (1, "uc", 1), (2, "od", 0)], "id bigint, label string, place int").coalesce(1)
+    assert {r.id: r.category for r in truth_from_labels(df).collect()} == {1: "UC", 2: "OD"}
+    assert {r.id: r.category for r in truth_from_labels(df, order="place").collect()} == {1: "Time", 2: "OD"}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 100), (300, 300)], "a bigint, b bigint")
     got = {r.node: r.comp for r in connected_components(links).collect()}
@@ -264,10 +308,32 @@ def test_model_calls(spark):
     assert s.n_rows == 3 and s.n_output == 1
 
 
+def test_calls_keep_their_rate(spark):
+    import time
+
+    def model(system, prompt):
+        return Reply(str(time.time()), 3)
+
+    df = spark.createDataFrame([(i, "x") for i in range(9)], "id bigint, prompt string").coalesce(1)
+    rows = call_model(df, "prompt", model, threads=4, per_second=20).collect()
+    at = sorted(float(r.output) for r in rows)
+    assert min(b - a for a, b in zip(at, at[1:])) > 0.02 and at[-1] - at[0] > 0.35
+    assert call_statistics(call_model(df, "prompt", model, workers=3)).first().tokens == 27
+
+
+def test_equal_ids_of_other_tables_are_examples(spark):
+    code = "@Test void f() { Thread.sleep(1); list.add(1); }"
+    kind = "id bigint, project string, test_name string, code string, label string"
+    test, train = spark.createDataFrame([(1, "p", "t", code, "time")], kind), spark.createDataFrame([(1, "q", "u", code, "time")], kind)
+    assert [e.id for e in distill(test, train, wait=0)[0].first().few_shot_examples] == [1]
+    assert distill(test, train, wait=0, skip_self=True)[0].first().few_shot_examples is None
+
+
 def test_distill_and_resume(spark, tmp_path):
     df = spark.createDataFrame([(i, f"p{i}", f"t{i}", "@Test void f() { Thread.sleep(1); list.add(1); }", "time") for i in range(6)], "id bigint, project string, test_name string, code string, label string")
     items, failed = distill(df.filter("id < 2"), df.filter("id >= 2"), wait=0)
-    rows = items.collect()
+    rows = items.orderBy("row_index").collect()
+    assert [r.row_index for r in rows] == [0, 1]
     assert len(rows) == 2 and failed.count() == 0 and len(rows[0].few_shot_examples) == 3
     assert rows[0].few_shot_examples[0].similarity == 0.8 and rows[0].output.endswith("</answer>")
     at = str(tmp_path / "r")
@@ -283,7 +349,7 @@ def test_steps_and_config(spark, tmp_path):
     assert [x[2] for x in out] == ["", "no", "no such step"]
     save_config(str(tmp_path), "one", RunConfig(test_dataset="x/fold_1_test.csv", use_api_matching=True, top_k_shots=99))
     c = load_config(str(tmp_path), "one")
-    assert c.top_k_shots == 10 and c.output_name == "fold_1_test_top10_all"
+    assert c.top_k_shots == 10 and c.output_name == "fold_1_test_top10_all" and "top_k_shots: 10" in display_config(c)
 
 
 def test_stream(spark, tmp_path):
