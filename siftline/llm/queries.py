@@ -89,6 +89,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_measure(spark: SparkSession, d: str) -> DataFrame:
+    return p7_scores(spark, d).select("item_id", "n_chars", "repeated_share", "bad")
+
+
+def p7_scores(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repeated_documents(table(spark, d, "alpaca_item"), "item_id", "output")
 
 
