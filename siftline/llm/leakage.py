@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import Words, chunks, codes, kinds, mix, prefix, spans_hash, windows
+from siftline.llm.textscan import Words, chunks, codes, kinds, mix, prefix, spans_hash, windows
 from siftline.session import cut, spread
 
 #: a passage in words, and in letters and digits for items of UNSPACED languages

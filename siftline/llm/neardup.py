@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.wordsets import block_pairs, overlaps, ranked, reach, text_classes, unpack, word_arrays, word_ranks
-from siftline.operators.graph import connected_components
+from siftline.llm.graph import connected_components
 from siftline.session import Cut, cut
 
 #: records are alike from this share of the longer one's words

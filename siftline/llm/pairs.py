@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import Words, chunks, mix
+from siftline.llm.textscan import Words, chunks, mix
 from siftline.llm.truncation import IDENTIFIER, cut_off
 from siftline.llm.wordsets import block_pairs, is_in
-from siftline.operators.graph import connected_components
+from siftline.llm.graph import connected_components
 from siftline.session import cut, spread
 
 #: a response is a copy from this share of its words in the prompt

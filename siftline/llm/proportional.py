@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.labels import label_category
-from siftline.functions.textscan import BASE, MASK, mix
+from siftline.llm.textscan import BASE, MASK, mix
 from siftline.session import cut
 
 #: undecided units of so many partitions (or groups) meet in one task of the next level

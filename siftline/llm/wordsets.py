@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.textscan import BASE, Words, chunks, mix, occurrence
+from siftline.llm.textscan import BASE, Words, chunks, mix, occurrence
 from siftline.session import cut, spread
 
 

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, sentences, truncation
+from siftline.llm.graph import connected_components
 from siftline.llm.wordsets import overlaps
 
 LONG = " ".join(f"word{i} middle" for i in range(30_000))
@@ -214,6 +215,13 @@ def test_repeated_ids_of_different_texts(spark):
     assert {r.group_id for r in members.collect()} == {1}
 
 
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 100), (300, 300)], "a bigint, b bigint")
+    got = {r.node: r.comp for r in connected_components(links).collect()}
+    assert all(got[i] == 0 for i in range(51)) and {got[i] for i in (100, 101, 200)} == {100} and got[300] == 300
+    assert connected_components(links.limit(0)).count() == 0
+
+
 def binary(rows):
     return pa.array([np.array(r, "<u4").tobytes() for r in rows], pa.binary())
 
