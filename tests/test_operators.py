@@ -11,7 +11,6 @@ from siftline.functions.labels import label_category, project_key
 from siftline.functions.prompts import fewshot_insert, format_prompt
 from siftline.operators import metrics as M
 from siftline.operators import splits as S
-from siftline.operators.graph import connected_components
 from siftline.operators.ordering import with_position
 from siftline.operators.profile import null_percentages, table_profile
 from siftline.operators.sampling import sample_data
@@ -257,13 +256,6 @@ def test_last_label_of_an_id_counts(spark):
     assert {r.id: r.category for r in truth_from_labels(df, order="place").collect()} == {1: "Time", 2: "OD"}
 
 
-def test_components(spark):
-    links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (200, 100), (300, 300)], "a bigint, b bigint")
-    got = {r.node: r.comp for r in connected_components(links).collect()}
-    assert all(got[i] == 0 for i in range(51)) and {got[i] for i in (100, 101, 200)} == {100} and got[300] == 300
-    assert connected_components(links.limit(0)).count() == 0
-
-
 def test_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, `b c` string")
     assert {r.column: r.n_null for r in table_profile(df).collect()} == {"a": 0, "b c": 1}
