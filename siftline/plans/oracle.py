@@ -260,7 +260,8 @@ both_ AS (SELECT config_id, p.is_flaky AS pred_flaky, p.category AS pred_categor
         "save_fold_sides": KFOLD + " SELECT fold, side, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM sides GROUP BY ALL",
         "categories_in_order": "SELECT category, count(*) AS n_rows, count(DISTINCT project) AS n_projects FROM dataset WHERE category IS NOT NULL GROUP BY category ORDER BY category",
         "global_counts": "SELECT count(*) AS n_rows, count(DISTINCT project) AS n_projects, count(DISTINCT category) AS n_categories FROM dataset",
-        "scan_csv": d.format("id, project, test_name, code AS full_code, label, category"),
+        # an empty field is null
+        "scan_csv": d.format("id, nullif(project, '') AS project, nullif(test_name, '') AS test_name, nullif(code, '') AS full_code, nullif(label, '') AS label, category"),
         "scan_json": "SELECT instruction, input, output, id, coalesce(len(few_shot_examples), 0)::INT AS n_examples FROM alpaca_item",
         "save_splits": f"WITH {STRATIFIED} SELECT * FROM strat",
         "save_items": "SELECT 'run' AS name, count(*) AS n_rows, count(output) AS n_output, 0::BIGINT AS n_id FROM alpaca_item UNION ALL SELECT 'run_external', count(*), count(output), count(id) FROM alpaca_item",
