@@ -1,9 +1,9 @@
 """Similarity of signatures and retrieval of the most similar rows for many queries.
 
-A block of queries is scored against every batch of rows with array operations; each task sends
-on only its own best rows of each query, so the shuffle holds queries x k x tasks rows instead
-of all pairs. Queries are processed in blocks of bounded size, so what reaches the tasks does
-not grow with the table.
+Tokens in many rows (``HOT_SHARE``) make up a row's pattern, the others are indexed. Rows that share a rare token with a
+query are found by an equi-join and scored in full. Of all other rows the score depends on pattern and sizes only, so
+patterns are scored instead of rows, block by block, and each brings its lowest ids. The better of
+both is exact, and neither grows with queries times rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,11 @@ from siftline.session import cut
 
 #: queries that are scored together
 QUERY_BLOCK = 1000
-#: rows of a batch that are scored together
+#: rows (or patterns of rows) that are scored together
 ROW_BLOCK = 4096
+#: a token in this share of the rows belongs to the patterns; so many tokens at most, the others are indexed
+HOT_SHARE = 0.001
+HOT_TOKENS = 1024
 JACCARD_WEIGHT, OVERLAP_WEIGHT = 0.6, 0.4
 
 
@@ -42,6 +46,15 @@ def similarity(a: Column, b: Column) -> Column:
     return F.lit(JACCARD_WEIGHT) * jaccard(a, b) + F.lit(OVERLAP_WEIGHT) * frequency_overlap(a, b)
 
 
+def _similarity(inter: np.ndarray, shared: np.ndarray, u: np.ndarray, t: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Similarity of all pairs from their shared tokens (distinct, and with repeats) and both sides' sizes."""
+    both = u[:, None] + v[None, :] - inter
+    j = np.divide(inter, both, out=np.zeros_like(inter), where=both > 0)
+    total = t[:, None] + w[None, :]
+    f = np.divide(shared, total, out=np.zeros_like(shared), where=total > 0)
+    return JACCARD_WEIGHT * j + OVERLAP_WEIGHT * f
+
+
 class Signatures:
     """Signatures of a block of queries as counts over the block's own tokens."""
 
@@ -81,20 +94,19 @@ class Signatures:
             cell = np.ix_(q, np.array(r))
             inter[cell] += 1
             shared[cell] += np.minimum(k[:, None], np.array(m)[None, :])
-        both = self.unique[:, None] + unique[None, :] - inter
-        j = np.divide(inter, both, out=np.zeros_like(inter), where=both > 0)
-        t = self.total[:, None] + total[None, :]
-        f = np.divide(shared, t, out=np.zeros_like(shared), where=t > 0)
-        return JACCARD_WEIGHT * j + OVERLAP_WEIGHT * f
+        return _similarity(inter, shared, self.unique, self.total, unique, total)
 
 
 def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, similarity) of each query's k best rows by (similarity desc, id)."""
-    order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim), axis=1)[:, :k]
-    q = np.repeat(np.arange(len(sim)), order.shape[1])
-    r = order.ravel()
+    if sim.shape[1] > k:  # no worse than the k-th; ties are told apart below
+        q, r = np.nonzero(sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        q, r = (x.ravel() for x in np.indices(sim.shape))
     s = sim[q, r]
-    keep = s > -np.inf
+    order = np.lexsort((ids[r], -s, q))
+    q, r, s = q[order], r[order], s[order]
+    keep = (np.arange(len(q)) - np.searchsorted(q, q) < k) & (s > -np.inf)
     return q[keep], r[keep], s[keep]
 
 
@@ -132,30 +144,116 @@ def _blocks(queries: DataFrame) -> Iterator[list]:
         yield part.orderBy("id").collect()
 
 
+def _hot_tokens(rows: DataFrame) -> list[str]:
+    """Tokens that stand in at least ``HOT_SHARE`` of the rows, the ``HOT_TOKENS`` most frequent at most."""
+    n = rows.select(F.explode(F.array_distinct("sig")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    least = max(2, rows.count() * HOT_SHARE)
+    return [r.t for r in n.filter(F.col("n") >= least).orderBy(F.desc("n"), "t").limit(HOT_TOKENS).collect()]
+
+
+def _patterns(rows: DataFrame, hot: list[str]) -> DataFrame:
+    """(id, sig, u, t, pattern, rare): distinct tokens and all tokens of each row, its hot tokens with their
+    occurrences as sorted codes, and its other tokens once each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(hot, pa.string())
+        for b in batches:
+            sig = b.column(1)
+            n = pc.fill_null(pc.list_value_length(sig), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(b.num_rows), n)
+            flat = sig.flatten()
+            token = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            order = np.lexsort((token, row))
+            new = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(token[order]) != 0)]) if len(order) else np.zeros(0, bool)
+            place = np.arange(len(order))
+            occ = np.empty(len(order), np.int64)
+            occ[order] = place - np.maximum.accumulate(np.where(new, place, 0)) if len(order) else place
+            code = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.flatnonzero(code >= 0)
+            own = own[np.lexsort((occ[own], code[own], row[own]))]
+            rare = np.flatnonzero((code < 0) & (occ == 0))
+            bounds = lambda at: pa.array(np.searchsorted(row[at], np.arange(b.num_rows + 1)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0), sig, pa.array(np.bincount(row[occ == 0], minlength=b.num_rows)), pa.array(n),
+                    pa.ListArray.from_arrays(bounds(own), pa.array(code[own] << 32 | occ[own])), pa.ListArray.from_arrays(bounds(rare), flat.take(pa.array(rare))),
+                ],
+                names=["id", "sig", "u", "t", "pattern", "rare"],
+            )
+
+    return rows.select(F.col("id").cast("bigint"), "sig").mapInArrow(run, "id bigint, sig array<string>, u bigint, t bigint, pattern array<bigint>, rare array<string>")
+
+
+def _packed(patterns: DataFrame, size: int) -> DataFrame:
+    """Rows (key, first, u, t, pattern) in blocks of about ``size``."""
+    blocks = max(1, -(-patterns.count() // size))
+    row = F.struct("first", "key", "u", "t", "pattern")
+    return patterns.groupBy(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(row)).alias("rows")).select("rows")
+
+
+def _codes(rows: list[dict], columns: np.ndarray) -> np.ndarray:
+    """1 where a pattern has the code of a column."""
+    n = [len(r["pattern"]) for r in rows]
+    flat = np.fromiter((x for r in rows for x in r["pattern"]), np.int64, sum(n))
+    at = np.searchsorted(columns, flat)
+    known = columns[np.minimum(at, len(columns) - 1)] == flat if len(columns) else np.zeros(len(flat), bool)
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    out[np.repeat(np.arange(len(rows)), n)[known], at[known]] = 1
+    return out
+
+
+def _scored(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
+    """(q, r, first, sim): the k best row patterns of each query pattern in each two blocks, by similarity, then first id."""
+    both = queries.withColumnRenamed("rows", "q").crossJoin(rows.withColumnRenamed("rows", "r"))  # blocks of a query set against blocks of all patterns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, r = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                columns = np.unique(np.fromiter((x for row in q for x in row["pattern"]), np.int64))
+                first = columns & 0xFFFFFFFF == 0
+                x, y = _codes(q, columns), _codes(r, columns)
+                inter, shared = (x[:, first] @ y[:, first].T).astype(float), (x @ y.T).astype(float)
+                size = lambda rows, c: np.array([row[c] for row in rows], float)
+                sim = _similarity(inter, shared, size(q, "u"), size(q, "t"), size(r, "u"), size(r, "t"))
+                sim[sim < least] = -np.inf
+                at, to, best = _best(sim, np.array([row["first"] for row in r]), k)
+                yield pa.RecordBatch.from_arrays([pa.array([q[j]["key"] for j in at], pa.int64()), pa.array([r[j]["key"] for j in to], pa.int64()), pa.array([r[j]["first"] for j in to], pa.int64()), pa.array(best)], names=["q", "r", "first", "sim"])
+
+    return both.mapInArrow(run, "q bigint, r bigint, first bigint, sim double")
+
+
 def retrieve_top_k(queries: DataFrame, rows: DataFrame, k: int = 3, min_similarity: float = 0.0, skip_self: bool = True) -> DataFrame:
     """(query_id, rank, cand_id, similarity): the k rows of ``rows`` (id, sig) most similar to each
     query (id, sig), among those of at least ``min_similarity``; equal ones by ascending id. With 0
     every query gets min(k, rows) rows. ``skip_self`` leaves out the row of the query's own id.
     Repeated query ids are an error, null signatures count as empty."""
-    spark, out = rows.sparkSession, None
-    for block in _blocks(queries):
-        ids = np.array([r.id for r in block])
-        if len(np.unique(ids)) < len(ids):
-            raise ValueError("query ids must be unique")
-        sent = spark.sparkContext.broadcast((ids, Signatures([r.sig or [] for r in block])))
-
-        def score(sigs, cand, sent=sent):
-            q, s = sent.value
-            sim = s.score([x or [] for x in sigs])
-            sim[sim < min_similarity] = -np.inf
-            if skip_self:
-                sim[q[:, None] == cand[None, :]] = -np.inf
-            return sim
-
-        names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "qn bigint, query_id bigint")
-        part = _ranked(_scan(rows, k, score), k).join(F.broadcast(names), "qn").select("query_id", "rank", "cand_id", F.col("sim").alias("similarity"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], "query_id bigint, rank int, cand_id bigint, similarity double")
+    signed = cut(rows.select("id", "sig"), "signatures")
+    hot = _hot_tokens(signed)
+    r, q = cut(_patterns(signed, hot), "patterns"), cut(_patterns(queries.select("id", "sig"), hot), "patterns")
+    if not q.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("query ids must be unique")
+    kind = ["pattern", "u", "t"]
+    # a pattern is named by its lowest id and stands for its k + 1 lowest ones
+    low = F.row_number().over(Window.partitionBy(*kind).orderBy("id"))
+    lowest = cut(r.select("id", *kind).withColumn("_n", low).filter(F.col("_n") <= k + 1).groupBy(*kind).agg(F.sort_array(F.collect_list("id")).alias("ids")), "lowest")
+    named = q.groupBy(*kind).agg(F.min("id").alias("key"))
+    met = _scored(_packed(named.withColumn("first", F.col("key")), QUERY_BLOCK), _packed(lowest.select(*kind, F.col("ids")[0].alias("key"), F.col("ids")[0].alias("first")), ROW_BLOCK), k + 1, min_similarity)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "first"))
+    met = met.withColumn("_n", best).filter(F.col("_n") <= k + 1).join(lowest.select(F.col("ids")[0].alias("r"), "ids"), "r")
+    by_pattern = q.select(F.col("id").alias("query_id"), *kind).join(named, kind).select("query_id", F.col("key").alias("q")).join(met, "q").select("query_id", F.explode("ids").alias("cand_id"), "sim")
+    # rows with a rare token of the query
+    x = q.select(F.col("id").alias("query_id"), F.explode("rare").alias("token"))
+    y = r.select(F.col("id").alias("cand_id"), F.explode("rare").alias("token"))
+    pairs = x.join(y, "token").select("query_id", "cand_id").distinct()
+    full = pairs.join(q.select(F.col("id").alias("query_id"), F.col("sig").alias("a")), "query_id").join(r.select(F.col("id").alias("cand_id"), F.col("sig").alias("b")), "cand_id")
+    by_token = full.select("query_id", "cand_id", similarity(F.col("a"), F.col("b")).alias("sim")).filter(F.col("sim") >= min_similarity)
+    found = by_pattern.unionByName(by_token)
+    if skip_self:
+        found = found.filter("query_id <> cand_id")
+    one = found.groupBy("query_id", "cand_id").agg(F.max("sim").alias("similarity"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id"))
+    return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "cand_id", "similarity")
 
 
 def retrieve_with_diversity(queries: DataFrame, rows: DataFrame, k: int = 3, threshold: float = 0.3, skip_self: bool = True) -> DataFrame:

@@ -65,6 +65,29 @@ def test_retrieval_against_brute_force(spark):
             assert [got.get(i, {})[n + 1] for n in range(len(got.get(i, {})))] == brute(sigs, i, k, least)
 
 
+def test_retrieval_by_patterns_and_tokens(spark, monkeypatch):
+    """Every row as a query: frequent tokens with repeats, rare ones in a few rows, ties, several blocks."""
+    import numpy as np
+
+    from siftline.operators import similarity as V
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 100)
+    monkeypatch.setattr(V, "ROW_BLOCK", 150)
+    monkeypatch.setattr(V, "HOT_SHARE", 0.05)
+    rnd = random.Random(11)
+    sigs = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))] + [f"r{rnd.randint(0, 400)}" for _ in range(rnd.randint(0, 2))] for _ in range(1500)]
+    df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(sigs)], "id bigint, sig array<string>").repartition(4)
+    sim = Signatures(sigs).score(sigs)
+    np.fill_diagonal(sim, -1)
+    for least in (0.0, 0.45):
+        got = {}
+        for r in retrieve_top_k(df, df, 3, least).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.cand_id, r.similarity))
+        for i in range(len(sigs)):
+            order = np.lexsort((np.arange(len(sigs)), -sim[i]))[:3]
+            assert [x[1:] for x in sorted(got.get(i * 3, []))] == [(3 * int(j), sim[i, j]) for j in order if sim[i, j] >= least]
+
+
 def test_diversity_against_greedy_scan(spark):
     rnd = random.Random(5)
     sigs = {i: [rnd.choice("abcd") for _ in range(rnd.randint(0, 4))] for i in range(40)}
