@@ -36,6 +36,8 @@ HAN = r"\u3400-\u9fff\uf900-\ufaff"
 TOKEN = "[" + HAN + r"]|(?:[A-Za-z0-9]++|[\p{L}\p{M}\p{N}&&[^" + HAN + "]])++|[" + MARKS + r"]++|\n\s*+|<"
 #: tokens at the end of a text among which its last words are looked for first, then among all
 LAST_TOKENS = 16
+#: stands before a text's first word, so that short texts have trigrams, too
+START = "^"
 #: places of the table that tells which word pairs end a text; it is broadcast, so it never grows
 PAIR_PLACES = 1 << 20
 
@@ -75,9 +77,8 @@ def ending_counts(tokens: DataFrame, tails: DataFrame) -> DataFrame:
     line or text without one. Counted are all trigrams whose first two words are those of one of
     the last trigrams ``tails``, as no other count is looked up (and some more, where two word pairs share a
     place)."""
-    edge = F.array(F.lit("\n"))
-    padded = F.concat(edge, edge, F.col("tokens"), edge)
-    n = F.greatest(F.size("tokens") - 2, F.lit(0))
+    padded = F.concat(F.array(*[F.lit(START)] * 4), F.col("tokens"), F.array(F.lit("\n")))
+    n = F.size("tokens")
     names = ("v1", "v2", "w1", "w2", "w3", "nxt")
     # slices side by side stay in generated code, unlike a function for each place
     rows = tokens.select(F.inline(F.arrays_zip(*[F.slice(padded, k + 1, n).alias(c) for k, c in enumerate(names)])).alias(*names))
@@ -90,14 +91,14 @@ def ending_counts(tokens: DataFrame, tails: DataFrame) -> DataFrame:
 
 
 def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
-    """(key, cut, reason) of every row. Reasons, the first that holds: ``bytes`` (ends in a broken
-    character), ``tag`` (an opened element was never closed, or the text ends inside a tag),
-    ``verdict`` (ends inside a verdict line), ``quote`` (ends inside a quotation or code span),
-    ``word`` (ends inside a word), ``sentence`` (the last trigram nearly always goes on), ``mark``
-    (the last trigram nearly always takes a mark and here has none).
-
-    Null and blank texts are not cut. Texts of fewer than three words are judged by tags, verdict
-    and quotes only. Repeated rows are judged alike. ``prompt`` (null: none) is only searched for
+    """(key, cut, reason) of every row. Reasons of cut texts: ``sentence`` (the last trigram nearly
+    always goes on) and ``word`` (the last word is the beginning of one that often stands in its place, or of
+    a name of the prompt), else the first that holds of ``bytes`` (ends in a broken character), ``tag``
+    (an element was never closed, or the text ends inside a tag), ``verdict`` (ends inside a
+    verdict line), ``quote`` (ends inside a quotation or code span), ``mark`` (the last
+    trigram nearly always takes a mark and here has none).
+
+    Null and blank texts are not cut, texts without a word are judged by tags and quotes. Repeated rows are judged alike. ``prompt`` (null: none) is only searched for
     the identifier that the text's last word may be the beginning of."""
     base = spread(df.select(key, *{text, prompt})).select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"), F.coalesce(prompt, F.lit("")).alias("_prompt"))
     t = base.withColumn("body", F.when(F.right("_text", F.lit(1)).isin(CLOSING), F.regexp_replace("_text", CLOSERS, "")).otherwise(F.col("_text"))).withColumn("line", _last_line(F.col("body")))
@@ -111,6 +112,8 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     whole_verdict = F.col("line").rlike(VERDICT)
     begun_verdict = F.when(bare_line.rlike("^[" + "".join(h[0] for h in VERDICT_HEADS) + "]") & ~whole_verdict, F.exists(verdicts, lambda v: v.startswith(bare_line) & (v != bare_line))).otherwise(False)
     code_end = F.col("body").endswith("```") | F.right("body", F.lit(1)).isin(";", "{", "}")
+    found = lambda p: F.when(F.col("_text").contains("<"), F.array_distinct(F.regexp_extract_all("_text", F.lit(p), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    opened = found("<([A-Za-z]+)>")
     odd = lambda ch: (F.length("line") - F.length(F.replace("line", F.lit(ch), F.lit("")))) % 2 == 1
     t = t.select(
         "_key",
@@ -120,11 +123,9 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
         code_end.alias("code_end"),
         F.col("line").rlike(r"(…|\.\.\.)\z").alias("dots"),
         (F.col("_text").contains("\ufffd") & F.col("_text").rlike(r"\x{FFFD}[\s" + MARKS + r"]*\z")).alias("bytes"),
-        (
-            (F.col("_text").contains("<think>") & ~F.col("_text").contains("</think>"))
-            | (F.col("_text").contains("<answer>") & ~F.col("_text").contains("</answer>"))
-            | F.col("line").rlike(r"</?[A-Za-z]*\z")
-        ).alias("tag"),
+        F.col("line").rlike(r"</?[A-Za-z]*\z").alias("tag"),
+        opened.alias("opened"),
+        F.array_except(opened, found(r"</([A-Za-z]+)>")).alias("unclosed"),
         begun_verdict.alias("verdict"),
         ((odd('"') | odd("`")) & ~code_end).alias("quote"),
         begun_name.alias("word"),
@@ -140,13 +141,13 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     facts = t.withColumn("words", words).select(
         "_key", "has_mark", "whole_verdict", "code_end", "dots", "bytes", "tag", "verdict", "quote", "word", "blank",
         F.size("words").alias("n"),
-        *[F.get(F.col("words"), F.size("words") - i).alias(f"w{4 - i}") for i in (3, 2, 1)],
-        F.coalesce(F.get("tokens", place - 4), F.lit("\n")).alias("v1"),
-        F.coalesce(F.get("tokens", place - 3), F.lit("\n")).alias("v2"),
+        *[F.coalesce(F.get(F.col("words"), F.size("words") - i), F.lit(START)).alias(f"w{4 - i}") for i in (3, 2, 1)],
+        F.coalesce(F.get("tokens", place - 4), F.lit(START)).alias("v1"),
+        F.coalesce(F.get("tokens", place - 3), F.lit(START)).alias("v2"),
     )
     facts = cut(facts, "ends")
     # a last word that never stands here, as the beginning of one that often does
-    tails = facts.filter("n >= 3").select("w1", "w2", "w3").distinct()
+    tails = facts.filter("n >= 1").select("w1", "w2", "w3").distinct()
     counts5 = cut(ending_counts(t, tails), "endings")
     counts = counts5.groupBy("w1", "w2", "w3").agg(*[F.sum(k).alias(k) for k in ("inner", "marked", "bare")])
     seen = counts.select("w1", "w2", "w3", "inner", "marked", "bare")
@@ -155,6 +156,11 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
     begun = tails.select("*", first).join(longer, ["w1", "w2", "first"]).filter(F.col("full").startswith(F.col("w3")) & (F.col("full") != F.col("w3"))).groupBy("w1", "w2", "w3").agg(F.max("often").alias("often"))
     # a mark may be the text's own: then the longer ending must be one that goes on, too
     wide = counts5.filter((F.col("inner") >= INNER_LEAST / 2) & (F.col("marked") + F.col("bare") <= 2 * TERMINAL_SHARE * F.col("inner"))).select("v1", "v2", "w1", "w2", "w3", F.lit(True).alias("goes_on"))
+    # an element is a tag that most texts that open it close, too
+    named = t.filter(F.size("opened") > 0).select(F.explode("opened").alias("name"), "unclosed").groupBy("name").agg(F.count("*").alias("m"), F.count_if(F.array_contains("unclosed", F.col("name"))).alias("lost"))
+    elements = named.filter(2 * F.col("lost") <= F.col("m")).select("name")
+    left_open = t.filter(F.size("unclosed") > 0).select("_key", F.explode("unclosed").alias("name")).join(elements, "name").select("_key", F.lit(True).alias("left_open")).distinct()
+    facts = facts.join(left_open, "_key", "left").withColumn("tag", F.col("tag") | F.col("left_open").isNotNull()).drop("left_open")
     known = facts.join(seen, ["w1", "w2", "w3"], "left").join(begun, ["w1", "w2", "w3"], "left").join(wide, ["v1", "v2", "w1", "w2", "w3"], "left")
     total = F.coalesce(F.col("inner") + F.col("marked") + F.col("bare"), F.lit(0))
     ends = F.coalesce(F.col("marked") + F.col("bare"), F.lit(0))
@@ -173,11 +179,13 @@ def cut_off(df: DataFrame, key: str, text: str, prompt: str) -> DataFrame:
         .when(F.col("dots"), "mark")
         .when(done, None)
         .when(F.col("word"), "word")
-        .when(F.col("n") < 3, None)
+        .when(F.col("n") < 1, None)
         .when(part, "word")
         .when(inner, "sentence")
         .when(unmarked, "mark")
     )
+    # what the trigrams say comes first
+    reason = F.when(reason.isNull(), None).when((F.col("n") >= 1) & inner, "sentence").when((F.col("n") >= 1) & part, "word").otherwise(reason)
     return known.select(F.col("_key").alias(key), reason.isNotNull().alias("cut"), reason.alias("reason"))
 
 
