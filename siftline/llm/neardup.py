@@ -131,7 +131,11 @@ def near_duplicates(df: DataFrame, key: str, texts: list[str]) -> tuple[DataFram
 
 
 def grouped_pairs(members: DataFrame) -> DataFrame:
-    """(id_a, id_b): every two records of one group, smaller id first."""
-    many = members.groupBy("group_id").agg(F.count("*").alias("m")).filter("m > 1").select("group_id")
-    m = members.join(many, "group_id").select("group_id", "id").distinct()
-    return m.withColumnRenamed("id", "id_a").join(m.withColumnRenamed("id", "id_b"), "group_id").filter("id_a < id_b").select("id_a", "id_b")
+    """(id_a, id_b): every two records of one group, smaller id first. The members of a large group are
+    dealt to blocks, and each two blocks are joined on their own."""
+    sizes = members.groupBy("group_id").agg(F.count("*").alias("m")).filter("m > 1").select("group_id", F.ceil(F.col("m") / F.lit(BUCKET)).cast("int").alias("blocks"))
+    m = members.join(sizes, "group_id").select("group_id", "id", "blocks").distinct()
+    own, each = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = m.select("group_id", own.alias("i"), each.alias("j"), F.col("id").alias("id_a"))
+    b = m.select("group_id", each.alias("i"), own.alias("j"), F.col("id").alias("id_b"))
+    return a.join(b, ["group_id", "i", "j"]).filter("id_a < id_b").select("id_a", "id_b")
