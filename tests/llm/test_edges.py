@@ -103,6 +103,16 @@ def test_truncation(spark):
     assert truncation.truncation_rates(twice, "item_id", "cut", truncation.cut_off(twice, "item_id", "output", "input")).first().n_items == 120
 
 
+def test_truncation_of_short_texts_and_elements(spark):
+    """The first words of texts that mostly go on, a last word far from the end, and elements that most texts close."""
+    line = "The order of Foo{}Bar is fixed by the list."
+    whole = [line.format(i) if i % 2 else f"<note>{line.format(i)}</note>" for i in range(120)]
+    odd = ["The order", "The order.", "<note>The order of Foo1Bar is fixed by the list.", "<List> The order of Foo1Bar is fixed by the list.", "The order of Foo1Bar is fixed by the" + "\n-" * 30]
+    got = {r.item_id: r.reason for r in truncation.cut_off(items(spark, whole + odd), "item_id", "output", "input").collect()}
+    assert not any(got[i] for i in range(120))
+    assert [got[120 + i] for i in range(4)] == ["sentence", "sentence", "tag", None] and got[124]
+
+
 def test_pairs(spark):
     good = [f"The order of Foo{i}Bar is fixed by the list.\nAnswer: No - Non-Flaky" for i in range(20)]
     bad = ["I cannot help with Foo1Bar.", "I cannot help with Foo2Bar.", None, "<think> </think>", "public void f() { Foo1 a1 = b2; c3(d4); e5(f6); }", "这里没有任何等待，顺序由列表决定。\nAnswer: No - Non-Flaky"]
