@@ -14,6 +14,9 @@ DEFAULT_INSTRUCTION = "请分析以下测试用例，判断它是否是一个Fla
 DEFAULT_INPUT = "该测试代码所属project的名称为{project}，它的测试名称为{test_name}，完整代码为{full_code}。"
 SHOTS_HEAD = "\n\n参考案例（根据API签名相似度检索）：\n"
 SHOTS_CODE_HEAD = "\n待分析的测试代码:\n"
+CASE_HEAD, CASE_PROJECT, CASE_LABEL, CASE_CODE, CASE_END = "\n【案例 %d】(相似度: %s)\n", "项目: ", "\n标签: ", "\n代码:\n", "\n" + "-" * 60 + "\n"
+SAMPLE_HEAD, SAMPLE_LABEL, SAMPLE_CODE, SAMPLE_END = "样本 ", ":\n标签: ", "\n代码:\n```\n", "\n```"
+UNKNOWN = "Unknown"
 PREVIEW = 200
 
 
@@ -38,10 +41,10 @@ def fewshot_block(cases: Column) -> Column:
     case = F.transform(
         cases,
         lambda c, i: F.concat(
-            F.format_string("\n【案例 %d】(相似度: %s)\n", i + 1, fixed(c["similarity"])),
-            F.lit("项目: "), F.coalesce(c["project"], F.lit("Unknown")),
-            F.lit("\n标签: "), F.coalesce(c["label"], F.lit("Unknown")),
-            F.lit("\n代码:\n"), c["code"], F.lit("\n" + "-" * 60 + "\n"),
+            F.format_string(CASE_HEAD, i + 1, fixed(c["similarity"])),
+            F.lit(CASE_PROJECT), F.coalesce(c["project"], F.lit(UNKNOWN)),
+            F.lit(CASE_LABEL), F.coalesce(c["label"], F.lit(UNKNOWN)),
+            F.lit(CASE_CODE), c["code"], F.lit(CASE_END),
         ),
     )
     return F.concat(F.lit(SHOTS_HEAD + "=" * 60 + "\n"), F.array_join(case, ""))
@@ -54,7 +57,7 @@ def fewshot_insert(prompt: Column, code: Column, block: Column) -> Column:
 
 
 def explainer_sample(rank: Column, label: Column, code: Column) -> Column:
-    return F.concat(F.lit("样本 "), rank.cast("string"), F.lit(":\n标签: "), F.coalesce(label, F.lit("Unknown")), F.lit("\n代码:\n```\n"), code, F.lit("\n```"))
+    return F.concat(F.lit(SAMPLE_HEAD), rank.cast("string"), F.lit(SAMPLE_LABEL), F.coalesce(label, F.lit(UNKNOWN)), F.lit(SAMPLE_CODE), code, F.lit(SAMPLE_END))
 
 
 def explainer_samples(samples: Column) -> Column:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from siftline.session import spread
 
-# What the rules look for, in the order in which tokens are emitted.
+# What the rules look for, in the order in which tokens are emitted. Quantifiers are
+# possessive for speed; the matches are those of the plain ones.
 RECEIVER = r"\b(\w++)\.\w++\s*+\("
 ANNOTATIONS = ["@Test", "@Before", "@After", "@BeforeClass", "@AfterClass", "@RunWith", "@Mock", "@InjectMocks", "@Spy"]
 ASSERTS = r"\bassert(True|False|Equals|NotEquals|Null|NotNull|Same|NotSame|ArrayEquals|Throws)"

@@ -266,6 +266,8 @@ both_ AS (SELECT config_id, p.is_flaky AS pred_flaky, p.category AS pred_categor
         "save_splits": f"WITH {STRATIFIED} SELECT * FROM strat",
         "save_items": "SELECT 'run' AS name, count(*) AS n_rows, count(output) AS n_output, 0::BIGINT AS n_id FROM alpaca_item UNION ALL SELECT 'run_external', count(*), count(output), count(id) FROM alpaca_item",
         "resume": f"WITH {TRUTH} SELECT id, is_flaky FROM truth",
+        "drop_failed": "SELECT id, 1::INT AS calls, 0::INT AS failures FROM dataset WHERE code IS NOT NULL AND NOT contains(code, 'Thread.sleep')",
+        "explain_report": "SELECT (SELECT count(*) FROM dataset) AS total_records, 9::INT AS n_columns, label, count(*) AS n, count(*) * 100.0::DOUBLE / (SELECT count(*) FROM dataset) AS percent FROM dataset WHERE label IS NOT NULL GROUP BY label",
         "evaluation_report": f"""{ERRORS}, {_metrics("aligned")}, kinds AS (SELECT id, row_number() OVER (PARTITION BY kind ORDER BY id) AS rank FROM (SELECT id, 'flaky' AS kind FROM errors WHERE error_type <> 'category' UNION ALL SELECT id, 'category' FROM errors WHERE error_type <> 'flaky'))
 SELECT total AS total_samples, overall_accuracy, precision, recall, f1, tp, fp, tn, fn, category_accuracy, (SELECT count(DISTINCT id) FROM kinds WHERE rank <= 20)::INT AS n_errors,
   (SELECT count(*) FROM pred WHERE id NOT IN (SELECT id FROM truth)) AS unmatched_predictions, (SELECT count(*) FROM truth WHERE id NOT IN (SELECT id FROM pred)) AS unmatched_labels FROM metrics""",

@@ -135,7 +135,7 @@ class Evaluator:
 
 def explain(df: DataFrame, n: int = 5, template: str = "{sample_size}\n{samples}", model: Model = rule_model, seed: int = 42, folder: str | None = None) -> tuple[DataFrame, str | None]:
     """The profile of a table and the model's text about n rows drawn from it; with a folder, also written
-    as JSON (profile, label counts, text) and as text."""
+    as JSON (profile, counts of the 1,000 most frequent labels, text) and as text."""
     prompt = explainer_prompt(df, n, template, seed)
     profile = table_profile(df)
     got = model("", prompt.first().prompt)

@@ -17,7 +17,7 @@ from siftline.operators.sampling import sample_data, shuffle_rows
 from siftline.operators.signatures import signature_statistics, token_counts, top_tokens, with_signature
 from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, similarity
 from siftline.plans import pipelines as L
-from siftline.plans.inference import call_model, call_statistics
+from siftline.plans.inference import call_model, call_statistics, rule_model
 from siftline.session import scratch, table
 from siftline.sources.corpus import predictions_from_items, read_corpus, read_items, truth_from_labels
 from siftline.sources.sinks import plain_items, project_lists, resume, save_folds, save_items, save_json, save_splits
@@ -214,6 +214,21 @@ def _evaluation_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("total_samples", "overall_accuracy", "flaky_detection.precision", "flaky_detection.recall", "flaky_detection.f1", m["tp"].alias("tp"), m["fp"].alias("fp"), m["tn"].alias("tn"), m["fn"].alias("fn"), F.col("category_classification.accuracy").alias("category_accuracy"), F.size("error_cases").alias("n_errors"), "unmatched_predictions", "unmatched_labels")
 
 
+def _answered(spark: SparkSession, d: str) -> DataFrame:
+    """Records that a model which refuses sleeping tests has answered."""
+    model = lambda system, prompt: None if "Thread.sleep" in prompt else rule_model(system, prompt)
+    asked = call_model(table(spark, d, "dataset").select("id", F.col("code").alias("prompt")), "prompt", model, tries=2, wait=0)
+    return asked.filter("output is not null").select("id", "calls", "failures")
+
+
+def _explained(spark: SparkSession, d: str) -> DataFrame:
+    """The explainer's report over the records, written as JSON and read again."""
+    at = scratch(spark, "explained")
+    L.explain(table(spark, d, "dataset"), folder=at)
+    r = spark.read.json(f"{at}/explanation").select("total_records", "columns", F.explode("label_distribution").alias("l"))
+    return r.select("total_records", F.size("columns").alias("n_columns"), "l.label", "l.n", "l.percent")
+
+
 def _critical(spark: SparkSession, d: str) -> DataFrame:
     """Projects with a rare category, by size, dealt to four folds in turn."""
     df = table(spark, d, "dataset").filter("project is not null")
@@ -335,6 +350,8 @@ def queries() -> dict[str, Query]:
         "save_items": _items_written,
         "resume": _resumed,
         "evaluation_report": _evaluation_report,
+        "explain_report": _explained,
+        "drop_failed": _answered,
         # profiles
         "profile_table": _dataset(R.table_profile),
         "null_percentages": i(lambda df: R.null_percentages(df)),

@@ -158,6 +158,7 @@ def test_fixed_decimals(spark):
 
     rnd = random.Random(2)
     xs = [0.0, 0.365, 0.355, 0.375, 0.125, 0.005, 0.015, 0.8, 99.995, 84.0] + [rnd.randint(0, 20000) / 2000 for _ in range(500)] + [rnd.random() * 100 for _ in range(500)]
+    xs += [-0.365, -12.005, -1.5] + [-rnd.random() * 100 for _ in range(100)]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", fixed(F.col("x")).alias("s")).collect()
     assert [r.s for r in got] == [f"{r.x:.2f}" for r in got]
 
