@@ -38,8 +38,10 @@ NEVER_ENDS = [
 MAY_END = [r"etc", r"usw", r"a\.\s*m", r"p\.\s*m", r"u\.\s*s", r"u\.\s*k", r"и\s+т\.\s*д", r"и\s+т\.\s*п", r"и\s+др", r"al", r"inc", r"ltd", r"u\.\s*s\.\s*w"]
 ORDINAL_NOUNS = "Januar Februar März April Mai Juni Juli August September Oktober November Dezember Mal Jahrhundert Stock Tag Lauf Versuch Woche".split()
 
-_NEVER = re.compile(r"(?i)(?<![^\W\d_])(?:" + "|".join(NEVER_ENDS) + r")\.|(?<![^\W\d_])no\.(?=\s*\d)")
-_MAY = re.compile(r"(?i)(?<![^\W\d_])(?:" + "|".join(MAY_END) + r")\.")
+# before the abbreviations are tried: a short word with a full stop behind it
+_SHORT = r"(?<![^\W\d_])(?=[^\W\d_]{1,6}\.)"
+_NEVER = re.compile("(?i)" + _SHORT + r"(?:(?:" + "|".join(NEVER_ENDS) + r")\.|no\.(?=\s*\d))")
+_MAY = re.compile("(?i)" + _SHORT.replace(r"\.)", r"\.|и\s)") + "(?:" + "|".join(MAY_END) + r")\.")
 _ORDINAL = re.compile(r"(?<![\w.,])\d{1,3}\.(?=\s+(?:" + "|".join(ORDINAL_NOUNS) + r")\b)")
 _INITIAL = re.compile(r"(?<![\w.])[^\W\d_]\.(?=\s)")
 _BLANK = " \t\r\n\f\v 　​﻿  ‎‏⁠"
@@ -170,18 +172,19 @@ def _opens(s: str, at: int, mark: str) -> float:
 def sentence_ends(s: str) -> list[int]:
     """Ends of the sentences of one block."""
     n = len(s)
-    thai = len(_THAI.findall(s))
+    thai = 0 if s.isascii() else len(_THAI.findall(s))
     thai = thai >= 5 and thai * 4 >= n
     never: set[int] = set()
     may: set[int] = set()
-    for m in _MAY.finditer(s):
-        may.add(m.end())
-        never.update(i + 1 for i in range(m.start(), m.end() - 1) if s[i] == ".")
-    for m in _NEVER.finditer(s):
-        if m.end() not in may:
-            never.update(i + 1 for i in range(m.start(), m.end()) if s[i] == ".")
-    for m in _ORDINAL.finditer(s):
-        never.add(m.end())
+    if "." in s:
+        for m in _MAY.finditer(s):
+            may.add(m.end())
+            never.update(i + 1 for i in range(m.start(), m.end() - 1) if s[i] == ".")
+        for m in _NEVER.finditer(s):
+            if m.end() not in may:
+                never.update(i + 1 for i in range(m.start(), m.end()) if s[i] == ".")
+        for m in _ORDINAL.finditer(s):
+            never.add(m.end())
     # place, closing score, opening score of what follows, the quotations that are open there
     cand: list[tuple[int, float, float, tuple[int, ...]]] = []
     stack: list[str] = []
