@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
     local mode (tests), where one machine is all there is, a folder is taken where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), f"siftline-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", at)
