@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.operators.ordering import with_position
+
 
 def table_profile(df: DataFrame) -> DataFrame:
     """(column, dtype, n_rows, n_null, percent_null) of every column, in one pass."""
@@ -30,15 +32,25 @@ def preview_head(df: DataFrame, order: str = "id", n: int = 3) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
+def median(values: DataFrame, value: str) -> DataFrame:
+    """One row with the exact ``median`` of the values that are not null: they are put in order over all tasks, and the one or
+    two in the middle are read by their positions. Null where there are none."""
+    placed = with_position(values.select(value).filter(F.col(value).isNotNull()), [value], "_pos")
+    last = placed.agg((F.count("*") - 1).alias("_last"))  # one row
+    low, high = F.floor(F.col("_last") / 2), F.ceil(F.col("_last") / 2)
+    middle = placed.join(F.broadcast(last)).filter(F.col("_pos").isin(low, high))
+    return middle.agg((F.min(value) + (F.max(value) - F.min(value)) * 0.5).alias("median"))
+
+
 def fewshot_similarity_stats(items: DataFrame) -> DataFrame:
     """One row over all few-shot examples: items, items with examples, usage rate and the mean,
     median, population deviation, minimum and maximum of the similarity."""
     n = items.agg(F.count("*").alias("n_items"), F.count_if(F.size(F.coalesce("few_shot_examples", F.array())) > 0).alias("n_with"))
-    s = items.select(F.explode("few_shot_examples.similarity").alias("s")).agg(
-        F.avg("s").alias("mean"), F.median("s").alias("median"), F.stddev_pop("s").alias("std"), F.min("s").alias("low"), F.max("s").alias("high")
-    )
-    # two tables of one row
-    return n.join(F.broadcast(s)).withColumn("usage_rate", F.coalesce(F.try_divide("n_with", "n_items"), F.lit(0.0)))
+    values = items.select(F.explode("few_shot_examples.similarity").alias("s"))
+    s = values.agg(F.avg("s").alias("mean"), F.stddev_pop("s").alias("std"), F.min("s").alias("low"), F.max("s").alias("high"))
+    # tables of one row
+    both = n.join(F.broadcast(s)).join(F.broadcast(median(values, "s")))
+    return both.select("n_items", "n_with", "mean", "median", "std", "low", "high").withColumn("usage_rate", F.coalesce(F.try_divide("n_with", "n_items"), F.lit(0.0)))
 
 
 def fewshot_distribution(items: DataFrame, field: str) -> DataFrame:

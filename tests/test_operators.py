@@ -12,7 +12,7 @@ from siftline.functions.prompts import fewshot_insert, format_prompt
 from siftline.operators import metrics as M
 from siftline.operators import splits as S
 from siftline.operators.ordering import with_position
-from siftline.operators.profile import null_percentages, table_profile
+from siftline.operators.profile import median, null_percentages, table_profile
 from siftline.operators.sampling import sample_data
 from siftline.operators.signatures import signature
 from siftline.operators.similarity import Signatures, retrieve_top_k, retrieve_with_diversity, similarity
@@ -286,6 +286,12 @@ def test_profile(spark):
     assert [tuple(r) for r in null_percentages(df).collect()] == [("b c", 1, 50.0)]
 
 
+@pytest.mark.parametrize("values,want", [([3.0, 1.0, 2.0], 2.0), ([4.0, None, 1.0, 2.0, 2.5], 2.25), ([7.0] * 5, 7.0), ([], None)])
+def test_median(spark, values, want):
+    df = spark.createDataFrame([(v,) for v in values], "s double").repartition(3)
+    assert median(df, "s").first().median == want
+
+
 def test_corpus_round_trip(spark, tmp_path):
     rows = [(1, "p", None, 'say "x",\nline 2\r\n', "time", 3), (2, "q", "t", "中文", "non-flaky", 0)]
     df = spark.createDataFrame(rows, "id bigint, project string, test_name string, full_code string, label string, category int")
