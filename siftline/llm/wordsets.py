@@ -1,7 +1,8 @@
 """Texts as arrays of word hashes, written once and shared by the near-duplicate operators.
 
 A word is a maximal run of letters, digits and underscores, case kept. The arrays hold 32 bits
-of each word's hash in text order, 4 bytes a word; two texts are compared through them.
+of each word's hash in text order, 4 bytes a word; two texts are compared through them. As only the words of
+one pair of texts are ever compared for good, two different ones agree with a chance of 1 in 4 billion.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def text_classes(arrays: DataFrame, by: list[str] = []) -> tuple[DataFrame, Data
     Copies are collapsed before the shuffle. A repeated id of different texts may name several
     classes; it is then alike to what any of them is alike to."""
     keys = ["sig_a", "sig_b", *by]
-    classes = cut(arrays.groupBy(*keys).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("words").alias("words")), "classes")
+    classes = cut(arrays.groupBy(*keys).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min_by("words", "id").alias("words")), "classes")
     rows = arrays.drop("n", "words").join(classes.select(*keys, F.col("id").alias("class_id")), keys)
     return classes.drop("sig_a", "sig_b"), cut(rows.drop("sig_a", "sig_b"), "members")
 
@@ -145,6 +146,8 @@ def block_pairs(rows: DataFrame, block: int, fits: Callable[[Column, Column], Co
 
 #: rows by which the rarity of words is told; it orders them and leaves none out
 RANK_ROWS = 30_000
+#: ranked words that reach the tasks at most, the most frequent ones; all others count as rare
+RANK_WORDS = 1_000_000
 
 
 def labelled(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -154,7 +157,7 @@ def labelled(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def word_ranks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted labelled words that stand in two rows or more of about ``RANK_ROWS`` rows drawn by
-    hash, and in how many. Together with the word itself this is one order of all words, the rare
+    hash, and in how many; ``RANK_WORDS`` of them at most. Together with the word itself this is one order of all words, the rare
     ones first; any order is right, a good one only makes fewer candidates."""
     share = min(1.0, RANK_ROWS / max(classes.count(), 1))
     drawn = classes.filter(F.pmod(F.xxhash64(F.col("id"), F.lit(13)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
@@ -165,7 +168,7 @@ def word_ranks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             u, c = np.unique(labelled(words, np.repeat(np.arange(len(at) - 1), np.diff(at))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "n"])
 
-    found = drawn.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").toPandas()
+    found = drawn.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(RANK_WORDS).toPandas()
     word = found["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
     return word[order], found["n"].to_numpy(np.int64)[order]
