@@ -17,6 +17,14 @@ FROM label_target t CROSS JOIN total LEFT JOIN have h ON h.category = t.category
 WHERE coalesce(h.n, 0) < greatest(round(t.target_share * floor(round(t.sample_share * total, 6)), 6), CAST(t.min_rows AS DOUBLE))
 """
 
+P1_REPORT = f"""
+WITH have AS (SELECT {CATEGORY} AS category, count(*) AS n FROM dataset GROUP BY 1),
+total AS (SELECT count(*) AS total FROM dataset),
+need AS (SELECT t.plan, t.category, greatest(round(t.target_share * floor(round(t.sample_share * total, 6)), 6), CAST(t.min_rows AS DOUBLE)) AS need, coalesce(h.n, 0) AS available
+  FROM label_target t CROSS JOIN total LEFT JOIN have h ON h.category = t.category)
+SELECT *, greatest(need - available, 0.0::DOUBLE) AS missing, available < need AS shortfall, TRUE AS kept FROM need
+"""
+
 P3_FOUND = r"""
 WITH names AS (
   SELECT DISTINCT project,
@@ -27,6 +35,12 @@ FROM names a JOIN names b ON a.key = b.key AND a.key <> '' AND a.project < b.pro
 """
 
 
+P3_WHOLE = r"""
+WITH keys AS (SELECT id, coalesce(nullif(regexp_replace(regexp_replace(lower(project), '[.](git|hg|svn|bzr|cvs)[^\p{L}\p{N}]*$', ''), '[^\p{L}\p{N}]', '', 'g'), ''), 'raw:' || project, 'null:') AS entity FROM dataset)
+SELECT plan, count(*) AS n_rows, count(DISTINCT entity) AS n_entities, TRUE AS whole FROM keys CROSS JOIN (SELECT DISTINCT plan FROM split_target) GROUP BY plan
+"""
+
+
 def _words(text: str) -> str:
     return f"""words AS (SELECT id, split, w, count(*) AS n FROM (SELECT id, split, unnest(regexp_extract_all({text}, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM dataset) GROUP BY ALL),
 size AS (SELECT id, sum(n) AS n FROM words GROUP BY id)"""
@@ -75,6 +89,8 @@ SELECT item_id, n_chars, repeated_share, repeated_share >= 0.4 AS bad FROM measu
 """
 P7_FOUND = f"SELECT item_id FROM ({P7_MEASURE}) WHERE bad"
 
+P8_FITS = "SELECT spec_id, (capacity_tokens - reserved_tokens)::BIGINT AS room, (SELECT count(*) FROM documents) AS n_docs, TRUE AS fits FROM container_spec"
+
 P9_FOUND = r"""
 WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') AS u FROM documents
   UNION ALL SELECT 'i', item_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{L}\p{N}]+') FROM eval_item WHERE lang NOT IN ('zh', 'ja')),
@@ -87,10 +103,19 @@ UNION SELECT DISTINCT d.id, i.id FROM cg d JOIN cg i ON d.g = i.g AND d.kind = '
 """
 
 
+# the last visible character of every document that has one
+P10_EXTENT = r"""
+WITH seen AS (SELECT doc_id, length(regexp_replace(text, '[\x{09}-\x{0D}\x{20}\x{A0}\x{2009}\x{200B}\x{200E}\x{200F}\x{202F}\x{2060}\x{3000}\x{FEFF}]+$', '')) AS n FROM documents)
+SELECT doc_id, n::INT AS end_pos, TRUE AS chained FROM seen WHERE n > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_FOUND,
+        "p1_report": P1_REPORT,
         "p3_found": P3_FOUND,
+        "p3_whole": P3_WHOLE,
         "p5_found": P5_FOUND,
         "p5_groups": P5_GROUPS,
         "p6_found": P6_FOUND,
@@ -98,5 +123,7 @@ def oracle_sql() -> dict[str, str]:
         "p6_counts": P6_COUNTS,
         "p7_found": P7_FOUND,
         "p7_measure": P7_MEASURE,
+        "p8_fits": P8_FITS,
         "p9_found": P9_FOUND,
+        "p10_extent": P10_EXTENT,
     }

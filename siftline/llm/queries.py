@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.functions.labels import project_key
 from siftline.llm import crossover, entity_splits, leakage, neardup, packing, pairs, proportional, repetition, sentences, truncation
 from siftline.session import table
 
@@ -22,10 +23,16 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return proportional.sample_to_targets(table(spark, d, "dataset"), table(spark, d, "label_target"))[0]
 
 
-def p1_report(spark: SparkSession, d: str) -> DataFrame:
+def p1_residuals(spark: SparkSession, d: str) -> DataFrame:
     return proportional.sample_to_targets(table(spark, d, "dataset"), table(spark, d, "label_target"))[1]
 
 
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """What each target misses, and whether the sample holds it to less than one unit."""
+    kept = F.abs(F.col("drawn") - F.least("need", "available")) < 1
+    return p1_residuals(spark, d).select("plan", "category", "need", "available", F.greatest(F.col("need") - F.col("available"), F.lit(0.0)).alias("missing"), "shortfall", kept.alias("kept"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_off(table(spark, d, "alpaca_item"), "item_id", "output", "input").filter("cut").select("item_id")
 
@@ -51,6 +58,14 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return entity_splits.split_report(p3_splits(spark, d), table(spark, d, "split_target"))
 
 
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """For each plan: its records, its projects by key, and whether every project is in one split."""
+    key = F.coalesce(F.nullif(project_key("project"), F.lit("")), F.concat(F.lit("raw:"), "project"), F.lit("null:"))
+    rows = p3_splits(spark, d).join(table(spark, d, "dataset").select("id", key.alias("entity")), "id")
+    per = rows.groupBy("plan", "entity").agg(F.count("*").alias("n"), F.countDistinct("split").alias("splits"))
+    return per.groupBy("plan").agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_entities"), F.bool_and(F.col("splits") == 1).alias("whole"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "alpaca_item"), "item_id", "input", "output").filter("defect is not null")
 
@@ -104,6 +119,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p8_pack(spark, d), table(spark, d, "container_spec"))
 
 
+def p8_fits(spark: SparkSession, d: str) -> DataFrame:
+    """For each spec: its room, whether every container keeps to it and every document is whole that can be, and how
+    many documents the packing holds, those without a token included."""
+    room = F.col("capacity_tokens") - F.col("reserved_tokens")
+    packed = p8_pack(spark, d)
+    full = packed.groupBy("spec_id", "container_id").agg(F.sum(F.when(F.col("container_id").isNotNull(), F.col("tokens"))).alias("used")).groupBy("spec_id").agg(F.max("used").alias("most"))
+    docs = packed.groupBy("spec_id", "doc_id").agg(F.count("*").alias("parts"), F.sum("tokens").alias("size"))
+    spec = table(spark, d, "container_spec").select("spec_id", room.cast("bigint").alias("room"))
+    cut_up = docs.join(F.broadcast(spec), "spec_id").groupBy("spec_id", "room").agg(F.count("*").alias("n_docs"), F.bool_and(F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("room")))).alias("whole"))  # a few specs
+    return cut_up.join(full, "spec_id").select("spec_id", "room", "n_docs", ((F.col("most") <= F.col("room")) & F.col("whole")).alias("fits"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9_leaks(spark, d).filter("verbatim").select("doc_id", "item_id")
 
@@ -124,5 +151,13 @@ def p10_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split_sentences(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p10_extent(spark: SparkSession, d: str) -> DataFrame:
+    """Where the units of each document end, and whether each begins where the one before ended."""
+    u = p10_units(spark, d)
+    per = u.groupBy("doc_id").agg(F.max("end_pos").alias("end_pos"), F.count("*").alias("n"), F.countDistinct("end_pos").alias("ends"), F.sum("end_pos").alias("a"), F.sum("start_pos").alias("b"), F.min("start_pos").alias("first"))
+    # distinct ends, and starts that are 0 and all ends but the last
+    return per.select("doc_id", "end_pos", ((F.col("n") == F.col("ends")) & (F.col("first") == 0) & (F.col("a") - F.col("end_pos") == F.col("b"))).alias("chained"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit()}

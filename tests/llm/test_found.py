@@ -79,7 +79,7 @@ def test_p10_units(spark, small):
 
 
 def test_p1_totals(spark, small):
-    rep = Q["p1_report"](spark, small).collect()
+    rep = Q["p1_residuals"](spark, small).collect()
     assert len(rep) == 66
     for r in rep:
         assert abs(r.drawn - min(r.need, r.available)) < 1 and r.shortfall == (r.available < r.need)
