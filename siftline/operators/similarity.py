@@ -8,7 +8,6 @@ both is exact, and neither grows with queries times rows.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,46 +54,14 @@ def _similarity(inter: np.ndarray, shared: np.ndarray, u: np.ndarray, t: np.ndar
     return JACCARD_WEIGHT * j + OVERLAP_WEIGHT * f
 
 
-class Signatures:
-    """Signatures of a block of queries as counts over the block's own tokens."""
-
-    def __init__(self, sigs: list[list[str]]):
-        self.n = len(sigs)
-        self.tokens: dict[str, int] = {}
-        self.members: list[tuple[list[int], list[int]]] = []
-        self.unique = np.zeros(self.n)
-        self.total = np.zeros(self.n)
-        for q, s in enumerate(sigs):
-            c = Counter(s)
-            self.unique[q], self.total[q] = len(c), len(s)
-            for t, m in c.items():
-                v = self.tokens.setdefault(t, len(self.tokens))
-                if v == len(self.members):
-                    self.members.append(([], []))
-                self.members[v][0].append(q)
-                self.members[v][1].append(m)
-        self.members = [(np.array(a), np.array(b)) for a, b in self.members]
-
-    def score(self, rows: list[list[str]]) -> np.ndarray:
-        """Similarity of every query and row."""
-        inter, shared = np.zeros((self.n, len(rows))), np.zeros((self.n, len(rows)))
-        unique, total = np.zeros(len(rows)), np.zeros(len(rows))
-        places: dict[int, tuple[list[int], list[int]]] = {}
-        for r, s in enumerate(rows):
-            c = Counter(s)
-            unique[r], total[r] = len(c), len(s)
-            for t, m in c.items():
-                v = self.tokens.get(t)
-                if v is not None:
-                    at = places.setdefault(v, ([], []))
-                    at[0].append(r)
-                    at[1].append(m)
-        for v, (r, m) in places.items():
-            q, k = self.members[v]
-            cell = np.ix_(q, np.array(r))
-            inter[cell] += 1
-            shared[cell] += np.minimum(k[:, None], np.array(m)[None, :])
-        return _similarity(inter, shared, self.unique, self.total, unique, total)
+def _occurrence(row: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """How often the same token stood before in the same row."""
+    order = np.lexsort((token, row))
+    new = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(token[order]) != 0)])[: len(order)]
+    place = np.arange(len(order))
+    occ = np.empty(len(order), np.int64)
+    occ[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    return occ
 
 
 def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,40 +77,6 @@ def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return q[keep], r[keep], s[keep]
 
 
-def _scan(rows: DataFrame, k: int, score) -> DataFrame:
-    """(qn, cand_id, sim): the k best rows of each query in each task, by ``score(sigs, ids)``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        for b in batches:
-            for at in range(0, b.num_rows, ROW_BLOCK):
-                part = b.slice(at, ROW_BLOCK)
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                q, r, s = _best(score(part.column(1).to_pylist(), ids), ids, k)
-                held = [np.concatenate(x) for x in zip(held, (q, ids[r], s))]
-                order = np.lexsort((held[1], -held[2], held[0]))
-                held = [x[order] for x in held]
-                start = np.searchsorted(held[0], held[0])
-                keep = np.arange(len(start)) - start < k
-                held = [x[keep] for x in held]
-        yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1]), pa.array(held[2])], names=["qn", "cand_id", "sim"])
-
-    return rows.select(F.col("id").cast("bigint"), "sig").mapInArrow(run, "qn bigint, cand_id bigint, sim double")
-
-
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qn").orderBy(F.desc("sim"), "cand_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame) -> Iterator[list]:
-    """The queries, in blocks of about QUERY_BLOCK rows by hash."""
-    n = -(-queries.count() // QUERY_BLOCK)
-    for b in range(n):
-        part = queries.filter(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(n)) == b).select(F.col("id").cast("bigint"), "sig")
-        yield part.orderBy("id").collect()
-
-
 def _hot_tokens(rows: DataFrame) -> list[str]:
     """Tokens that stand in at least ``HOT_SHARE`` of the rows, the ``HOT_TOKENS`` most frequent at most."""
     n = rows.select(F.explode(F.array_distinct("sig")).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -163,11 +96,7 @@ def _patterns(rows: DataFrame, hot: list[str]) -> DataFrame:
             row = np.repeat(np.arange(b.num_rows), n)
             flat = sig.flatten()
             token = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            order = np.lexsort((token, row))
-            new = np.concatenate([[True], (np.diff(row[order]) != 0) | (np.diff(token[order]) != 0)]) if len(order) else np.zeros(0, bool)
-            place = np.arange(len(order))
-            occ = np.empty(len(order), np.int64)
-            occ[order] = place - np.maximum.accumulate(np.where(new, place, 0)) if len(order) else place
+            occ = _occurrence(row, token)
             code = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             own = np.flatnonzero(code >= 0)
             own = own[np.lexsort((occ[own], code[own], row[own]))]
@@ -184,11 +113,10 @@ def _patterns(rows: DataFrame, hot: list[str]) -> DataFrame:
     return rows.select(F.col("id").cast("bigint"), "sig").mapInArrow(run, "id bigint, sig array<string>, u bigint, t bigint, pattern array<bigint>, rare array<string>")
 
 
-def _packed(patterns: DataFrame, size: int) -> DataFrame:
-    """Rows (key, first, u, t, pattern) in blocks of about ``size``."""
-    blocks = max(1, -(-patterns.count() // size))
-    row = F.struct("first", "key", "u", "t", "pattern")
-    return patterns.groupBy(F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks)).alias("_block")).agg(F.sort_array(F.collect_list(row)).alias("rows")).select("rows")
+def _in_blocks(df: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """``rows``: the rows in blocks of about ``size`` by hash of the first column."""
+    blocks = max(1, -(-df.count() // size))
+    return df.groupBy(F.pmod(F.xxhash64(columns[0], F.lit(7)), F.lit(blocks)).alias("_block")).agg(F.collect_list(F.struct(*columns)).alias("rows")).select("rows")
 
 
 def _codes(rows: list[dict], columns: np.ndarray) -> np.ndarray:
@@ -203,7 +131,7 @@ def _codes(rows: list[dict], columns: np.ndarray) -> np.ndarray:
 
 
 def _scored(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFrame:
-    """(q, r, first, sim): the k best row patterns of each query pattern in each two blocks, by similarity, then first id."""
+    """(q, r, sim): the k best row patterns of each query pattern in each two blocks, by similarity, then id."""
     both = queries.withColumnRenamed("rows", "q").crossJoin(rows.withColumnRenamed("rows", "r"))  # blocks of a query set against blocks of all patterns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,10 +145,10 @@ def _scored(queries: DataFrame, rows: DataFrame, k: int, least: float) -> DataFr
                 size = lambda rows, c: np.array([row[c] for row in rows], float)
                 sim = _similarity(inter, shared, size(q, "u"), size(q, "t"), size(r, "u"), size(r, "t"))
                 sim[sim < least] = -np.inf
-                at, to, best = _best(sim, np.array([row["first"] for row in r]), k)
-                yield pa.RecordBatch.from_arrays([pa.array([q[j]["key"] for j in at], pa.int64()), pa.array([r[j]["key"] for j in to], pa.int64()), pa.array([r[j]["first"] for j in to], pa.int64()), pa.array(best)], names=["q", "r", "first", "sim"])
+                at, to, best = _best(sim, np.array([row["key"] for row in r]), k)
+                yield pa.RecordBatch.from_arrays([pa.array([q[j]["key"] for j in at], pa.int64()), pa.array([r[j]["key"] for j in to], pa.int64()), pa.array(best)], names=["q", "r", "sim"])
 
-    return both.mapInArrow(run, "q bigint, r bigint, first bigint, sim double")
+    return both.mapInArrow(run, "q bigint, r bigint, sim double")
 
 
 def retrieve_top_k(queries: DataFrame, rows: DataFrame, k: int = 3, min_similarity: float = 0.0, skip_self: bool = True) -> DataFrame:
@@ -238,8 +166,9 @@ def retrieve_top_k(queries: DataFrame, rows: DataFrame, k: int = 3, min_similari
     low = F.row_number().over(Window.partitionBy(*kind).orderBy("id"))
     lowest = cut(r.select("id", *kind).withColumn("_n", low).filter(F.col("_n") <= k + 1).groupBy(*kind).agg(F.sort_array(F.collect_list("id")).alias("ids")), "lowest")
     named = q.groupBy(*kind).agg(F.min("id").alias("key"))
-    met = _scored(_packed(named.withColumn("first", F.col("key")), QUERY_BLOCK), _packed(lowest.select(*kind, F.col("ids")[0].alias("key"), F.col("ids")[0].alias("first")), ROW_BLOCK), k + 1, min_similarity)
-    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "first"))
+    row = ["key", "u", "t", "pattern"]
+    met = _scored(_in_blocks(named, row, QUERY_BLOCK), _in_blocks(lowest.withColumn("key", F.col("ids")[0]), row, ROW_BLOCK), k + 1, min_similarity)
+    best = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "r"))
     met = met.withColumn("_n", best).filter(F.col("_n") <= k + 1).join(lowest.select(F.col("ids")[0].alias("r"), "ids"), "r")
     by_pattern = q.select(F.col("id").alias("query_id"), *kind).join(named, kind).select("query_id", F.col("key").alias("q")).join(met, "q").select("query_id", F.explode("ids").alias("cand_id"), "sim")
     # rows with a rare token of the query
@@ -256,47 +185,82 @@ def retrieve_top_k(queries: DataFrame, rows: DataFrame, k: int = 3, min_similari
     return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "cand_id", "similarity")
 
 
+def _labelled(sigs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, label, occurrence) of all tokens, where equal labels are the same token at its same occurrence."""
+    n = np.fromiter(map(len, sigs), np.int64, len(sigs))
+    row = np.repeat(np.arange(len(sigs)), n)
+    token = pa.array([t for s in sigs for t in s], pa.string()).dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    occ = _occurrence(row, token)
+    return row, token << 32 | occ, occ
+
+
+def _all_scores(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Similarity of every two signatures of both sides."""
+    row, label, occ = _labelled(left + right)
+    mine = row < len(left)
+    columns = np.intersect1d(label[mine], label[~mine])  # only shared tokens count
+    at = np.minimum(np.searchsorted(columns, label), max(len(columns) - 1, 0))
+    both = np.zeros((len(left) + len(right), len(columns)), np.float32)
+    if len(columns):
+        keep = columns[at] == label
+        both[row[keep], at[keep]] = 1
+    x, y, first = both[: len(left)], both[len(left) :], columns & 0xFFFFFFFF == 0
+    u, t = np.bincount(row[occ == 0], minlength=len(both)).astype(float), np.bincount(row, minlength=len(both)).astype(float)
+    return _similarity((x[:, first] @ y[:, first].T).astype(float), (x @ y.T).astype(float), u[: len(left)], t[: len(left)], u[len(left) :], t[len(left) :])
+
+
+def _next_pick(queries: DataFrame, rows: DataFrame, threshold: float, skip_self: bool) -> DataFrame:
+    """(query_id, cand_id, sim): in each two blocks the best row of each query (id, sig, taken) that is not taken and is
+    similar to no taken one by more than ``threshold``."""
+    both = queries.withColumnRenamed("rows", "q").crossJoin(rows.withColumnRenamed("rows", "r"))  # blocks of a query set against blocks of all rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                q, r = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                taken = [(j, t) for j, x in enumerate(q) for t in x["taken"]]
+                own, ids = np.array([x["id"] for x in q]), np.array([x["id"] for x in r])
+                sim = _all_scores([x["sig"] for x in q] + [t["sig"] for _, t in taken], [x["sig"] for x in r])
+                near, sim = sim[len(q) :] > threshold, sim[: len(q)]
+                if skip_self:
+                    sim[own[:, None] == ids[None, :]] = -np.inf
+                for (j, t), close in zip(taken, near):
+                    sim[j, close | (ids == t["cand_id"])] = -np.inf
+                at, to, best = _best(sim, ids, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(own[at], pa.int64()), pa.array(ids[to], pa.int64()), pa.array(best)], names=["query_id", "cand_id", "sim"])
+
+    return both.mapInArrow(run, "query_id bigint, cand_id bigint, sim double")
+
+
 def retrieve_with_diversity(queries: DataFrame, rows: DataFrame, k: int = 3, threshold: float = 0.3, skip_self: bool = True) -> DataFrame:
     """(query_id, rank, cand_id, similarity): going down the rows by similarity, those are taken
     whose similarity to every one taken before is at most ``threshold``; if that gives fewer than
     k, the best of the others follow.
 
     Taken as k rounds: each finds the best row of every query among those not too similar to the
-    rows taken before, so the result is that of the greedy scan, in k passes over the rows plus
-    one for the rest. Each pass collects at most one row for each query of the block."""
-    spark, rows = rows.sparkSession, cut(rows.select("id", "sig"), "signatures")
-    kind = "query_id bigint, rank int, cand_id bigint, similarity double"
-    picked = spark.createDataFrame([], kind)
-    by_id = rows.select(F.col("id").cast("bigint").alias("cand_id"), "sig")
-    for block in _blocks(queries):
-        ids = np.array([r.id for r in block])
-        own = Signatures([r.sig or [] for r in block])
-        taken: list[list[tuple[int, float, list[str]]]] = [[] for _ in block]
-        for _ in range(k):
-            sent = spark.sparkContext.broadcast((ids, own, taken))
-
-            def score(sigs, cand, sent=sent):
-                q, s, have = sent.value
-                sigs = [x or [] for x in sigs]
-                sim = s.score(sigs)
-                if skip_self:
-                    sim[q[:, None] == cand[None, :]] = -np.inf
-                flat = [(i, t) for i, ts in enumerate(have) for t in ts]
-                if flat:
-                    near = Signatures([t[2] for _, t in flat]).score(sigs) > threshold
-                    for (i, t), row in zip(flat, near):
-                        sim[i, row | (cand == t[0])] = -np.inf
-                return sim
-
-            best = _ranked(_scan(rows, 1, score), 1).join(by_id, "cand_id").select("qn", "cand_id", "sim", "sig").collect()
-            for r in best:
-                taken[r.qn].append((r.cand_id, r.sim, r.sig or []))
-            if not best:
-                break
-        done = [(int(ids[i]), n + 1, t[0], float(t[1])) for i, ts in enumerate(taken) for n, t in enumerate(ts)]
-        picked = picked.unionByName(cut(spark.createDataFrame(done, kind), "picked"))
-    rest = retrieve_top_k(queries, rows, 2 * k, 0.0, skip_self).join(picked.select("query_id", "cand_id"), ["query_id", "cand_id"], "left_anti")
-    have = queries.select(F.col("id").cast("bigint").alias("query_id")).join(picked.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")) + F.coalesce("have", F.lit(0))
+    rows taken before, so the result is that of the greedy scan. Blocks of queries with what they have taken
+    meet blocks of rows; nothing reaches the driver."""
+    sig = F.coalesce("sig", F.array().cast("array<string>")).alias("sig")
+    rows = cut(rows.select(F.col("id").cast("bigint").alias("id"), sig), "signatures")
+    queries = cut(queries.select(F.col("id").cast("bigint").alias("id"), sig), "queries")
+    if not queries.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("query ids must be unique")
+    by_id = rows.select(F.col("id").alias("cand_id"), F.col("sig").alias("cand_sig")).dropDuplicates(["cand_id"])
+    blocks = cut(_in_blocks(rows, ["id", "sig"], ROW_BLOCK), "blocks")
+    state = queries.withColumn("taken", F.array().cast("array<struct<cand_id:bigint,sim:double,sig:array<string>>>"))
+    first = Window.partitionBy("query_id").orderBy(F.desc("sim"), "cand_id")
+    for _ in range(k):
+        found = _next_pick(_in_blocks(state, ["id", "sig", "taken"], QUERY_BLOCK), blocks, threshold, skip_self)
+        best = found.withColumn("_n", F.row_number().over(first)).filter("_n = 1").join(by_id, "cand_id")
+        pick = best.select(F.col("query_id").alias("id"), F.array(F.struct("cand_id", "sim", F.col("cand_sig").alias("sig"))).alias("pick"))
+        more = F.concat("taken", F.coalesce("pick", F.array().cast("array<struct<cand_id:bigint,sim:double,sig:array<string>>>")))
+        state = cut(state.join(pick, "id", "left").select("id", "sig", more.alias("taken")), "taken")
+    picked = state.select(F.col("id").alias("query_id"), F.posexplode("taken").alias("n", "x")).select("query_id", (F.col("n") + 1).alias("rank"), "x.cand_id", F.col("x.sim").alias("similarity"))
+    short = state.filter(F.size("taken") < k)
+    if short.isEmpty():
+        return picked
+    rest = retrieve_top_k(short.select("id", "sig"), rows, 2 * k, 0.0, skip_self).join(picked.select("query_id", "cand_id"), ["query_id", "cand_id"], "left_anti")
+    have = short.select(F.col("id").alias("query_id"), F.size("taken").alias("have"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")) + F.col("have")
     fill = rest.join(have, "query_id").withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "cand_id", "similarity")
     return picked.unionByName(fill)

@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from siftline.operators.ordering import with_position
 from siftline.operators.profile import median, null_percentages, table_profile
 from siftline.operators.sampling import sample_data
 from siftline.operators.signatures import signature
-from siftline.operators.similarity import Signatures, retrieve_top_k, retrieve_with_diversity, similarity
+from siftline.operators.similarity import retrieve_top_k, retrieve_with_diversity, similarity
 from siftline.plans.inference import Reply, call_model, call_statistics
 from siftline.plans.pipelines import Evaluator, distill, explain, run_steps
 from siftline.sources.corpus import RunConfig, display_config, list_datasets, list_prediction_files, load_config, predictions_from_items, read_corpus, read_items, save_config, truth_from_labels
@@ -43,12 +44,17 @@ def test_signature_rules(spark):
 def test_similarity_golden(spark, a, b, want):
     df = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
     assert df.select(similarity(F.col("a"), F.col("b")).alias("s")).first().s == want
-    assert Signatures([a]).score([b])[0, 0] == want
+    assert score(a, b) == want
+
+
+def score(a, b):
+    x, y = Counter(a), Counter(b)
+    inter, union = len(x.keys() & y.keys()), len(x.keys() | y.keys())
+    return 0.6 * (inter / union if union else 0.0) + 0.4 * ((x & y).total() / (len(a) + len(b)) if a or b else 0.0)
 
 
 def brute(sigs, qid, k, least=0.0):
-    s = Signatures([sigs[qid]])
-    rows = [(s.score([v])[0, 0], i) for i, v in sigs.items() if i != qid]
+    rows = [(score(sigs[qid], v), i) for i, v in sigs.items() if i != qid]
     return [(i, x) for x, i in sorted(rows, key=lambda r: (-r[0], r[1])) if x >= least][:k]
 
 
@@ -75,9 +81,9 @@ def test_retrieval_by_patterns_and_tokens(spark, monkeypatch):
     monkeypatch.setattr(V, "ROW_BLOCK", 150)
     monkeypatch.setattr(V, "HOT_SHARE", 0.05)
     rnd = random.Random(11)
-    sigs = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))] + [f"r{rnd.randint(0, 400)}" for _ in range(rnd.randint(0, 2))] for _ in range(1500)]
+    sigs = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 7))] + [f"r{rnd.randint(0, 400)}" for _ in range(rnd.randint(0, 2))] for _ in range(700)]
     df = spark.createDataFrame([(i * 3, s) for i, s in enumerate(sigs)], "id bigint, sig array<string>").repartition(4)
-    sim = Signatures(sigs).score(sigs)
+    sim = np.array([[score(a, b) for b in sigs] for a in sigs])
     np.fill_diagonal(sim, -1)
     for least in (0.0, 0.45):
         got = {}
@@ -88,7 +94,12 @@ def test_retrieval_by_patterns_and_tokens(spark, monkeypatch):
             assert [x[1:] for x in sorted(got.get(i * 3, []))] == [(3 * int(j), sim[i, j]) for j in order if sim[i, j] >= least]
 
 
-def test_diversity_against_greedy_scan(spark):
+@pytest.mark.parametrize("block", [4096, 7])
+def test_diversity_against_greedy_scan(spark, monkeypatch, block):
+    from siftline.operators import similarity as V
+
+    monkeypatch.setattr(V, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(V, "ROW_BLOCK", block)
     rnd = random.Random(5)
     sigs = {i: [rnd.choice("abcd") for _ in range(rnd.randint(0, 4))] for i in range(40)}
     df = spark.createDataFrame(list(sigs.items()), "id bigint, sig array<string>").repartition(3)
@@ -99,7 +110,7 @@ def test_diversity_against_greedy_scan(spark):
         order = [i for i, _ in brute(sigs, q, 99)]
         taken = []
         for c in order:
-            if len(taken) < 3 and all(Signatures([sigs[c]]).score([sigs[t]])[0, 0] <= 0.3 for t in taken):
+            if len(taken) < 3 and all(score(sigs[c], sigs[t]) <= 0.3 for t in taken):
                 taken.append(c)
         taken += [c for c in order if c not in taken][: 3 - len(taken)]
         assert [got[q][n] for n in (1, 2, 3)] == taken
