@@ -168,7 +168,14 @@ def word_ranks(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             u, c = np.unique(labelled(words, np.repeat(np.arange(len(at) - 1), np.diff(at))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["word", "n"])
 
-    found = drawn.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word").limit(RANK_WORDS).toPandas()
+    counts = cut(drawn.select("words").mapInArrow(run, "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1"), "ranks")
+    least, total = None, 0
+    for r in counts.groupBy("n").agg(F.count("*").alias("m")).orderBy(F.desc("n")).collect():  # no more than rows drawn
+        total += r.m
+        if total > RANK_WORDS:
+            break
+        least = r.n
+    found = counts.filter(F.lit(False) if least is None else F.col("n") >= least).toPandas()
     word = found["word"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
     return word[order], found["n"].to_numpy(np.int64)[order]
