@@ -1,9 +1,9 @@
 """Problem 7: repetition inside one document, by an isolation forest over rule statistics.
 
-One pass measures rule statistics of every text. A forest of isolation trees is grown on a bounded
-sample of the rows, over the statistics of lines, sentences and short grams; a text's score is
+One pass measures rule statistics of every text. A forest of isolation trees is grown on all rows,
+level by level, over the statistics of lines, sentences and short grams; a text's score is
 2 ** (-mean path length / expected length), high for texts that few random splits set apart. Every
-row is scored, and the threshold is calibrated on all labelled rows (label: the rule of the problem,
+row is scored, and the threshold is calibrated on all rows (label: the rule of the problem,
 which is no statistic of the forest). The rows above the threshold are checked exactly.
 """
 
@@ -15,20 +15,22 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.textscan import chunks, codes, kinds, mix, prefix, spans_hash
-from siftline.session import cut, spread
+from siftline.session import Cut, cut, spread
 
 #: letters and digits that a repeated stretch has at least
 STRETCH = 30
 #: repeated share from which a text is bad
 BAD_SHARE = 0.4
-#: rows on which the forest is grown: all, or about so many drawn by hash
+#: rows of different values up to which the forest is grown on the driver; more are read in tasks. Either way all
+#: rows are read and the forest is the same
 SAMPLE_ROWS = 20_000
 TREES = 60
-TREE_ROWS = 256
+#: splits above a leaf at most; rows still together there count the expected length of the rest
+DEPTH = 8
 LIST_NUMBER = re.compile(r"(?m)^[ \t]*[(（]?\d+[.)）、．:：][ \t]*")
 #: what the forest sees
 FEATURES = ["line_share", "sentence_share", "gram_share", "top_gram_share"]
@@ -124,71 +126,145 @@ def repetition_statistics(df: DataFrame, key: str, text: str) -> DataFrame:
     return spread(df.select(key, text)).mapInArrow(run, kind)
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
-    if depth == 0 or len(x) <= 1 or (x == x[0]).all():
-        return (len(x),)
-    span = x.max(0) - x.min(0)
-    f = int(rng.choice(np.flatnonzero(span > 0)))
-    at = float(x[:, f].min() + rng.random() * span[f])
-    left = x[:, f] < at
-    return (f, at, _grow(x[left], rng, depth - 1), _grow(x[~left], rng, depth - 1))
-
-
 def _expected(n: np.ndarray | float) -> np.ndarray:
     n = np.asarray(n, float)
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def _walk(tree: tuple, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
-    if not len(at):
-        return
-    if len(tree) == 1:
-        out[at] += depth + _expected(tree[0])
-        return
-    left = x[at, tree[0]] < tree[1]
-    _walk(tree[2], x, at[left], depth + 1, out)
-    _walk(tree[3], x, at[~left], depth + 1, out)
-
-
 class IsolationForest:
-    """Trees, each over ``TREE_ROWS`` rows of the sample drawn without replacement; their size is
-    bounded by ``TREES`` x ``TREE_ROWS`` whatever the data."""
-
-    def __init__(self, x: np.ndarray, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.size = min(TREE_ROWS, len(x))
-        deep = int(np.ceil(np.log2(max(self.size, 2))))
-        self.trees = [_grow(x[rng.choice(len(x), self.size, replace=False)], rng, deep) for _ in range(TREES if len(x) else 0)]
+    """Trees over all rows, grown level by level: ``look`` takes rows into the numbers and ranges of a level's
+    nodes, in any order and any parts, and ``split`` draws the splits of the level from them. Node k of a tree
+    has the children 2 k + 1 and 2 k + 2, so a forest is bounded by ``TREES`` x 2 ** (``DEPTH`` + 1) nodes."""
+
+    def __init__(self):
+        self.deep = DEPTH
+        self.expected = 0.0
+        self.feature = np.full((TREES, (2 << DEPTH) - 1), -1, np.int8)
+        self.at = np.zeros(self.feature.shape)
+        self.length = np.zeros(self.feature.shape)
+
+    def _reach(self, tree: int, x: np.ndarray, levels: int) -> np.ndarray:
+        """The node each row stands in after so many levels, or the leaf above."""
+        node = np.zeros(len(x), np.int64)
+        rows = np.arange(len(x))
+        for _ in range(levels):
+            f = self.feature[tree, node[rows]]
+            rows, f = rows[f >= 0], f[f >= 0]
+            old = node[rows]
+            node[rows] = 2 * old + 1 + (x[rows, f] >= self.at[tree, old])
+        return node
+
+    def look(self, level: int, x: np.ndarray, n: np.ndarray, seen: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of rows, lowest and highest values of each tree's nodes of a level, those in ``seen`` included;
+        ``n`` rows have the values ``x``."""
+        many, low, high = seen or (np.zeros((TREES, 1 << level), np.int64), *(np.full((TREES, 1 << level, len(FEATURES)), v) for v in (np.inf, -np.inf)))
+        for tree in range(TREES):
+            node = self._reach(tree, x, level) - ((1 << level) - 1)
+            order = np.argsort(node, kind="stable")
+            order = order[np.searchsorted(node[order], 0) :]
+            if not len(order):
+                continue
+            node = node[order]
+            first = np.flatnonzero(np.diff(node, prepend=-1))
+            at = node[first]
+            many[tree, at] += np.add.reduceat(n[order], first)
+            low[tree, at] = np.minimum(low[tree, at], np.minimum.reduceat(x[order], first))
+            high[tree, at] = np.maximum(high[tree, at], np.maximum.reduceat(x[order], first))
+        return many, low, high
+
+    def split(self, level: int, many: np.ndarray, low: np.ndarray, high: np.ndarray, seed: int = 7) -> None:
+        """Nodes of one row or of equal rows become leaves, and all at the last level. A draw depends on the seed
+        and the node's place only."""
+        if level == 0:
+            rows = int(many[0, 0])
+            self.deep = min(DEPTH, int(np.ceil(np.log2(max(rows, 2)))))
+            self.expected = float(_expected(rows))
+        span = np.where(many[..., None] > 1, high - low, 0)
+        wide = (span > 0).sum(-1)
+        inner = (wide > 0) & (level < self.deep)
+        pick, where = np.random.default_rng([seed, level]).random((2, *many.shape))
+        nth = np.minimum((pick * wide).astype(int), wide - 1) + 1
+        f = np.argmax((span > 0) & (np.cumsum(span > 0, -1) == nth[..., None]), -1)
+        part = slice((1 << level) - 1, (2 << level) - 1)
+        self.feature[:, part] = np.where(inner, f, -1)
+        start, width = (np.take_along_axis(v, f[..., None], -1)[..., 0] for v in (low, span))
+        self.at[:, part] = np.where(inner, start + where * width, 0)
+        self.length[:, part] = level + _expected(many)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        if not self.trees:
-            return np.zeros(len(x))
         out = np.zeros(len(x))
-        for t in self.trees:
-            _walk(t, x, np.arange(len(x)), 0, out)
-        return 2 ** (-out / len(self.trees) / max(float(_expected(self.size)), 1e-9))
+        for tree in range(TREES):
+            out += self.length[tree, self._reach(tree, x, self.deep)]
+        return 2 ** (-out / TREES / max(self.expected, 1e-9))
+
+
+def _looked(rows: DataFrame, forest: IsolationForest, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``IsolationForest.look`` over all rows of a table, in its tasks; one row for each node reaches the driver."""
+    ends = [f"{e}_{f}" for e in ("low", "high") for f in FEATURES]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for b in batches:
+            x = np.column_stack([b.column(f).to_numpy() for f in FEATURES])
+            seen = forest.look(level, x, b.column("n").to_numpy(), seen)
+        if seen:
+            many, low, high = seen
+            node = np.flatnonzero(many)
+            values = np.concatenate([v.reshape(many.size, -1)[node] for v in (low, high)], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (node, many.ravel()[node], *values.T)], names=["node", "n", *ends])
+
+    parts = rows.mapInArrow(run, "node bigint, n bigint, " + ", ".join(f"{e} double" for e in ends))
+    got = parts.groupBy("node").agg(F.sum("n").alias("n"), *[(F.min if e.startswith("low") else F.max)(e).alias(e) for e in ends]).toPandas()
+    many, low, high = forest.look(level, np.zeros((0, len(FEATURES))), np.zeros(0, np.int64))
+    node = got["node"].to_numpy()
+    many.reshape(-1)[node] = got["n"]
+    low.reshape(many.size, -1)[node] = got[ends[: len(FEATURES)]]
+    high.reshape(many.size, -1)[node] = got[ends[len(FEATURES) :]]
+    return many, low, high
+
+
+def grown(stats: DataFrame) -> IsolationForest:
+    """The forest over all rows of ``stats``; rows of equal values are looked at once."""
+    rows = Cut(spread(stats.groupBy(*FEATURES).agg(F.count("*").alias("n"))), "vectors")
+    here = rows.df.toPandas() if rows.df.count() <= SAMPLE_ROWS else None
+    forest = IsolationForest()
+    for level in range(DEPTH + 1):
+        if level <= forest.deep:
+            forest.split(level, *(_looked(rows.df, forest, level) if here is None else forest.look(level, here[FEATURES].to_numpy(float), here["n"].to_numpy())))
+    rows.drop()
+    return forest
+
+
+def middle(scored: DataFrame) -> float:
+    """The exact median score of all rows, 0 where there are none. Equal scores are one row with their number, so no
+    task holds a frequent one; these are put in order over all tasks."""
+    held = cut(scored.groupBy("score").agg(F.count("*").alias("n")).repartitionByRange("score").withColumn("part", F.spark_partition_id()), "middle")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = held.groupBy("part").agg(F.sum("n").alias("in_part"))  # one row for each partition
+    before = sizes.select("part", F.coalesce(F.sum("in_part").over(upto), F.lit(0)).alias("before"))
+    rows = held.agg(F.sum("n").alias("rows"))  # one row
+    end = F.sum("n").over(Window.partitionBy("part").orderBy("score")) + F.col("before")
+    placed = held.join(F.broadcast(before), "part").withColumn("end", end).join(F.broadcast(rows))
+    low, high = (F.min(F.when(F.col("end") > at, F.col("score"))) for at in (F.floor((F.col("rows") - 1) / 2), F.floor(F.col("rows") / 2)))
+    return placed.agg(F.coalesce((low + high) / 2, F.lit(0.0)).alias("mid")).first().mid
 
 
 def repeated_documents(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, n_chars, rule statistics, score, anomalous, bad) of every row.
 
-    The forest sees all rows or a draw of about ``SAMPLE_ROWS`` by the hash of the key, so it is the
-    same whatever the partitioning. The threshold is the lowest score of a labelled bad row
-    of the table less a tenth of its distance from the sample's median score, so no bad row lies
+    The forest sees all rows, so it is the same whatever the partitioning. The threshold is the lowest score of a
+    labelled bad row less a tenth of its distance from the median score of all rows, so no bad row lies
     below it; without a bad row, every row above the median is anomalous. ``bad`` rows are anomalous and pass the exact
     rule. Null, empty and very short texts have share 0. Repeated keys keep their rows."""
     stats = cut(repetition_statistics(df, key, text), "rules")
-    share = min(1.0, SAMPLE_ROWS / max(stats.count(), 1))
-    drawn = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = stats.filter(drawn).select(key, *FEATURES).toPandas().sort_values([key, *FEATURES])[FEATURES].to_numpy(float)
-    forest = IsolationForest(sample)
-    mid = float(np.median(forest.score(sample))) if len(sample) else 0.0
+    forest = grown(stats)
 
     @F.pandas_udf("double")
     def score(*cols: pd.Series) -> pd.Series:
         return pd.Series(forest.score(np.column_stack(cols)) if len(cols[0]) else [])
 
     scored = cut(stats.withColumn("score", score(*FEATURES)), "scores")
+    mid = middle(scored)
     low = scored.filter(F.col("repeated_share") >= BAD_SHARE).agg(F.min("score").alias("low")).first().low
     low = mid if low is None else low
     threshold = low - 0.1 * max(low - mid, 0)

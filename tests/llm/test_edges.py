@@ -292,6 +292,35 @@ def test_repetition_beyond_the_sample(spark, monkeypatch):
     assert want == set(range(200)) - drawn | {min(drawn)} and {i for i, r in got.items() if r.bad} == want
 
 
+def test_forest_of_all_rows(spark, monkeypatch):
+    """A few rows far off and many repeated ones: trees, scores and the median are of all rows, on the driver or in tasks."""
+    rng = np.random.default_rng(3)
+    outs = [" ".join(f"w{rng.integers(15 + i % 40)}" for _ in range(40)) for i in range(400)] + ["plain words"] * 300 + ["The same words stand here once more and again. " * 20]
+    df = items(spark, outs).repartition(5)
+    scores = []
+    for most in (20_000, 60):
+        monkeypatch.setattr(repetition, "SAMPLE_ROWS", most)
+        scores.append({r.item_id: r for r in repetition.repeated_documents(df, "item_id", "output").collect()})
+    assert len(scores[0]) == 701 and scores[0] == scores[1]
+    stats = repetition.repetition_statistics(df, "item_id", "output")
+    assert repetition.middle(spark.createDataFrame([(r.score,) for r in scores[0].values()], "score double").repartition(3)) == np.median([r.score for r in scores[0].values()])
+    assert repetition.middle(spark.createDataFrame([(0.25,), (0.25,), (0.5,), (1.0,)], "score double")) == 0.375
+    x = stats.select(*repetition.FEATURES).toPandas().to_numpy()
+    forest = repetition.grown(stats)
+    for tree in range(repetition.TREES):
+        todo = [(0, 0, np.arange(len(x)))]
+        while todo:
+            node, level, rows = todo.pop()
+            f, at = forest.feature[tree, node], forest.at[tree, node]
+            if f < 0:
+                assert level == repetition.DEPTH or len(rows) == 1 or (x[rows] == x[rows[0]]).all()
+                assert forest.length[tree, node] == level + repetition._expected(len(rows))
+            else:
+                left = x[rows, f] < at
+                assert x[rows, f].min() <= at <= x[rows, f].max()
+                todo += [(2 * node + 1, level + 1, rows[left]), (2 * node + 2, level + 1, rows[~left])]
+
+
 def test_packing(spark):
     docs = spark.createDataFrame([(i, "word " * n, 3) for i, n in enumerate([1, 5, 5, 5, 30, 0, 100])] + [(50, None, 3), (1, "word " * 5, 3)], "doc_id bigint, text string, rank int")
     spec = spark.createDataFrame([(1, 12, 2), (2, 1000, 0)], "spec_id int, capacity_tokens int, reserved_tokens int")
