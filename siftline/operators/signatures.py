@@ -64,11 +64,6 @@ def with_signature(df: DataFrame, code: str = "code", to: str = "sig") -> DataFr
     return spread(df).withColumn(to, signature(F.col(code)))
 
 
-def token_counts(df: DataFrame, key: str = "id", sig: str = "sig") -> DataFrame:
-    """(key, token, n)."""
-    return df.select(key, F.explode(sig).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-
-
 def signature_statistics(df: DataFrame, sig: str = "sig") -> DataFrame:
     """One row: rows, distinct tokens, all tokens, mean tokens a row (empty signatures count)."""
     rows = df.agg(F.count("*").alias("n_rows"))

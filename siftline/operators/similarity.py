@@ -4,11 +4,14 @@ Tokens in many rows (``HOT_SHARE``) make up a row's pattern, the others are inde
 query are found by an equi-join and scored in full. Of all other rows the score depends on pattern and sizes only, so
 patterns are scored instead of rows, block by block, and each brings its lowest ids. The better of
 both is exact, and neither grows with queries times rows.
+
+All pairs that share a token (``shared_tokens``) are as many as queries times rows where a token is in every row, so none is
+shuffled: frequent tokens are bits, which blocks of queries and rows compare where their pairs are made.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,10 @@ ROW_BLOCK = 4096
 #: a token in this share of the rows belongs to the patterns; so many tokens at most, the others are indexed
 HOT_SHARE = 0.001
 HOT_TOKENS = 1024
+#: rows and queries whose pairs are made from one row of two blocks; what comes of it is held in memory until it is read
+ROW_PAIRS, QUERY_PAIRS = 64, 256
+#: rows and queries that meet in one task
+TASK_ROWS, TASK_QUERIES = 16_384, 8_192
 JACCARD_WEIGHT, OVERLAP_WEIGHT = 0.6, 0.4
 
 
@@ -264,3 +271,115 @@ def retrieve_with_diversity(queries: DataFrame, rows: DataFrame, k: int = 3, thr
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "cand_id")) + F.col("have")
     fill = rest.join(have, "query_id").withColumn("rank", place.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "cand_id", "similarity")
     return picked.unionByName(fill)
+
+
+def _tokens(sig: pa.Array, rows: int) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray, np.ndarray]:
+    """(length of each row, distinct tokens; row, token's index and occurrence of every token)."""
+    n = pc.fill_null(pc.list_value_length(sig), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(rows), n)
+    coded = sig.flatten().dictionary_encode()
+    token = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return n, coded.dictionary, row, token, _occurrence(row, token)
+
+
+def _hot_labels(rows: DataFrame) -> list[tuple[str, int]]:
+    """(token, occurrence) of at least ``HOT_SHARE`` of the rows, the ``HOT_TOKENS`` most frequent at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            _, words, _, token, occ = _tokens(b.column(0), b.num_rows)
+            label, n = np.unique(token << 32 | occ, return_counts=True)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(label >> 32)), pa.array(label & 0xFFFFFFFF), pa.array(n)], names=["token", "occ", "n"])
+
+    n = rows.select("sig").mapInArrow(run, "token string, occ bigint, n bigint").groupBy("token", "occ").agg(F.sum("n").alias("n"))
+    least = max(2, rows.count() * HOT_SHARE)
+    return [(r.token, r.occ) for r in n.filter(F.col("n") >= least).orderBy(F.desc("n"), "token", "occ").limit(HOT_TOKENS).collect()]
+
+
+def _masks(rows: DataFrame, hot: list[tuple[str, int]]) -> tuple[DataFrame, list[str], list[str]]:
+    """(id, u, t, x0 ..., y0 ..., rare): distinct tokens and all tokens of each row, bits of its hot tokens, bits of their
+    repeats, and its other tokens with their occurrences; names of both kinds of bits."""
+    words = sorted({token for token, _ in hot})
+    at = {token: i for i, token in enumerate(words)}
+    first, again = [h for h in hot if h[1] == 0], [h for h in hot if h[1] > 0]
+    kinds = [[f"{kind}{i}" for i in range(-(-len(labels) // 64))] for kind, labels in (("x", first), ("y", again))]
+    place = [*range(len(first)), *(64 * len(kinds[0]) + i for i in range(len(again)))]
+    coded = sorted((at[token] << 32 | occ, p) for (token, occ), p in zip(first + again, place))
+    labels, places = np.array([c for c, _ in coded], np.int64), np.array([p for _, p in coded], np.int64)
+    columns = kinds[0] + kinds[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(words, pa.string())
+        for b in batches:
+            n, own, row, token, occ = _tokens(b.column(1), b.num_rows)
+            code = pc.fill_null(pc.index_in(own, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[token]
+            label = np.where(code < 0, -1, code << 32 | occ)
+            to = np.minimum(np.searchsorted(labels, label), max(len(labels) - 1, 0))
+            is_hot = labels[to] == label if len(labels) else np.zeros(len(label), bool)
+            bits = np.zeros((len(columns), b.num_rows), np.uint64)
+            p = places[to[is_hot]] if len(labels) else places
+            np.bitwise_or.at(bits, (p // 64, row[is_hot]), np.uint64(1) << (p % 64).astype(np.uint64))
+            rare = np.flatnonzero(~is_hot)
+            bounds = pa.array(np.searchsorted(row[rare], np.arange(b.num_rows + 1)), pa.int32())
+            others = pa.StructArray.from_arrays([own.take(pa.array(token[rare])), pa.array(occ[rare])], names=["token", "occ"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(np.bincount(row[occ == 0], minlength=b.num_rows)), pa.array(n), *(pa.array(x.view(np.int64)) for x in bits), pa.ListArray.from_arrays(bounds, others)],
+                names=["id", "u", "t", *columns, "rare"],
+            )
+
+    schema = "id bigint, u bigint, t bigint, " + "".join(f"{c} bigint, " for c in columns) + "rare array<struct<token: string, occ: bigint>>"
+    return rows.select("id", "sig").mapInArrow(run, schema), *kinds
+
+
+def _common(a: Callable[[str], Column], b: Callable[[str], Column], columns: list[str]) -> Column:
+    return sum((F.bit_count(a(c).bitwiseAND(b(c))) for c in columns), F.lit(0)).cast("bigint")
+
+
+def _met(queries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str], list[str]]:
+    """Masks of queries (id, sig) and rows (id, sig), where signatures of one id are one; pairs that share a token, at an
+    occurrence, which is no bit (query_id, cand_id, inter, shared: how many such ones, distinct and all); names of the bits.
+
+    A token at its n-th occurrence in a row is a label; frequent labels are bits, the others are joined."""
+    whole = lambda df: df.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.flatten(F.collect_list("sig")).alias("sig"))
+    signed = cut(whole(rows), "signatures")
+    hot = _hot_labels(signed)
+    masks, x, y = _masks(signed, hot)
+    r, q = cut(masks, "masks"), cut(_masks(whole(queries), hot)[0], "masks")
+    label = lambda df, name: df.select(F.col("id").alias(name), F.inline("rare"))
+    both = label(q, "query_id").join(label(r, "cand_id"), ["token", "occ"])
+    pairs = both.groupBy("query_id", "cand_id").agg(F.count_if(F.col("occ") == 0).alias("inter"), F.count("*").alias("shared"))
+    return q, r, pairs, x, y
+
+
+def _block_pairs(queries: DataFrame, rows: DataFrame, query_block: int, row_block: int) -> DataFrame:
+    """(r, q): each block of rows with each block of queries, in tasks of so many rows and queries at most."""
+    n, m, cores = rows.count(), queries.count(), rows.sparkSession.sparkContext.defaultParallelism
+    r = _in_blocks(rows, rows.columns, row_block).repartition(max(-(-n // TASK_ROWS), min(4 * cores, -(-n // 1024)), 1))
+    q = _in_blocks(queries, queries.columns, query_block).repartition(max(1, -(-m // TASK_QUERIES)))
+    return r.withColumnRenamed("rows", "r").crossJoin(q.withColumnRenamed("rows", "q").hint("shuffle_replicate_nl"))
+
+
+def shared_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query_id, cand_id, inter, shared): how many tokens, distinct and with repeats, each query (id, sig) shares with
+    each row (id, sig) of another id, where it shares one. Signatures of one id are one.
+
+    Pairs that share a rare token are found by a join, all others are made block by block from their bits, so
+    that none of these is shuffled."""
+    q, r, pairs, x, y = _met(queries, rows)
+    own = ["id", *x, *y]
+    met = pairs.groupBy(F.col("cand_id").alias("id")).agg(F.collect_list(F.struct("query_id", "inter", "shared")).alias("met"))
+    r = cut(r.select(*own).join(met, "id", "left"), "met")
+
+    def counted(df: DataFrame, inter: Column, shared: Column) -> DataFrame:
+        """``df`` (q, r), with what both share besides their bits."""
+        a, b = F.col("q").getField, F.col("r").getField
+        first = _common(a, b, x) + inter
+        two = df.select(a("id").alias("query_id"), b("id").alias("cand_id"), first.alias("inter"), (first + _common(a, b, y) + shared - inter).alias("shared"))
+        return two.filter("inter > 0 and query_id <> cand_id")
+
+    few = r.filter("met is not null").select(F.struct(*own).alias("r"), F.explode("met").alias("m"))
+    by_label = counted(few.join(q.select(F.col("id").alias("_id"), F.struct(*own).alias("q")), F.col("m.query_id") == F.col("_id")), F.col("m.inter"), F.col("m.shared"))
+    both = _block_pairs(q.select(*own), r.withColumn("met", F.col("met.query_id")), QUERY_PAIRS, ROW_PAIRS)
+    every = both.select(F.explode("r").alias("r"), "q").select("r", F.explode("q").alias("q"))
+    by_bits = counted(every.filter("r.met is null or not array_contains(r.met, q.id)"), F.lit(0), F.lit(0))
+    return by_bits.unionByName(by_label)

@@ -14,8 +14,8 @@ from siftline.operators import profile as R
 from siftline.operators import splits as S
 from siftline.operators.ordering import with_position
 from siftline.operators.sampling import sample_data, shuffle_rows
-from siftline.operators.signatures import signature_statistics, token_counts, top_tokens, with_signature
-from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, similarity
+from siftline.operators.signatures import signature_statistics, top_tokens, with_signature
+from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, shared_tokens, similarity
 from siftline.plans import pipelines as L
 from siftline.plans.inference import call_model, call_statistics, rule_model
 from siftline.session import scratch, table
@@ -89,12 +89,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _similarity_join(spark: SparkSession, d: str) -> DataFrame:
-    """How many tokens, distinct and with repeats, the searches share with every row that has one of
-    theirs, by an equi-join of tokens."""
-    t = token_counts(_signed(spark, d).select("id", "sig"))
-    q = _searches(t).select(F.col("id").alias("query_id"), "token", F.col("n").alias("m"))
-    both = q.join(t.withColumnRenamed("id", "cand_id"), "token").filter("query_id <> cand_id")
-    return both.groupBy("query_id", "cand_id").agg(F.count("*").alias("inter"), F.sum(F.least("m", "n")).alias("shared"))
+    """How many tokens, distinct and with repeats, the searches share with every row that has one of theirs."""
+    df = _signed(spark, d).select("id", "sig")
+    return shared_tokens(_searches(df), df)
 
 
 def _min_similarity(spark: SparkSession, d: str) -> DataFrame:

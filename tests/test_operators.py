@@ -16,7 +16,7 @@ from siftline.operators.ordering import with_position
 from siftline.operators.profile import median, null_percentages, table_profile
 from siftline.operators.sampling import sample_data
 from siftline.operators.signatures import signature
-from siftline.operators.similarity import retrieve_top_k, retrieve_with_diversity, similarity
+from siftline.operators.similarity import retrieve_top_k, retrieve_with_diversity, shared_tokens, similarity
 from siftline.plans.inference import Reply, call_model, call_statistics
 from siftline.plans.pipelines import Evaluator, distill, explain, run_steps
 from siftline.sources.corpus import RunConfig, display_config, list_datasets, list_prediction_files, load_config, predictions_from_items, read_corpus, read_items, save_config, truth_from_labels
@@ -124,6 +124,61 @@ def test_retrieval_of_nothing(spark):
     assert [tuple(r) for r in retrieve_top_k(one.filter("id = 1"), one, 3).collect()] == [(1, 1, 2, 0.0)]
 
 
+def brute_shared(sigs, queries):
+    counts = {i: Counter(s or []) for i, s in sigs.items()}
+    both = {(i, j): (len(counts[i].keys() & counts[j].keys()), sum((counts[i] & counts[j]).values())) for i in queries for j in sigs if i != j}
+    return {k: v for k, v in both.items() if v[0]}
+
+
+@pytest.mark.parametrize("share, most", [(0.001, 1024), (0.05, 1024), (0.05, 3), (2, 0)])
+def test_shared_tokens_against_brute_force(spark, monkeypatch, share, most):
+    """Tokens that are bits (more than one word of them), tokens that are joined, repeats of either kind; several blocks."""
+    from siftline.operators import similarity as V
+
+    for name, value in (("HOT_SHARE", share), ("HOT_TOKENS", most), ("ROW_PAIRS", 7), ("QUERY_PAIRS", 5), ("TASK_ROWS", 50), ("TASK_QUERIES", 10)):
+        monkeypatch.setattr(V, name, value)
+    rnd = random.Random(5)
+    sigs = {i: [rnd.choice("abcdef") for _ in range(rnd.randint(0, 5))] + [f"r{rnd.randint(0, 150)}" for _ in range(rnd.randint(0, 6))] * rnd.randint(1, 2) for i in range(200)}
+    sigs |= {200: None, 201: [], 202: ["alone"] * 70, 203: ["alone"] * 66, 210: ["x", "alone"]}
+    df = spark.createDataFrame(list(sigs.items()), "id bigint, sig array<string>").repartition(4)
+    got = shared_tokens(df.filter("id % 10 = 0"), df).collect()
+    assert len({(r.query_id, r.cand_id) for r in got}) == len(got)
+    assert {(r.query_id, r.cand_id): (r.inter, r.shared) for r in got} == brute_shared(sigs, [i for i in sigs if i % 10 == 0])
+
+
+def test_shared_tokens_of_nothing(spark):
+    empty = spark.createDataFrame([], "id bigint, sig array<string>")
+    one = spark.createDataFrame([(1, ["a"]), (2, ["a"])], "id bigint, sig array<string>")
+    assert shared_tokens(empty, one).count() == shared_tokens(one, empty).count() == shared_tokens(empty, empty).count() == 0
+    parts = spark.createDataFrame([(1, ["a"]), (1, ["a", "b"]), (2, ["a", "a", "a"])], "id bigint, sig array<string>")
+    assert sorted(map(tuple, shared_tokens(parts, parts).collect())) == [(1, 2, 1, 2), (2, 1, 1, 2)]
+
+
+def shuffled(spark):
+    """Records that all stages so far have shuffled."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.fixture(scope="module")
+def common_token(spark, tmp_path_factory):
+    """2,001 rows that share a token with each of 40 searches, 80,000 pairs. Rows 2i and 2i + 1 are near copies."""
+    d = str(tmp_path_factory.mktemp("common"))
+    code = F.concat(F.lit("@Test "), *[F.format_string(f"v{k}x%d.run( ", F.expr("id div 2")) for k in range(4)], F.when(F.expr("id % 2 = 1"), "Thread").otherwise(""))
+    spark.range(1, 2002).select(F.when(F.col("id") % 50 == 0, F.col("id") * 2).otherwise(F.col("id") * 100 + 1).alias("id"), code.alias("code")).write.parquet(f"{d}/dataset.parquet")
+    return d
+
+
+def test_pairs_of_a_common_token_are_not_shuffled(spark, common_token):
+    from siftline.plans.queries import queries
+
+    before = shuffled(spark)
+    got = queries()["similarity_join"](spark, common_token)
+    assert got.agg(F.count("*"), F.count_if(F.col("inter") > 4)).first() == (80_000, 40)
+    assert shuffled(spark) - before < 40_000
+
+
 def answer(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(extract_answer(F.col("t")).alias("a")).first().a
     return r.is_flaky, r.category
