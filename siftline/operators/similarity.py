@@ -30,6 +30,8 @@ HOT_SHARE = 0.001
 HOT_TOKENS = 1024
 #: rows and queries whose pairs are made from one row of two blocks; what comes of it is held in memory until it is read
 ROW_PAIRS, QUERY_PAIRS = 64, 256
+#: queries that are compared with a block of rows at once
+COMPARED = 64
 #: rows and queries that meet in one task
 TASK_ROWS, TASK_QUERIES = 16_384, 8_192
 JACCARD_WEIGHT, OVERLAP_WEIGHT = 0.6, 0.4
@@ -383,3 +385,57 @@ def shared_tokens(queries: DataFrame, rows: DataFrame) -> DataFrame:
     every = both.select(F.explode("r").alias("r"), "q").select("r", F.explode("q").alias("q"))
     by_bits = counted(every.filter("r.met is null or not array_contains(r.met, q.id)"), F.lit(0), F.lit(0))
     return by_bits.unionByName(by_label)
+
+
+def _fields(block: pa.ListScalar, columns: list[str]) -> list[np.ndarray]:
+    return [block.values.field(c).to_numpy(zero_copy_only=False) for c in columns]
+
+
+def _bits_in_common(a: list[np.ndarray], b: list[np.ndarray], outer: bool) -> np.ndarray:
+    """Common bits of all words, of every two sides or of the pairs as they stand."""
+    first = np.zeros((len(a[0]), len(b[0])) if outer else len(a[0]), np.int32)
+    for x, y in zip(a[1:], b[1:]):
+        first += np.bitwise_count((x[:, None] & y[None, :] if outer else x & y).view(np.uint64))
+    return first
+
+
+def similar_pairs(queries: DataFrame, rows: DataFrame, least: float) -> DataFrame:
+    """(query_id, cand_id, similarity) of each query (id, sig) and each row (id, sig) of another id, where that is at least
+    ``least``, which is above 0. Signatures of one id are one.
+
+    The overlap is at most 0.5, so the Jaccard similarity has a lower bound; blocks of bits are compared with it, and what is
+    left is scored in full. Pairs that share a rare token, too, are scored by a join; theirs is the higher score."""
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    q, r, pairs, x, y = _met(queries, rows)
+    own = ["id", "u", "t", *x, *y]
+    j = max(0.0, (least - OVERLAP_WEIGHT / 2) / JACCARD_WEIGHT)
+    share = j / (1 + j)  # of both sides' distinct tokens
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                n, m = (_fields(block[i], own) for block in (b.column(0), b.column(1)))  # rows, queries
+                low = [np.floor(side[1] * (share * 1024) - 1).astype(np.int32) for side in (n, m)]
+                words = [[side[0], *side[3 : 3 + len(x)]] for side in (n, m)]
+                for at in range(0, len(m[0]), COMPARED):
+                    inter = _bits_in_common([w[at : at + COMPARED] for w in words[1]], words[0], True)
+                    to, of = np.nonzero((inter * 1024 >= low[1][at : at + COMPARED, None] + low[0][None, :]) & (inter > 0))
+                    to += at
+                    a, c = [f[to] for f in m], [f[of] for f in n]
+                    first = _bits_in_common([a[0], *a[3 : 3 + len(x)]], [c[0], *c[3 : 3 + len(x)]], False).astype(float)
+                    shared = first + _bits_in_common([a[0], *a[3 + len(x) :]], [c[0], *c[3 + len(x) :]], False)
+                    sim = JACCARD_WEIGHT * (first / (a[1] + c[1] - first)) + OVERLAP_WEIGHT * (shared / (a[2] + c[2]))
+                    keep = (sim >= least) & (a[0] != c[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[0][keep]), pa.array(c[0][keep]), pa.array(sim[keep])], names=["query_id", "cand_id", "similarity"])
+
+    has_id = lambda df: df.select(*own).filter("id is not null")
+    by_bits = _block_pairs(has_id(q), has_id(r), QUERY_BLOCK, ROW_BLOCK).select("r", "q").mapInArrow(run, "query_id bigint, cand_id bigint, similarity double")
+    side = lambda df, key, name: df.select(F.col("id").alias(key), F.struct(*own).alias(name))
+    full = pairs.filter("query_id <> cand_id").join(side(q, "query_id", "q"), "query_id").join(side(r, "cand_id", "r"), "cand_id")
+    a, b = F.col("q").getField, F.col("r").getField
+    first = _common(a, b, x) + F.col("inter")
+    shared = first + _common(a, b, y) + F.col("shared") - F.col("inter")
+    sim = F.lit(JACCARD_WEIGHT) * F.try_divide(first, a("u") + b("u") - first) + F.lit(OVERLAP_WEIGHT) * F.try_divide(shared, a("t") + b("t"))
+    by_label = full.select("query_id", "cand_id", sim.alias("similarity")).filter(F.col("similarity") >= least)
+    return by_bits.unionByName(by_label).groupBy("query_id", "cand_id").agg(F.max("similarity").alias("similarity"))

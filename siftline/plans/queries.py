@@ -15,7 +15,7 @@ from siftline.operators import splits as S
 from siftline.operators.ordering import with_position
 from siftline.operators.sampling import sample_data, shuffle_rows
 from siftline.operators.signatures import signature_statistics, top_tokens, with_signature
-from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, shared_tokens, similarity
+from siftline.operators.similarity import frequency_overlap, jaccard, retrieve_top_k, retrieve_with_diversity, shared_tokens, similar_pairs, similarity
 from siftline.plans import pipelines as L
 from siftline.plans.inference import call_model, call_statistics, rule_model
 from siftline.session import scratch, table
@@ -95,11 +95,8 @@ def _similarity_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _min_similarity(spark: SparkSession, d: str) -> DataFrame:
-    sizes = _signed(spark, d).select("id", F.size(F.array_distinct("sig")).alias("u"), F.size("sig").alias("t"))
-    j = _similarity_join(spark, d)
-    j = j.join(sizes.select(F.col("id").alias("query_id"), F.col("u").alias("uq"), F.col("t").alias("tq")), "query_id").join(sizes.withColumnRenamed("id", "cand_id"), "cand_id")
-    sim = F.lit(0.6) * (F.col("inter") / (F.col("uq") + F.col("u") - F.col("inter"))) + F.lit(0.4) * (F.col("shared") / (F.col("tq") + F.col("t")))
-    return j.select("query_id", "cand_id", sim.alias("similarity")).filter(F.col("similarity") >= 0.5)
+    df = _signed(spark, d).select("id", "sig")
+    return similar_pairs(_searches(df), df, 0.5)
 
 
 def _diverse(spark: SparkSession, d: str) -> DataFrame:

@@ -16,7 +16,7 @@ from siftline.operators.ordering import with_position
 from siftline.operators.profile import median, null_percentages, table_profile
 from siftline.operators.sampling import sample_data
 from siftline.operators.signatures import signature
-from siftline.operators.similarity import retrieve_top_k, retrieve_with_diversity, shared_tokens, similarity
+from siftline.operators.similarity import retrieve_top_k, retrieve_with_diversity, shared_tokens, similar_pairs, similarity
 from siftline.plans.inference import Reply, call_model, call_statistics
 from siftline.plans.pipelines import Evaluator, distill, explain, run_steps
 from siftline.sources.corpus import RunConfig, display_config, list_datasets, list_prediction_files, load_config, predictions_from_items, read_corpus, read_items, save_config, truth_from_labels
@@ -146,10 +146,27 @@ def test_shared_tokens_against_brute_force(spark, monkeypatch, share, most):
     assert {(r.query_id, r.cand_id): (r.inter, r.shared) for r in got} == brute_shared(sigs, [i for i in sigs if i % 10 == 0])
 
 
+@pytest.mark.parametrize("share, most, least", [(0.001, 1024, 0.5), (0.05, 1024, 0.3), (0.05, 3, 0.5), (2, 0, 0.45), (0.001, 1024, 0.05)])
+def test_similar_pairs_against_brute_force(spark, monkeypatch, share, most, least):
+    from siftline.operators import similarity as V
+
+    for name, value in (("HOT_SHARE", share), ("HOT_TOKENS", most), ("ROW_BLOCK", 20), ("QUERY_BLOCK", 9), ("COMPARED", 4), ("TASK_ROWS", 50), ("TASK_QUERIES", 10)):
+        monkeypatch.setattr(V, name, value)
+    rnd = random.Random(6)
+    sigs = {i: [rnd.choice("abcdef") for _ in range(rnd.randint(0, 6))] + [f"r{rnd.randint(0, 90)}" for _ in range(rnd.randint(0, 3))] * rnd.randint(1, 2) for i in range(200)}
+    sigs |= {200: None, 201: [], 202: ["alone"] * 70, 203: ["alone"] * 66, 210: ["x", "alone"]}
+    df = spark.createDataFrame(list(sigs.items()), "id bigint, sig array<string>").repartition(4)
+    got = similar_pairs(df.filter("id % 5 = 0"), df, least).collect()
+    want = {(i, j): score(sigs[i] or [], sigs[j] or []) for i in sigs if i % 5 == 0 for j in sigs if i != j}
+    assert len(got) == len({(r.query_id, r.cand_id) for r in got})
+    assert {(r.query_id, r.cand_id): r.similarity for r in got} == {k: s for k, s in want.items() if s >= least}
+
+
 def test_shared_tokens_of_nothing(spark):
     empty = spark.createDataFrame([], "id bigint, sig array<string>")
     one = spark.createDataFrame([(1, ["a"]), (2, ["a"])], "id bigint, sig array<string>")
     assert shared_tokens(empty, one).count() == shared_tokens(one, empty).count() == shared_tokens(empty, empty).count() == 0
+    assert similar_pairs(empty, one, 0.5).count() == similar_pairs(one, empty, 0.5).count() == 0
     parts = spark.createDataFrame([(1, ["a"]), (1, ["a", "b"]), (2, ["a", "a", "a"])], "id bigint, sig array<string>")
     assert sorted(map(tuple, shared_tokens(parts, parts).collect())) == [(1, 2, 1, 2), (2, 1, 1, 2)]
 
@@ -179,6 +196,15 @@ def test_pairs_of_a_common_token_are_not_shuffled(spark, common_token):
     assert shuffled(spark) - before < 40_000
 
 
+def test_similar_pairs_of_a_common_token_are_not_shuffled(spark, common_token):
+    from siftline.plans.queries import queries
+
+    before = shuffled(spark)
+    got = {(r.query_id, r.cand_id) for r in queries()["min_similarity_filter"](spark, common_token).collect()}
+    assert got == {(100 * k, (50 * k + 1) * 100 + 1) for k in range(1, 41)}
+    assert shuffled(spark) - before < 40_000
+
+
 def answer(spark, text):
     r = spark.createDataFrame([(text,)], "t string").select(extract_answer(F.col("t")).alias("a")).first().a
     return r.is_flaky, r.category
